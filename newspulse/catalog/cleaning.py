@@ -9,6 +9,7 @@ from newspulse.catalog.base import (
     sql_squeeze, sql_topic_words, sql_values, table,
 )
 from newspulse.functions import text as X
+from newspulse.functions.rows import posexploded
 from newspulse.operators import tokens as T
 from newspulse.resources import words
 
@@ -73,7 +74,7 @@ def pos_filter(spark, sf):
     FROM (SELECT doc_id, string_split(array_to_string({TOKENS_SQL}, ' '), ' ') AS t FROM documents)""")
 def token_split(spark, sf):
     lemma = topic_token_rows(spark, sf).select("doc_id", F.array_join("tokens", " ").alias("lemma"))
-    return lemma.select("doc_id", F.posexplode(X.split_spaces("lemma")).alias("pos", "token"))
+    return posexploded(lemma, ["doc_id"], X.split_spaces("lemma"), "token")
 
 
 DF_SQL = f"""SELECT term, count(*) AS df FROM

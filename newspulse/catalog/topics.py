@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newspulse.catalog.base import articles, query, sql_values
 from newspulse.catalog.cleaning import TOKENS_SQL, topic_token_rows
+from newspulse.functions.rows import small_table
 from newspulse.operators import coherence as K
 from newspulse.operators import topics as M
 from newspulse.session import stage
@@ -42,7 +43,7 @@ COHERENCE_SQL = f"""
 
 @query(COHERENCE_SQL)
 def coherence_cv(spark, sf):
-    words = spark.createDataFrame(WORD_ROWS, "topic int, term string")
+    words = small_table(spark, WORD_ROWS, "topic int, term string")
     scored = K.topic_coherence(topic_token_rows(spark, sf), "doc_id", "tokens", words, WINDOW)
     return scored.select("topic", F.round("coherence", 6).alias("coherence"))
 

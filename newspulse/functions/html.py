@@ -10,6 +10,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newspulse.functions.rows import let
+
 # Named character references of HTML that occur in news markup.
 NAMED_ENTITIES = {
     "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®",
@@ -36,17 +38,18 @@ def _numeric_reference(part: Column) -> Column:
     return F.when(code != "", F.concat(char, rest)).otherwise(part)
 
 
-def decode_entities(c: Column) -> Column:
-    """Decode character references; rows without an ampersand skip the work."""
-    numeric = F.when(
-        c.contains("&#"),
-        F.array_join(F.transform(F.split(c, "(?=&#)"), _numeric_reference), ""),
+def _decoded(c: Column) -> Column:
+    out = F.when(
+        c.contains("&#"), F.array_join(F.transform(F.split(c, "(?=&#)"), _numeric_reference), "")
     ).otherwise(c)
-    out = numeric
     for name, char in NAMED_ENTITIES.items():
         out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    out = F.replace(out, F.lit("&amp;"), F.lit("&"))
-    return F.when(c.contains("&"), out).otherwise(c)
+    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+
+
+def decode_entities(c: Column) -> Column:
+    """Decode character references; rows without an ampersand skip the work."""
+    return let(c, lambda x: F.when(x.contains("&"), _decoded(x)).otherwise(x))
 
 
 def markup_text(c: Column) -> Column:
@@ -55,14 +58,13 @@ def markup_text(c: Column) -> Column:
     return decode_entities(F.regexp_replace(out, "<[^>]*>", ""))
 
 
-def first_region(html: Column, tag: str, cls: str | None = None) -> Column:
-    """Inner markup of the first such element, null when the page has none."""
-    pattern = rf"(?s){element_pattern(tag, cls)}(.*?)</{tag}\s*>"
-    return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1))
+def first_element(html: Column, tag: str, cls: str | None = None) -> Column:
+    """Markup of the first such element, its own tags included; null when the page has none."""
+    return F.nullif(F.regexp_extract(html, container_pattern(tag, cls), 0), F.lit(""))
 
 
 def first_text(html: Column, tag: str, cls: str | None = None) -> Column:
-    return markup_text(first_region(html, tag, cls))
+    return markup_text(first_element(html, tag, cls))
 
 
 def all_texts(html: Column, tag: str, cls: str | None = None) -> Column:

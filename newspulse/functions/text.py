@@ -44,7 +44,7 @@ def clean_tech(c: Column | str) -> Column:
     The whitelist holds the digits 0 and 9 and an en dash, not the range 0-9, and runs first: markup
     and full stops are gone before any tag or period rule could match, so those rules are left out.
     """
-    out = F.regexp_replace(text_or_empty(c), rf"[^a-zA-Z0–9{R.SPACE_BODY}]", "")
+    out = F.regexp_replace(text_or_empty(c), rf"[^a-zA-Z0–9{R.SPACE_BODY}]+", "")
     out = F.regexp_replace(out, R.LINK, " ")
     out = F.regexp_replace(out, R.DIGITS, " ")
     out = F.translate(out, "\n", " ")

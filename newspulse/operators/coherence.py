@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newspulse.functions.rows import posexploded
+
 EPSILON = 1e-12
 
 
@@ -19,10 +21,10 @@ def _coverage(df: DataFrame, key: str, tokens: str, words: DataFrame, window: in
 
     Runs are cut at multiples of ``window`` so that two terms can be matched by block.
     """
-    size = F.size(tokens)
-    last = F.greatest(size - window, F.lit(0))
+    last = F.greatest(F.size(tokens) - window, F.lit(0))
+    sized = df.select(key, tokens, last.alias("_last"))
     at = (
-        df.select(key, last.alias("_last"), F.posexplode(tokens).alias("p", "term"))
+        posexploded(sized, [key, "_last"], tokens, "term", "p")
         .join(words.select("term").distinct(), "term", "left_semi")
         .select(
             key, "term", "p",

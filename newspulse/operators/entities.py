@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from newspulse.functions import fixed
 from newspulse.functions import text as X
+from newspulse.functions.rows import exploded, posexploded
 from newspulse.schemas import MENTIONS
 
 MAX_WORDS = 3
@@ -18,13 +19,13 @@ MAX_WORDS = 3
 
 def _candidates(df: DataFrame, key: str, text_col: str) -> DataFrame:
     """Every run of one to three neighbouring tokens: (key, pos, n, text)."""
-    tokens = X.phrase_tokens(text_col)
+    tokens = F.col("_tokens")
     lined_up = F.arrays_zip(
         tokens.alias("a"),
         F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(1))).alias("b"),
         F.slice(tokens, F.lit(3), F.greatest(F.size(tokens), F.lit(1))).alias("c"),
     )
-    rows = df.select(key, F.posexplode(lined_up).alias("pos", "_t"))
+    rows = posexploded(df.select(key, X.phrase_tokens(text_col).alias("_tokens")), [key], lined_up, "_t")
     a, b, c = (F.col(f"_t.{x}") for x in "abc")
     runs = [a, F.concat(a, F.lit(" "), b), F.concat(a, F.lit(" "), b, F.lit(" "), c)]
     options = F.array(*[F.struct(F.lit(n + 1).alias("n"), run.alias("text")) for n, run in enumerate(runs)])
@@ -51,11 +52,10 @@ def _longest_first(found: Column) -> Column:
 def mention_lists(df: DataFrame, key: str, text_col: str, gazetteer: DataFrame) -> DataFrame:
     """(key, entities): the mentions of each text that has any, in order, the longest name winning.
 
-    ``gazetteer`` is (surface, label) with lower-case surfaces; a surface listed twice gets its
-    alphabetically first label. The join has no hint: it is a broadcast while the gazetteer is small.
+    ``gazetteer`` is (surface, label), one row per lower-case surface. The join has no hint: it is a
+    broadcast while the gazetteer is small.
     """
-    names = gazetteer.groupBy("surface").agg(F.min("label").alias("label"))
-    matches = _candidates(df, key, text_col).withColumn("surface", F.lower("text")).join(names, "surface")
+    matches = _candidates(df, key, text_col).withColumn("surface", F.lower("text")).join(gazetteer, "surface")
     ranked = F.struct("pos", (-F.col("n")).alias("shorter"), "n", "text", "label")
     return (
         matches.groupBy(key)
@@ -66,7 +66,7 @@ def mention_lists(df: DataFrame, key: str, text_col: str, gazetteer: DataFrame)
 
 def mentions(lists: DataFrame, key: str) -> DataFrame:
     """Long form (key, pos, text, label)."""
-    return lists.select(key, F.inline("entities"))
+    return exploded(lists, [key], "entities", "_m").select(key, "_m.*")
 
 
 def pattern_mentions(df: DataFrame, key: str, text_col: str, patterns: dict[str, str]) -> DataFrame:
@@ -76,7 +76,7 @@ def pattern_mentions(df: DataFrame, key: str, text_col: str, patterns: dict[str,
         return F.transform(texts, lambda m, i: _record(ordinal=i, text=m, label=F.lit(label)))
 
     found = F.flatten(F.array(*[found_of(label, pattern) for label, pattern in patterns.items()]))
-    return df.select(key, F.inline(found))
+    return exploded(df, [key], found, "_m").select(key, "_m.*")
 
 
 def entity_string(entities: Column | str) -> Column:
@@ -99,7 +99,7 @@ def entity_terms(entities: Column | str, unit: str = "mention") -> Column:
 def entity_counts(lists: DataFrame, key: str, unit: str = "token") -> DataFrame:
     """(key, term, n)."""
     return (
-        lists.select(key, F.explode(entity_terms("entities", unit)).alias("term"))
+        exploded(lists, [key], entity_terms("entities", unit), "term")
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -108,7 +108,7 @@ def entity_counts(lists: DataFrame, key: str, unit: str = "token") -> DataFrame:
 def entity_totals(lists: DataFrame, group: str = "medie", unit: str = "token") -> DataFrame:
     """Mentions per entity and group, one pass for all groups: (group, term, n)."""
     return (
-        lists.select(group, F.explode(entity_terms("entities", unit)).alias("term"))
+        exploded(lists, [group], entity_terms("entities", unit), "term")
         .groupBy(group, "term")
         .agg(F.sum(F.lit(1)).alias("n"))
     )
@@ -129,7 +129,7 @@ def entity_sentiment(scored: DataFrame, group: str = "medie", unit: str = "menti
     ``scored`` has the group, ``entities``, ``sentiment_content`` and ``sentiment_title`` on one row.
     """
     once = F.array_distinct(entity_terms("entities", unit))
-    rows = scored.select(group, "sentiment_content", "sentiment_title", F.explode(once).alias("entity"))
+    rows = exploded(scored, [group, "sentiment_content", "sentiment_title"], once, "entity")
     total = lambda c: fixed.mean6(F.sum(c), F.count(c))
     return rows.groupBy(group, "entity").agg(
         total("sentiment_content").alias("average_sentiment"),
@@ -153,8 +153,8 @@ def entity_polarity(scored: DataFrame, key: str, polarity_columns: list[str], pa
     the gazetteer has. The sample is the first article by ``key``; its scores ride along.
     """
     if pairing == "zip":
-        pairs = scored.select(key, *polarity_columns, F.inline("entities")).select(
-            key, *polarity_columns, F.col("text").alias("Entity"), F.col("label").alias("Entity_Type"),
+        pairs = exploded(scored, [key, *polarity_columns], "entities", "_m").select(
+            key, *polarity_columns, F.col("_m.text").alias("Entity"), F.col("_m.label").alias("Entity_Type"),
             F.lit(1).alias("_w"),
         )
     elif pairing == "cross":
@@ -163,10 +163,9 @@ def entity_polarity(scored: DataFrame, key: str, polarity_columns: list[str], pa
             labels,
             lambda t: _record(Entity_Type=t, _w=F.size(F.filter("entities", lambda m: m["label"] == t))),
         )
-        pairs = (
-            scored.select(key, *polarity_columns, weighted.alias("_types"), F.explode("entities").alias("_m"))
-            .select(key, *polarity_columns, F.col("_m.text").alias("Entity"), F.inline("_types"))
-        )
+        typed = scored.select(key, *polarity_columns, "entities", weighted.alias("_types"))
+        single = exploded(typed, [key, *polarity_columns, "_types"], "entities", "_m")
+        pairs = single.select(key, *polarity_columns, F.col("_m.text").alias("Entity"), F.inline_outer("_types"))
     else:
         raise ValueError(f"pairing must be 'zip' or 'cross', not {pairing!r}")
     sums = []

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from newspulse.functions import html as H
 from newspulse.functions import text as X
+from newspulse.functions.rows import posexploded
 from newspulse.resources.sites import SITES, Site
 
 
@@ -21,11 +22,13 @@ def page_articles(pages: DataFrame, body: str = "article", title: str = "h1") ->
     """
     return (
         pages.withColumnRenamed("url", "link")
-        .withColumn("title", X.squeeze(H.first_text(F.col("html"), title)))
-        .withColumn("content", X.squeeze(H.first_text(F.col("html"), body)))
+        .withColumn("_title", H.first_element(F.col("html"), title))
+        .withColumn("_body", H.first_element(F.col("html"), body))
+        .where(F.col("_title").isNotNull() & F.col("_body").isNotNull())
+        .withColumn("title", X.squeeze(H.markup_text(F.col("_title"))))
+        .withColumn("content", X.squeeze(H.markup_text(F.col("_body"))))
         .withColumn("medie", F.parse_url("link", F.lit("HOST")))
-        .where(F.col("title").isNotNull() & F.col("content").isNotNull())
-        .drop("html")
+        .drop("html", "_title", "_body")
     )
 
 
@@ -54,10 +57,9 @@ def explode_links(pages: DataFrame, links: Column, skip: Column | int = 0) -> Da
     """One row per link of a page; ``skip`` drops the first ones (live items)."""
     keep = [c for c in pages.columns if c != "html"]
     first = F.lit(skip) if isinstance(skip, int) else skip
+    marked = pages.withColumn("_skip", first)
     return (
-        pages.select(*keep, first.alias("_skip"), F.posexplode(links).alias("pos", "link"))
-        .where(F.col("pos") >= F.col("_skip"))
-        .drop("_skip")
+        posexploded(marked, [*keep, "_skip"], links, "link").where(F.col("pos") >= F.col("_skip")).drop("_skip")
     )
 
 
@@ -79,7 +81,7 @@ def zip_lists(pages: DataFrame, *lists: tuple[str, Column]) -> DataFrame:
     keep = [c for c in pages.columns if c != "html"]
     named = pages.select(*keep, *[col.alias(name) for name, col in lists])
     zipped = F.arrays_zip(*[F.col(name) for name, _ in lists])
-    return named.select(*keep, F.posexplode(zipped).alias("pos", "_z")).select(*keep, "pos", "_z.*")
+    return posexploded(named, keep, zipped, "_z").select(*keep, "pos", "_z.*")
 
 
 VOID_TAGS = frozenset(

@@ -1,8 +1,9 @@
 """Lexicon sentiment: tokens with their context, one lexicon join, one row per text.
 
 Every scorer explodes the tokens of a text next to the words before them, so context rules need no
-window and no shuffle of tokens. The lexicon is joined without a hint: Catalyst broadcasts it while
-its size allows. The only shuffle is one partial-aggregate row per text.
+window and no shuffle of tokens. The lexicon (one row per word, see ``unique_words``) is joined without
+a hint: Catalyst broadcasts it while its size allows. The only shuffle is one partial-aggregate row
+per text.
 """
 
 from __future__ import annotations
@@ -32,11 +33,16 @@ def _shifted(words: Column, by: int) -> Column:
 
 
 def _kind(lexicon: DataFrame, kind: str, word: str, **columns: str) -> DataFrame:
-    """The lexicon rows of one kind, each word once, columns renamed for a join."""
-    rows = lexicon.where(F.col("kind") == kind).dropDuplicates(["word"])
+    """The lexicon rows of one kind, columns renamed for a join."""
+    rows = lexicon.where(F.col("kind") == kind)
     return rows.select(F.col("word").alias(word), *[F.col(c).alias(a) for a, c in columns.items()])
 
 
+def unique_words(lexicon: DataFrame) -> DataFrame:
+    """One row per word, for lexicon tables that may list a word twice (the scorers rely on it)."""
+    return lexicon.dropDuplicates(["word"])
+
+
 def mean_valence(
     df: DataFrame, keys: list[str], text_col: str, lexicon: DataFrame, out: str = "sentiment"
 ) -> DataFrame:
@@ -55,10 +61,12 @@ def mean_valence(
 
 def polarity(df: DataFrame, keys: list[str], text_col: str, lexicon: DataFrame) -> DataFrame:
     """(keys, polarity, subjectivity, polarity_label); a negation one word before turns and halves a hit."""
-    words = X.terms(text_col)
-    tokens = df.select(
-        *keys, F.explode_outer(F.arrays_zip(words.alias("w"), _shifted(words, 1).alias("p"))).alias("_t")
-    ).select(*keys, F.col("_t.w").alias("word"), F.col("_t.p").alias("_before"))
+    words = F.col("_words")
+    tokens = (
+        df.select(*keys, X.terms(text_col).alias("_words"))
+        .select(*keys, F.explode_outer(F.arrays_zip(words.alias("w"), _shifted(words, 1).alias("p"))).alias("_t"))
+        .select(*keys, F.col("_t.w").alias("word"), F.col("_t.p").alias("_before"))
+    )
     hits = _kind(lexicon, "valence", "word", polarity="polarity", subjectivity="subjectivity")
     negations = _kind(lexicon, "negation", "_negation")
     factor = F.when(F.col("_negation").isNotNull(), _dec("-0.5", "decimal(2,1)")).otherwise(
@@ -91,22 +99,24 @@ def _sign(x: Column) -> Column:
     return F.when(x < 0, F.lit(-1)).otherwise(F.lit(1)).cast("decimal(1,0)")
 
 
-def _hit_score(max_distance: int = 3) -> Column:
-    """Valence of one hit after capitals, boosters and negations, nearest word first, then "but"."""
-    v = F.col("valence")
+def _score_hits(tokens: DataFrame, distances: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """Add ``_s``: the valence of each hit after capitals, boosters and negations, nearest word first,
+    then "but". One column per step: nested into each other the expressions would double every time.
+    """
+    v, but = F.col("valence"), F.col("_but")
     loud = F.col("_caps") & F.col("_mixed")
-    score = F.when(loud, v + _sign(v) * _dec(CAPS, "decimal(4,3)")).otherwise(v)
-    for d in range(1, max_distance + 1):
+    out = tokens.withColumn("_s", F.when(loud, v + _sign(v) * _dec(CAPS, "decimal(4,3)")).otherwise(v))
+    for d in distances:
         boost = F.coalesce(F.col(f"_boost{d}"), F.lit(0).cast("decimal(6,3)"))
-        score = score + _sign(score) * boost * _dec(BOOSTER_WEIGHT[d], "decimal(3,2)")
-        score = F.when(F.col(f"_neg{d}"), score * _dec(NEGATION, "decimal(3,2)")).otherwise(score)
-    but = F.col("_but")
+        turn = F.when(F.col(f"_neg{d}"), _dec(NEGATION, "decimal(3,2)")).otherwise(_dec("1.00", "decimal(3,2)"))
+        out = out.withColumn("_s", F.col("_s") + _sign(F.col("_s")) * boost * _dec(BOOSTER_WEIGHT[d], "decimal(3,2)"))
+        out = out.withColumn("_s", F.col("_s") * turn)
     weight = (
         F.when((but > 0) & (F.col("_pos") < but), _dec("0.5", "decimal(2,1)"))
         .when((but > 0) & (F.col("_pos") > but), _dec("1.5", "decimal(2,1)"))
         .otherwise(_dec("1.0", "decimal(2,1)"))
     )
-    return (score * weight).cast("decimal(18,10)")
+    return out.withColumn("_s", (F.col("_s") * weight).cast("decimal(18,10)"))
 
 
 def compound(df: DataFrame, keys: list[str], text_col: str, lexicon: DataFrame) -> DataFrame:
@@ -132,19 +142,21 @@ def compound(df: DataFrame, keys: list[str], text_col: str, lexicon: DataFrame)
         *[_shifted(low, d).alias(f"p{d}") for d in (1, 2, 3)],
     )
     per_text = ["_present", "_bang", "_ask", "_words", "_mixed", "_but"]
-    tokens = base.select(
-        *keys, "_present", "_bang", "_ask",
+    # Everything per text is a column before the tokens are exploded: computed in the same step it would
+    # be evaluated per token and carry both word arrays along.
+    prepared = base.select(
+        *keys, "_present", "_bang", "_ask", "_raw", "_low",
         F.size("_low").alias("_words"),
         (F.exists("_raw", is_caps) & F.exists("_raw", lambda w: ~is_caps(w))).alias("_mixed"),
         F.array_position(low, "but").alias("_but"),
-        F.posexplode_outer(zipped).alias("_i", "_t"),
-    ).select(
+    )
+    tokens = prepared.select(*keys, *per_text, F.posexplode_outer(zipped).alias("_i", "_t")).select(
         *keys, *per_text, (F.col("_i") + 1).alias("_pos"),
         F.col("_t.w").alias("word"), is_caps(F.col("_t.raw")).alias("_caps"),
         *[F.col(f"_t.p{d}").alias(f"_p{d}") for d in (1, 2, 3)],
     )
     scored = tokens.join(_kind(lexicon, "valence", "word", valence="valence"), "word", "left")
-    context = lexicon.where(F.col("kind").isin("booster", "negation")).dropDuplicates(["word"])
+    context = lexicon.where(F.col("kind").isin("booster", "negation"))
     for d in (1, 2, 3):
         near = context.select(
             F.col("word").alias(f"_k{d}"),
@@ -157,11 +169,9 @@ def compound(df: DataFrame, keys: list[str], text_col: str, lexicon: DataFrame)
             .join(near, F.col(f"_p{d}") == F.col(f"_k{d}"), "left")
             .withColumn(f"_neg{d}", F.coalesce(f"_isneg{d}", F.lit(False)))
         )
-    hit = F.when(F.col("valence").isNotNull(), _hit_score())
     one = F.lit(1).cast("decimal(1,0)")
     sums = (
-        scored.select(*keys, *per_text, hit.alias("_s"))
-        .groupBy(*keys)
+        _score_hits(scored).groupBy(*keys)
         .agg(
             *[F.max(c).alias(c) for c in per_text],
             F.sum("_s").alias("_sum"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newspulse.functions import text as X
+from newspulse.functions.rows import exploded
 
 
 def without_words(tokens: Column, words: Iterable[str]) -> Column:
@@ -45,10 +46,10 @@ def keep_word_classes(
 ) -> DataFrame:
     """(key, tokens) with only the words of the allowed classes; unknown words have class ``default``.
 
-    For word-class tables too large for an ``IN`` list. Catalyst broadcasts the table if its size
+    ``pos_lexicon`` is (word, pos), one row per word. For word-class tables too large for an ``IN`` list. Catalyst broadcasts the table if its size
     allows; otherwise the skewed token side of the join is split at run time.
     """
-    lexicon = pos_lexicon.groupBy("word").agg(F.min("pos").alias("_class"))
+    lexicon = pos_lexicon.withColumnRenamed("pos", "_class")
     words = df.select(key, F.posexplode_outer(tokens).alias("_pos", "word"))
     kept = F.coalesce("_class", F.lit(default)).isin(list(allowed)) & F.col("word").isNotNull()
     return (
@@ -62,7 +63,7 @@ def keep_word_classes(
 def document_frequency(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Documents per term. Repeats are removed inside the row, so one partial count per task is shuffled."""
     return (
-        df.select(F.explode(F.array_distinct(tokens)).alias("term"))
+        exploded(df, [], F.array_distinct(tokens), "term")
         .where(F.col("term") != "")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
@@ -81,7 +82,7 @@ def pruned_vocabulary(
 def bag_of_words(df: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
     """Long form (key, term, n); never one column per term."""
     return (
-        df.select(key, F.explode(tokens).alias("term"))
+        exploded(df, [key], tokens, "term")
         .where(F.col("term") != "")
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("n"))

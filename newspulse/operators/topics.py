@@ -16,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newspulse.functions.rows import small_table
 from newspulse.operators.dedup import top_per_group
 from newspulse.session import stage
 
@@ -81,9 +82,9 @@ def train_grid(corpus: Corpus, ks: Iterable[int] = range(15, 26), **settings) ->
 def topic_words(model: LDAModel, vocabulary: list[str], n: int = 10) -> DataFrame:
     """(topic, rank, term, weight): the ``n`` heaviest words of each topic, rank from 0."""
     top = model.describeTopics(n)
-    names = top.sparkSession.createDataFrame(list(enumerate(vocabulary)), "term_id int, term string")
+    names = small_table(top.sparkSession, list(enumerate(vocabulary)), "term_id int, term string")
     return (
-        top.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "_t"))
+        top.select("topic", F.posexplode_outer(F.arrays_zip("termIndices", "termWeights")).alias("rank", "_t"))
         .select("topic", "rank", F.col("_t.termIndices").alias("term_id"), F.col("_t.termWeights").alias("weight"))
         .join(names, "term_id")
         .select("topic", "rank", "term", "weight")

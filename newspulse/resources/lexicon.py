@@ -12,6 +12,8 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from newspulse.functions.rows import small_table
+
 LEXICON_SCHEMA = T.StructType([
     T.StructField("word", T.StringType(), False),
     T.StructField("valence", T.DecimalType(6, 3), True),
@@ -59,8 +61,7 @@ def lexicon(spark: SparkSession, rows: Iterable[Row] | None = None) -> DataFrame
     def dec(x: str | None, scale: str) -> Decimal | None:
         return None if x is None else Decimal(x).quantize(Decimal(scale))
 
-    data = [
-        (w, dec(v, "0.001"), dec(p, "0.001"), dec(s, "0.001"), k)
-        for w, v, p, s, k in (default_rows() if rows is None else rows)
-    ]
-    return spark.createDataFrame(data, LEXICON_SCHEMA)
+    # A word has one entry: a later one replaces an earlier one.
+    unique = {row[0]: row for row in (default_rows() if rows is None else rows)}
+    data = [(w, dec(v, "0.001"), dec(p, "0.001"), dec(s, "0.001"), k) for w, v, p, s, k in unique.values()]
+    return small_table(spark, data, LEXICON_SCHEMA)

@@ -6,6 +6,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newspulse.functions.rows import small_table
+
 # English function words.
 FUNCTION_WORDS = """
 a about above after again against all also although am an and any are around as at be because been
@@ -32,7 +34,7 @@ def stopwords(*lists: Iterable[str]) -> list[str]:
 
 
 def stopword_table(spark: SparkSession, *lists: Iterable[str]) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in stopwords(*lists)], "word string")
+    return small_table(spark, [(w,) for w in stopwords(*lists)], "word string")
 
 
 def class_rows() -> list[tuple[str, str]]:
@@ -42,7 +44,8 @@ def class_rows() -> list[tuple[str, str]]:
 
 
 def class_table(spark: SparkSession, rows: Iterable[tuple[str, str]] | None = None) -> DataFrame:
-    return spark.createDataFrame(list(class_rows() if rows is None else rows), "word string, pos string")
+    unique = dict(class_rows() if rows is None else rows)
+    return small_table(spark, list(unique.items()), "word string, pos string")
 
 
 # Entity surfaces, lower-case, one to three words.
@@ -59,4 +62,5 @@ def gazetteer_rows() -> list[tuple[str, str]]:
 
 
 def gazetteer(spark: SparkSession, rows: Iterable[tuple[str, str]] | None = None) -> DataFrame:
-    return spark.createDataFrame(list(gazetteer_rows() if rows is None else rows), "surface string, label string")
+    unique = dict(gazetteer_rows() if rows is None else rows)
+    return small_table(spark, list(unique.items()), "surface string, label string")
