@@ -12,6 +12,7 @@ from newspulse.functions import regex as R
 from newspulse.operators import entities as E
 from newspulse.operators import reports
 from newspulse.operators import sentiment as N
+from newspulse.session import stage
 
 TOP_MIN_COUNT, TOP_N = 3, 20
 
@@ -83,6 +84,13 @@ def entity_statistics(spark, sf, unit="mention"):
     return E.entity_sentiment(scored, "medie", unit)
 
 
+def typed_statistics(spark, sf, unit="mention"):
+    """Entity statistics with types. The mention lists feed both, so the texts are matched only once."""
+    found = stage(lists(spark, sf), "mentions")
+    scored = scored_articles(spark, sf).join(found, "doc_id")
+    return E.attach_types(E.entity_sentiment(scored, "medie", unit), E.entity_types(found, "doc_id"))
+
+
 def _plain(df):
     return df.withColumn("average_sentiment", F.col("average_sentiment").cast("double")).withColumn(
         "average_sentiment_title", F.col("average_sentiment_title").cast("double")
@@ -114,17 +122,14 @@ def entity_media_sentiment(spark, sf):
     {_stats_sql('SELECT DISTINCT doc_id, term AS entity FROM terms')}
     SELECT {STATS_COLUMNS}, entity_type FROM stats LEFT JOIN types USING (entity)""")
 def entity_typed(spark, sf):
-    types = E.entity_types(lists(spark, sf), "doc_id")
-    return _plain(E.attach_types(entity_statistics(spark, sf, "token"), types))
+    return _plain(typed_statistics(spark, sf, "token"))
 
 
 @query(f"""WITH {STATS_SQL}, {TYPES_SQL}
     SELECT medie, entity_type, (sum(a) / 1e6) / count(*) AS mean_average_sentiment
     FROM stats JOIN types USING (entity) WHERE entity_type IS NOT NULL GROUP BY ALL""")
 def sentiment_by_type(spark, sf):
-    types = E.entity_types(lists(spark, sf), "doc_id")
-    typed = E.attach_types(entity_statistics(spark, sf), types)
-    return reports.mean_by(typed, ["medie", "entity_type"], "average_sentiment")
+    return reports.mean_by(typed_statistics(spark, sf), ["medie", "entity_type"], "average_sentiment")
 
 
 @query(f"""WITH {STATS_SQL} SELECT {STATS_COLUMNS} FROM stats WHERE cnt > {TOP_MIN_COUNT}

@@ -17,6 +17,10 @@ def text_or_empty(c: Column | str) -> Column:
     return F.coalesce(_col(c), F.lit(""))
 
 
+def _one_line(c: Column) -> Column:
+    return F.replace(c, F.lit("\n"), F.lit(" "))
+
+
 # Fixed value: the read-aloud boilerplate that one outlet leaves in its article text.
 READ_ALOUD = rf"Læs opOrdbogTekstAf {R.WORD}* [A-Z][a-z]*"
 # Fixed value: separator phrase between paragraphs in one outlet's article text.
@@ -35,7 +39,12 @@ def clean_news(c: Column | str) -> Column:
     out = F.regexp_replace(out, R.LINK, " ")
     out = F.regexp_replace(out, R.DIGITS, " ")
     out = F.regexp_replace(out, READ_ALOUD, "")
-    return F.translate(out, "\n", " ")
+    return _one_line(out)
+
+
+# Letters, white space, the digits 0 and 9 and the en dash; all other characters go.
+NOT_WHITELISTED = f"[{R.body(R.complement(R.LETTERS + R.SPACES + R.points('09–')))}]+"
+NOT_TOPICAL = f"[{R.body(R.complement(R.LETTERS + R.points(' ')))}]+"
 
 
 def clean_tech(c: Column | str) -> Column:
@@ -44,18 +53,18 @@ def clean_tech(c: Column | str) -> Column:
     The whitelist holds the digits 0 and 9 and an en dash, not the range 0-9, and runs first: markup
     and full stops are gone before any tag or period rule could match, so those rules are left out.
     """
-    out = F.regexp_replace(text_or_empty(c), rf"[^a-zA-Z0–9{R.SPACE_BODY}]+", "")
+    out = F.regexp_replace(text_or_empty(c), NOT_WHITELISTED, "")
     out = F.regexp_replace(out, R.LINK, " ")
     out = F.regexp_replace(out, R.DIGITS, " ")
-    out = F.translate(out, "\n", " ")
+    out = _one_line(out)
     return F.regexp_replace(out, r"^\r+|\r+\z", " ")
 
 
 def squeeze(c: Column | str) -> Column:
     """Newlines, the separator phrase and no-break spaces become spaces; runs of spaces become one."""
-    out = F.translate(_col(c), "\n", " ")
+    out = _one_line(_col(c))
     out = F.replace(out, F.lit(SPLIT_ELEMENT), F.lit(" "))
-    out = F.translate(out, " ", " ")
+    out = F.replace(out, F.lit("\u00a0"), F.lit(" "))
     return F.regexp_replace(out, " +", " ")
 
 
@@ -69,7 +78,7 @@ def topic_words(c: Column | str, min_length: int = 4) -> Column:
     out = F.replace(out, F.lit(HTML_MARKER), F.lit(""))
     out = F.regexp_replace(out, R.TAG, "")
     out = F.regexp_replace(out, R.LINK, "")
-    out = F.regexp_replace(out, "[^A-Za-z ]+", "")
+    out = F.regexp_replace(out, NOT_TOPICAL, "")
     return F.regexp_extract_all(out, F.lit(rf"[a-z]{{{min_length},}}"), F.lit(0))
 
 

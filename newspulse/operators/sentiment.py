@@ -99,12 +99,16 @@ def _sign(x: Column) -> Column:
     return F.when(x < 0, F.lit(-1)).otherwise(F.lit(1)).cast("decimal(1,0)")
 
 
+def _is_caps(w: Column) -> Column:
+    return (w == F.upper(w)) & (w != F.lower(w))
+
+
 def _score_hits(tokens: DataFrame, distances: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Add ``_s``: the valence of each hit after capitals, boosters and negations, nearest word first,
     then "but". One column per step: nested into each other the expressions would double every time.
     """
     v, but = F.col("valence"), F.col("_but")
-    loud = F.col("_caps") & F.col("_mixed")
+    loud = v.isNotNull() & F.col("_mixed") & _is_caps(F.col("_raw_word"))
     out = tokens.withColumn("_s", F.when(loud, v + _sign(v) * _dec(CAPS, "decimal(4,3)")).otherwise(v))
     for d in distances:
         boost = F.coalesce(F.col(f"_boost{d}"), F.lit(0).cast("decimal(6,3)"))
@@ -125,7 +129,6 @@ def compound(df: DataFrame, keys: list[str], text_col: str, lexicon: DataFrame)
     Missing text has null scores and the neutral label.
     """
     text = F.col(text_col)
-    is_caps = lambda w: (w == F.upper(w)) & (w != F.lower(w))
     marks = lambda m: F.length(text) - F.length(F.replace(text, F.lit(m), F.lit("")))
     base = df.select(
         *keys,
@@ -133,9 +136,7 @@ def compound(df: DataFrame, keys: list[str], text_col: str, lexicon: DataFrame)
         marks("!").alias("_bang"),
         marks("?").alias("_ask"),
         X.chunks(text_col).alias("_raw"),
-        # The same chunks in lower case, as join keys.
-        X.chunks(F.lower(text)).alias("_low"),
-    )
+    ).withColumn("_low", F.transform("_raw", F.lower))
     low = F.col("_low")
     zipped = F.arrays_zip(
         F.col("_raw").alias("raw"), low.alias("w"),
@@ -147,12 +148,12 @@ def compound(df: DataFrame, keys: list[str], text_col: str, lexicon: DataFrame)
     prepared = base.select(
         *keys, "_present", "_bang", "_ask", "_raw", "_low",
         F.size("_low").alias("_words"),
-        (F.exists("_raw", is_caps) & F.exists("_raw", lambda w: ~is_caps(w))).alias("_mixed"),
+        (F.exists("_raw", _is_caps) & F.exists("_raw", lambda w: ~_is_caps(w))).alias("_mixed"),
         F.array_position(low, "but").alias("_but"),
     )
     tokens = prepared.select(*keys, *per_text, F.posexplode_outer(zipped).alias("_i", "_t")).select(
         *keys, *per_text, (F.col("_i") + 1).alias("_pos"),
-        F.col("_t.w").alias("word"), is_caps(F.col("_t.raw")).alias("_caps"),
+        F.col("_t.w").alias("word"), F.col("_t.raw").alias("_raw_word"),
         *[F.col(f"_t.p{d}").alias(f"_p{d}") for d in (1, 2, 3)],
     )
     scored = tokens.join(_kind(lexicon, "valence", "word", valence="valence"), "word", "left")

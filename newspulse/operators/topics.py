@@ -11,13 +11,14 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newspulse.functions.rows import small_table
 from newspulse.operators.dedup import top_per_group
+from newspulse.operators.tokens import document_frequency, pruned_vocabulary
 from newspulse.session import stage
 
 VOCABULARY_SIZE = 100_000
@@ -45,16 +46,16 @@ def build_corpus(
 ) -> Corpus:
     """Count vectors over the vocabulary. ``prune=False`` keeps every term whatever its frequency.
 
-    Only (key, tokens) is read; the vocabulary on the driver is bounded by ``vocabulary_size``.
+    The vocabulary is the ``vocabulary_size`` terms in the most documents, which bounds what the driver
+    and the model hold. ``df`` is read twice: stage it first when its tokens are expensive.
     """
     words = df.select(key, F.array_remove(tokens, "").alias("_words"))
-    bounds = {"minDF": float(no_below), "maxDF": float(no_above)} if prune else {"minDF": 1.0}
-    counter = CountVectorizer(
-        inputCol="_words", outputCol="features", vocabSize=vocabulary_size, **bounds
-    ).fit(words)
+    kept = pruned_vocabulary(words, "_words", no_below, no_above) if prune else document_frequency(words, "_words")
+    top = kept.orderBy(F.desc("df"), "term").limit(vocabulary_size).collect()
+    counter = CountVectorizerModel.from_vocabulary([r["term"] for r in top], "_words", "features")
     vectors = counter.transform(words).select(key, "features", F.size("_words").alias("n_words"))
     staged = stage(vectors, "corpus")
-    return Corpus(staged, counter.vocabulary, counter, key, staged.count())
+    return Corpus(staged, list(counter.vocabulary), counter, key, staged.count())
 
 
 def train(
