@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newspulse.functions.rows import posexploded
+from newspulse.session import stage
 
 EPSILON = 1e-12
 
@@ -78,7 +79,8 @@ def topic_coherence(
 ) -> DataFrame:
     """(topic, coherence) for ``words`` = (topic, term): mean cosine of each word's NPMI vector with the
     topic's summed vector. Everything after the two counts has the size of the word lists."""
-    words = words.select("topic", "term").distinct()
+    # A few hundred rows that enter the plan many times: computed once, not once per use.
+    words = stage(words.select("topic", "term").distinct().coalesce(1), "topic-words")
     single, both = window_counts(df, key, tokens, words, window)
     n = F.lit(total_windows(df, tokens, window).scalar())
     p = words.join(single, "term", "left").select("topic", "term", (F.coalesce("n", F.lit(0)) / n).alias("p"))

@@ -183,6 +183,6 @@ def entity_polarity(scored: DataFrame, key: str, polarity_columns: list[str], pa
             (s / n).alias(f"mean_{p}"),
             # Exact sums of values within [-1, 1]: no cancellation to fear. + 0.0 turns -0.0 into 0.0.
             F.when(n > 1, F.round((q - s * s / n) / (n - 1), 9) + 0.0).alias(f"var_{p}"),
-            F.col(f"_n_{p}").cast("long").alias(f"count_{p}"),
+            F.coalesce(F.col(f"_n_{p}").cast("long"), F.lit(0)).alias(f"count_{p}"),
         ]
     return grouped.select("Entity", "Entity_Type", *stats, f"sample_{key}", *polarity_columns)

@@ -11,15 +11,14 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newspulse.functions.rows import small_table
 from newspulse.operators.dedup import top_per_group
 from newspulse.operators.tokens import document_frequency, pruned_vocabulary
-from newspulse.session import stage
+from newspulse.session import stage, stage_path
 
 VOCABULARY_SIZE = 100_000
 
@@ -29,7 +28,7 @@ class Corpus:
     """Count vectors by document key, staged once because every fit and transform reads them."""
 
     vectors: DataFrame  # key, features, n_words
-    vocabulary: list[str]
+    vocabulary: DataFrame  # term_id, term
     counter: CountVectorizerModel
     key: str
     size: int
@@ -47,15 +46,24 @@ def build_corpus(
     """Count vectors over the vocabulary. ``prune=False`` keeps every term whatever its frequency.
 
     The vocabulary is the ``vocabulary_size`` terms in the most documents, which bounds what the driver
-    and the model hold. ``df`` is read twice: stage it first when its tokens are expensive.
+    and the model hold. The vectoriser is fitted on that list, not on the texts. ``df`` is read twice:
+    stage it first when its tokens are expensive.
     """
     words = df.select(key, F.array_remove(tokens, "").alias("_words"))
     kept = pruned_vocabulary(words, "_words", no_below, no_above) if prune else document_frequency(words, "_words")
-    top = kept.orderBy(F.desc("df"), "term").limit(vocabulary_size).collect()
-    counter = CountVectorizerModel.from_vocabulary([r["term"] for r in top], "_words", "features")
+    top = kept.orderBy(F.desc("df"), "term").limit(vocabulary_size).select(F.array("term").alias("_words"))
+    counter = CountVectorizer(inputCol="_words", outputCol="features", vocabSize=vocabulary_size).fit(top)
     vectors = counter.transform(words).select(key, "features", F.size("_words").alias("n_words"))
     staged = stage(vectors, "corpus")
-    return Corpus(staged, list(counter.vocabulary), counter, key, staged.count())
+    return Corpus(staged, vocabulary_table(counter), counter, key, staged.count())
+
+
+def vocabulary_table(counter: CountVectorizerModel) -> DataFrame:
+    """(term_id, term), read back from the saved model: the words never pass through Python one by one."""
+    spark = SparkSession.active()
+    path = stage_path(spark, "vocabulary")
+    counter.save(path)
+    return spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("term_id", "term"))
 
 
 def train(
@@ -80,14 +88,13 @@ def train_grid(corpus: Corpus, ks: Iterable[int] = range(15, 26), **settings) ->
     return {k: train(corpus, k, **settings) for k in ks}
 
 
-def topic_words(model: LDAModel, vocabulary: list[str], n: int = 10) -> DataFrame:
+def topic_words(model: LDAModel, vocabulary: DataFrame, n: int = 10) -> DataFrame:
     """(topic, rank, term, weight): the ``n`` heaviest words of each topic, rank from 0."""
     top = model.describeTopics(n)
-    names = small_table(top.sparkSession, list(enumerate(vocabulary)), "term_id int, term string")
     return (
         top.select("topic", F.posexplode_outer(F.arrays_zip("termIndices", "termWeights")).alias("rank", "_t"))
         .select("topic", "rank", F.col("_t.termIndices").alias("term_id"), F.col("_t.termWeights").alias("weight"))
-        .join(names, "term_id")
+        .join(vocabulary, "term_id")
         .select("topic", "rank", "term", "weight")
     )
 
@@ -164,7 +171,7 @@ def relevance(model: LDAModel, corpus: Corpus, shares: DataFrame, weight: float
 
     Works on the model's topics x vocabulary table, whose size does not depend on the corpus.
     """
-    words = topic_words(model, corpus.vocabulary, len(corpus.vocabulary))
+    words = topic_words(model, corpus.vocabulary, model.vocabSize())
     with_share = words.join(prevalence(shares), "topic")
     overall = with_share.groupBy("term").agg(F.sum(F.col("weight") * F.col("share")).alias("_p"))
     score = F.lit(weight) * F.log("weight") + F.lit(1 - weight) * F.log(F.col("weight") / F.col("_p"))

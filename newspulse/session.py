@@ -63,6 +63,11 @@ def stage_dir(spark: SparkSession) -> str:
     return folder
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the stage folder."""
+    return f"{stage_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared stage folder and read it back.
 
@@ -70,6 +75,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     executor costs a re-read rather than a recomputation, and the table is computed exactly once.
     """
     spark = df.sparkSession
-    path = f"{stage_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = stage_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
