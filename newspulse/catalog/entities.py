@@ -38,7 +38,7 @@ def lists(spark, sf):
 
 
 def lists_with_media(spark, sf):
-    return articles(spark, sf).select("doc_id", "medie").join(lists(spark, sf), "doc_id")
+    return E.mention_lists(articles(spark, sf), ["doc_id", "medie"], "content", gazetteer(spark))
 
 
 @query(f"WITH {ENT_SQL} SELECT doc_id, pos, text, label FROM men")
@@ -149,7 +149,7 @@ POLARITIES = ["title_clean_polarity", "description_clean_polarity"]
 
 def _entity_polarity(spark, sf, pairing):
     fields = cleaned_fields(spark, sf)
-    scored = N.multi_column(fields, "doc_id", ["title_clean", "description_clean"], lexicon(spark))
+    scored = N.polarities(fields, ["doc_id"], ["title_clean", "description_clean"], lexicon(spark))
     found = E.mention_lists(fields, "doc_id", "content_clean", gazetteer(spark))
     out = E.entity_polarity(scored.join(found, "doc_id"), "doc_id", POLARITIES, pairing)
     return out.select(*[F.col(c).cast("double").alias(c) if c in POLARITIES else c for c in out.columns])

@@ -21,8 +21,7 @@ from newspulse.plans import articles as A
 def scored_articles(spark, sf):
     """(doc_id, medie, sentiment_content, sentiment_title): content cleaned, title as it is."""
     cleaned = articles(spark, sf).withColumn("content_clean", X.clean_news("content"))
-    scores = A.scores(cleaned, "doc_id", lexicon(spark))
-    return cleaned.select("doc_id", "medie").join(scores, "doc_id")
+    return A.scores(cleaned, ["doc_id", "medie"], lexicon(spark))
 
 
 SCORES_SQL = f"""{ART_SQL}, {LEX_SQL},
@@ -56,9 +55,8 @@ def sentiment_by_category(spark, sf):
         .withColumn("content_clean", X.clean_news("content"))
         .withColumn("category_1", C.link_category("link", 0))
     )
-    scores = N.mean_valence(rows, ["page_id"], "content_clean", lexicon(spark), "sentiment_content")
-    labelled = rows.select("page_id", "category_1").join(scores, "page_id")
-    return reports.mean_by(labelled, ["category_1"], "sentiment_content")
+    scores = N.mean_valence(rows, ["page_id", "category_1"], "content_clean", lexicon(spark), "sentiment_content")
+    return reports.mean_by(scores, ["category_1"], "sentiment_content")
 
 
 @query(f"""WITH {ART_SQL}, {LEX_SQL}, {sql_polarity('p', sql_clean_tech('content'))}
@@ -96,7 +94,7 @@ FIELD_CTES = ", ".join(sql_polarity(f, sql_clean_tech(e)) for f, e in FIELDS.ite
         {polarity_label_sql(f + '.pol')} AS {f}_polarity_label''' for f in FIELDS)}
     FROM title_clean JOIN content_clean USING (doc_id) JOIN description_clean USING (doc_id)""")
 def multi_column_sentiment(spark, sf):
-    scored = N.multi_column(cleaned_fields(spark, sf), "doc_id", list(FIELDS), lexicon(spark))
+    scored = N.polarities(cleaned_fields(spark, sf), ["doc_id"], list(FIELDS), lexicon(spark))
     return scored.select("doc_id", *[
         F.col(f"{f}_{p}").cast(t).alias(f"{f}_{p}")
         for f in FIELDS for p, t in [("polarity", "double"), ("subjectivity", "double"), ("polarity_label", "string")]

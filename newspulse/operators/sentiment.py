@@ -43,56 +43,87 @@ def unique_words(lexicon: DataFrame) -> DataFrame:
     return lexicon.dropDuplicates(["word"])
 
 
+def _stacked(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, _field, _text): one row per text column. An exploded array, since that keeps the rows of a
+    key where they are and the aggregate that follows can reuse their partitioning."""
+    rows = F.array(*[F.struct(F.lit(c).alias("_field"), F.col(c).alias("_text")) for c in columns])
+    return df.select(*keys, F.inline(rows))
+
+
+def mean_valences(df: DataFrame, keys: list[str], columns: dict[str, str], lexicon: DataFrame) -> DataFrame:
+    """Mean valence of the lexicon words of several text columns: (keys, hits_<out>, <out>) per column.
+
+    ``columns`` maps output names to text columns. All are scored in one pass and one aggregate; no hit
+    scores 0. Put columns that should ride along into ``keys``: that saves a join afterwards.
+    """
+    long = _stacked(df, keys, list(columns.values()))
+    tokens = long.select(*keys, "_field", F.explode_outer(X.terms("_text")).alias("word"))
+    sums = []
+    for out, c in columns.items():
+        v = F.when(F.col("_field") == c, F.col("valence"))
+        sums += [F.sum(v).alias(f"_{out}"), F.count(v).alias(f"hits_{out}")]
+    scored = tokens.join(_kind(lexicon, "valence", "word", valence="valence"), "word", "left").groupBy(*keys).agg(*sums)
+    mean = lambda out: fixed.mean6(F.col(f"_{out}"), F.col(f"hits_{out}"))
+    return scored.select(
+        *keys, *[f"hits_{out}" for out in columns],
+        *[F.coalesce(mean(out), F.lit(0)).cast(fixed.MEAN_TYPE).alias(out) for out in columns],
+    )
+
+
 def mean_valence(
     df: DataFrame, keys: list[str], text_col: str, lexicon: DataFrame, out: str = "sentiment"
 ) -> DataFrame:
-    """Mean valence of the lexicon words of each text: (keys, hits, ``out``); no hit scores 0."""
-    tokens = df.select(*keys, F.explode_outer(X.terms(text_col)).alias("word"))
-    return (
-        tokens.join(_kind(lexicon, "valence", "word", valence="valence"), "word", "left")
-        .groupBy(*keys)
-        .agg(F.sum("valence").alias("_total"), F.count("valence").alias("hits"))
-        .select(
-            *keys, "hits",
-            F.coalesce(fixed.mean6(F.col("_total"), F.col("hits")), F.lit(0)).cast(fixed.MEAN_TYPE).alias(out),
-        )
-    )
+    """(keys, hits, ``out``) of one text column."""
+    return mean_valences(df, keys, {out: text_col}, lexicon).withColumnRenamed(f"hits_{out}", "hits")
 
 
-def polarity(df: DataFrame, keys: list[str], text_col: str, lexicon: DataFrame) -> DataFrame:
-    """(keys, polarity, subjectivity, polarity_label); a negation one word before turns and halves a hit."""
+def polarities(df: DataFrame, keys: list[str], columns: list[str], lexicon: DataFrame) -> DataFrame:
+    """(keys, {col}_polarity, {col}_subjectivity, {col}_polarity_label) for several text columns, scored
+    in one pass and one aggregate. A negation one word before turns and halves a hit."""
     words = F.col("_words")
     tokens = (
-        df.select(*keys, X.terms(text_col).alias("_words"))
-        .select(*keys, F.explode_outer(F.arrays_zip(words.alias("w"), _shifted(words, 1).alias("p"))).alias("_t"))
-        .select(*keys, F.col("_t.w").alias("word"), F.col("_t.p").alias("_before"))
+        _stacked(df, keys, columns)
+        .select(*keys, "_field", X.terms("_text").alias("_words"))
+        .select(*keys, "_field", F.explode_outer(F.arrays_zip(words.alias("w"), _shifted(words, 1).alias("p"))).alias("_t"))
+        .select(*keys, "_field", F.col("_t.w").alias("word"), F.col("_t.p").alias("_before"))
     )
     hits = _kind(lexicon, "valence", "word", polarity="polarity", subjectivity="subjectivity")
     negations = _kind(lexicon, "negation", "_negation")
     factor = F.when(F.col("_negation").isNotNull(), _dec("-0.5", "decimal(2,1)")).otherwise(
         _dec("1.0", "decimal(2,1)")
     )
-    one, zero = F.lit(1).cast(fixed.MEAN_TYPE), F.lit(0).cast(fixed.MEAN_TYPE)
-    pol = F.coalesce(fixed.mean6(F.col("_p"), F.col("_n")), zero)
-    sub = F.coalesce(fixed.mean6(F.col("_s"), F.col("_n")), zero)
-    return (
+    sums = []
+    for c in columns:
+        here = F.col("_field") == c
+        sums += [
+            F.sum(F.when(here, F.col("polarity") * factor)).alias(f"_p_{c}"),
+            F.sum(F.when(here, F.col("subjectivity"))).alias(f"_s_{c}"),
+            F.count(F.when(here, F.col("polarity"))).alias(f"_n_{c}"),
+        ]
+    scored = (
         tokens.join(hits, "word", "left")
         # Only a hit needs its context: a null key skips the probe.
         .withColumn("_before", F.when(F.col("polarity").isNotNull(), F.col("_before")))
         .join(negations, F.col("_before") == F.col("_negation"), "left")
         .groupBy(*keys)
-        .agg(
-            F.sum(F.col("polarity") * factor).alias("_p"),
-            F.sum("subjectivity").alias("_s"),
-            F.count("polarity").alias("_n"),
-        )
-        .select(
-            *keys,
-            F.greatest(F.least(pol, one), -one).cast(fixed.MEAN_TYPE).alias("polarity"),
-            F.greatest(F.least(sub, one), zero).cast(fixed.MEAN_TYPE).alias("subjectivity"),
-        )
-        .withColumn("polarity_label", C.polarity_label("polarity"))
+        .agg(*sums)
     )
+    one, zero = F.lit(1).cast(fixed.MEAN_TYPE), F.lit(0).cast(fixed.MEAN_TYPE)
+    out = []
+    for c in columns:
+        mean = lambda part, n=F.col(f"_n_{c}"), c=c: F.coalesce(fixed.mean6(F.col(f"_{part}_{c}"), n), zero)
+        out += [
+            F.greatest(F.least(mean("p"), one), -one).cast(fixed.MEAN_TYPE).alias(f"{c}_polarity"),
+            F.greatest(F.least(mean("s"), one), zero).cast(fixed.MEAN_TYPE).alias(f"{c}_subjectivity"),
+        ]
+    means = scored.select(*keys, *out)
+    return means.select("*", *[C.polarity_label(f"{c}_polarity").alias(f"{c}_polarity_label") for c in columns])
+
+
+def polarity(df: DataFrame, keys: list[str], text_col: str, lexicon: DataFrame) -> DataFrame:
+    """(keys, polarity, subjectivity, polarity_label) of one text column."""
+    scored = polarities(df, keys, [text_col], lexicon)
+    return scored.select(*keys, *[F.col(f"{text_col}_{p}").alias(p) for p in ("polarity", "subjectivity", "polarity_label")])
 
 
 def _sign(x: Column) -> Column:
@@ -210,20 +241,6 @@ def compound(df: DataFrame, keys: list[str], text_col: str, lexicon: DataFrame)
     ).withColumn("sentiment_text", C.compound_label("compound"))
 
 
-def multi_column(df: DataFrame, key: str, columns: list[str], lexicon: DataFrame) -> DataFrame:
-    """``{col}_subjectivity``, ``{col}_polarity``, ``{col}_polarity_label`` for several text columns.
-
-    The columns are stacked into one long table and scored in one pass, whatever their number.
-    """
-    long = df.select(key, *columns).unpivot(key, columns, "_field", "_text")
-    parts = ["subjectivity", "polarity", "polarity_label"]
-    scored = polarity(long, [key, "_field"], "_text", lexicon)
-    picked = [
-        F.max(F.when(F.col("_field") == c, F.col(p))).alias(f"{c}_{p}") for c in columns for p in parts
-    ]
-    return scored.groupBy(key).agg(*picked)
-
-
 def score_struct(df: DataFrame) -> DataFrame:
     """The four scores as one struct column, the form they have before expansion."""
     scores = ["neg", "neu", "pos", "compound"]

@@ -39,17 +39,10 @@ def prepare(daily: DataFrame) -> DataFrame:
     )
 
 
-def scores(articles: DataFrame, key: str, lexicon: DataFrame, content: str = "content_clean", title: str = "title") -> DataFrame:
-    """(key, sentiment_content, sentiment_title): both fields scored in one pass over narrow rows.
-
-    Content is scored on its cleaned text, the title as it is.
-    """
-    long = articles.select(key, content, title).unpivot(key, [content, title], "_field", "_text")
-    scored = N.mean_valence(long, [key, "_field"], "_text", lexicon)
-    pick = lambda name: F.max(F.when(F.col("_field") == name, F.col("sentiment")))
-    return scored.groupBy(key).agg(
-        pick(content).alias("sentiment_content"), pick(title).alias("sentiment_title")
-    )
+def scores(articles: DataFrame, keys: list[str], lexicon: DataFrame) -> DataFrame:
+    """(keys, sentiment_content, sentiment_title): content on its cleaned text, the title as it is."""
+    fields = {"sentiment_content": "content_clean", "sentiment_title": "title"}
+    return N.mean_valences(articles, keys, fields, lexicon).select(*keys, *fields)
 
 
 def analyse(daily: DataFrame, lexicon: DataFrame, gazetteer: DataFrame, unit: str = "mention") -> ArticleTables:
@@ -57,7 +50,7 @@ def analyse(daily: DataFrame, lexicon: DataFrame, gazetteer: DataFrame, unit: st
     prepared = prepare(daily)
     lists = E.mention_lists(prepared, "link", "content_clean", gazetteer)
     articles = (
-        prepared.join(scores(prepared, "link", lexicon), "link", "left")
+        prepared.join(scores(prepared, ["link"], lexicon), "link", "left")
         .join(lists, "link", "left")
         .withColumn("enti_str", F.coalesce(E.entity_string("entities"), F.lit("")))
     )

@@ -17,7 +17,7 @@ def analyse(news: DataFrame, key: str, lexicon: DataFrame, gazetteer: DataFrame)
     cleaned = news
     for field in ("title", "description", "content"):
         cleaned = cleaned.withColumn(f"{field}_clean", X.clean_tech(field))
-    scored = N.multi_column(cleaned.select(key, *FIELDS), key, FIELDS, lexicon)
+    scored = N.polarities(cleaned, [key], FIELDS, lexicon)
     lists = E.mention_lists(cleaned, key, "title_clean", gazetteer).withColumnRenamed("entities", "title_clean_entities")
     return cleaned.join(scored, key, "left").join(lists, key, "left")
 

@@ -105,7 +105,7 @@ def test_scores_struct_round_trip(spark, lex):
 
 def test_multi_column(spark, lex):
     df = spark.createDataFrame([(1, "good", None), (2, "x", "bad")], "id int, title_clean string, content_clean string")
-    got = {r.id: r for r in N.multi_column(df, "id", ["title_clean", "content_clean"], lex).collect()}
+    got = {r.id: r for r in N.polarities(df, ["id"], ["title_clean", "content_clean"], lex).collect()}
     assert got[1].title_clean_polarity_label == "positive" and got[1].content_clean_polarity_label == "neutral"
     assert got[2].content_clean_polarity_label == "negative"
 
