@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from newspulse.catalog.base import articles, documents, lit, pages, query, table
 from newspulse.functions import columns as C
 from newspulse.operators import dedup, filters, geometry, reports
-from newspulse.sources import readers
+from newspulse.session import stage_path
+from newspulse.sources import readers, writers
+from newspulse.streaming import daily
 
 # Topic families matched to the words of the test documents. The first two reuse the shape of the
 # real ones: an exclusion with an exception.
@@ -187,13 +189,40 @@ def union_media(spark, sf):
     return dedup.union_all(web, written, chat).select("link", "title", "content", "medie")
 
 
-@query("""WITH k AS (SELECT page_id, url,
+DEDUP_SQL = """WITH k AS (SELECT page_id, url,
         CASE WHEN url NOT LIKE '%#top' THEN regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) END AS link FROM pages)
-    SELECT link, page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY link ORDER BY page_id) AS r FROM k) WHERE r = 1""")
-def dedup_link(spark, sf):
+    SELECT link, page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY link ORDER BY page_id) AS r FROM k) WHERE r = 1"""
+
+
+def _keyed_pages(pages_table):
+    """Pages with a repeating link (the host) that is sometimes missing."""
     host = F.when(~F.col("url").endswith("#top"), F.parse_url("url", F.lit("HOST")))
-    rows = table(spark, sf, "pages").select(host.alias("link"), "page_id", "url")
-    return dedup.first_per_key(rows, ["link"], ["page_id"])
+    return pages_table.select(host.alias("link"), "page_id", "url")
+
+
+@query(DEDUP_SQL)
+def dedup_link(spark, sf):
+    return dedup.first_per_key(_keyed_pages(table(spark, sf, "pages")), ["link"], ["page_id"])
+
+
+@query(DEDUP_SQL)
+def stream_dedup(spark, sf):
+    """The same rows when the pages arrive as a stream and are appended to a stored table."""
+    kind = table(spark, sf, "pages").schema
+    stream = spark.readStream.schema(kind).option("pathGlobFilter", "pages.parquet").parquet(sf)
+    stored, mark = stage_path(spark, "stream-table"), stage_path(spark, "stream-offsets")
+    daily.run_available(_keyed_pages(stream), stored, mark, order=("page_id",)).awaitTermination()
+    return spark.read.parquet(stored)
+
+
+@query("""SELECT 'doc/' || doc_id AS link, split_part(text, chr(10), 1) AS title, text AS content, source AS medie
+    FROM documents""")
+def scan_daily_csv(spark, sf):
+    """Documents written as CSV files, one folder scan to read them back."""
+    folder = stage_path(spark, "daily-csv")
+    rows = articles(spark, sf).withColumn("link", F.concat(F.lit("doc/"), "doc_id"))
+    writers.csv_export(rows.select("link", "title", "content", "medie"), folder)
+    return readers.daily_articles(spark, folder).drop("Filename", "row_id")
 
 
 @query(f"""SELECT DISTINCT user_id, title FROM (

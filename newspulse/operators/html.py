@@ -84,6 +84,21 @@ def zip_lists(pages: DataFrame, *lists: tuple[str, Column]) -> DataFrame:
     return posexploded(named, keep, zipped, "_z").select(*keep, "pos", "_z.*")
 
 
+def listed_articles(pages: DataFrame, site: Site) -> DataFrame:
+    """(medie, link, title, content) of an outlet whose front page holds its short articles in full.
+
+    Links, headlines and bodies are three lists of the page, lined up by position.
+    """
+    html = F.col("html")
+    zipped = zip_lists(
+        pages.where(F.col("medie") == site.medie).select("medie", "html"),
+        ("link", story_links(html, site.link_tag, site.link_attr, site.link_prefix, site.link_class)),
+        ("title", H.all_texts(html, site.title_tag, site.title_class)),
+        ("content", H.all_texts(html, site.body_tag, site.body_class)),
+    )
+    return zipped.drop("pos")
+
+
 VOID_TAGS = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )

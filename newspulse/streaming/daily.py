@@ -38,14 +38,15 @@ def append_new(batch: DataFrame, table_path: str, key: str = "link", order: tupl
 
 
 def run_available(
-    stream: DataFrame, table_path: str, checkpoint: str, key: str = "link"
+    stream: DataFrame, table_path: str, checkpoint: str, key: str = "link",
+    order: tuple[str, ...] = ("Filename", "row_id"),
 ) -> StreamingQuery:
     """Process every file that has arrived since the last run, then stop.
 
     Exact for any delay between repeats: the stored table itself is the memory, no state is kept.
     """
     return (
-        stream.writeStream.foreachBatch(lambda batch, _: append_new(batch, table_path, key))
+        stream.writeStream.foreachBatch(lambda batch, _: append_new(batch, table_path, key, order))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -10,6 +10,7 @@ from newspulse.functions import html as H
 from newspulse.functions import text as X
 from newspulse.operators import filters, geometry, reports, tokens
 from newspulse.operators import html as O
+from newspulse.plans.pages import gather
 from newspulse.resources import patterns, words
 
 
@@ -79,6 +80,23 @@ def test_zip_lists_pads_with_null(spark):
     assert [(r.pos, r.title, r.content) for r in got] == [(0, "a", "x"), (1, "b", None)]
 
 
+def test_gather_links_pages_and_listed_articles(spark):
+    short = "hydra-latest-news-page-short-news"
+    fronts = [
+        ("EB", '<article data-priority="B"><a href="/1"></a></article><article data-priority="B"><a href="/1"></a></article>'),
+        ("DR", f'<div class="dre-teaser"><a href="n/1"></a></div><article class="{short}">'
+               f'<h2 class="{short}__title dre-variables">T1</h2>tekst</article><article class="{short}">mere</article>'),
+    ]
+    pages = [("https://ekstrabladet.dk/1", page(BODY)), ("https://ekstrabladet.dk/2", page(BODY))]
+    got = gather(
+        spark.createDataFrame(fronts, "medie string, html string"), spark.createDataFrame(pages, "url string, html string")
+    ).collect()
+    assert sorted(((r.link, r.title, r.content, r.medie) for r in got), key=str) == sorted([
+        ("https://ekstrabladet.dk/1", " Over skrift ", "Et & to treindre dyb slut", "EB"),
+        ("https://dr.dk/n/1", "T1", "T1tekst", "DR"), (None, None, "mere", "DR"),
+    ], key=str)
+
+
 def test_with_text_needs_two_characters(spark):
     df = spark.createDataFrame([(None,), ("",), ("a",), ("ab",)], "content string")
     assert [r.content for r in filters.with_text(df).collect()] == ["ab"]
