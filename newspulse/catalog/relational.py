@@ -133,7 +133,7 @@ def parse_ts(spark, sf):
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'error' THEN NULL WHEN 'view' THEN NULL
-    ELSE CAST(floor(epoch(ts)) AS BIGINT) END AS published_s FROM events""")
+    ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS published FROM events""")
 def parse_ts_coerce(spark, sf):
     compact = F.date_format("ts", "yyyyMMdd'T'HHmmss")
     broken = F.when(F.col("event_type") == "error", F.concat(F.lit("x"), compact)).when(
@@ -141,7 +141,7 @@ def parse_ts_coerce(spark, sf):
     )
     stamped = table(spark, sf, "events").withColumn("time_published", broken)
     return stamped.select(
-        "event_id", F.unix_timestamp(C.compact_timestamp("time_published")).alias("published_s")
+        "event_id", F.date_format(C.compact_timestamp("time_published"), "yyyy-MM-dd HH:mm:ss").alias("published")
     )
 
 

@@ -99,6 +99,17 @@ def sql_table(spark: SparkSession, name: str, jdbc: dict[str, str] | None = None
     return spark.read.format("jdbc").options(**{**jdbc, "dbtable": name}).load()
 
 
+def choose_sources(
+    sources: DataFrame, language: str | None = "en", country: str | None = "us", category: str | None = "technology"
+) -> DataFrame:
+    """Source table narrowed by language, country and category (``None`` accepts all), its id as ``source_id``."""
+    wanted = {"language": language, "country": country, "category": category}
+    for column, value in wanted.items():
+        if value is not None:
+            sources = sources.where(F.col(column) == value)
+    return sources.withColumnRenamed("id", "source_id")
+
+
 def landed_articles(
     articles: DataFrame,
     sources: DataFrame,

@@ -74,8 +74,12 @@ def test_json_articles_flatten(spark, tmp_path):
 
 def test_json_sources(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"sources": [{"id": "wired", "category": "technology", "language": "en", "country": "us"}]}))
-    row = readers.json_sources(spark, str(tmp_path)).first()
+    table = readers.json_sources(spark, str(tmp_path))
+    row = table.first()
     assert (row.id, row.category, row.name) == ("wired", "technology", None)
+    assert [r.source_id for r in readers.choose_sources(table).collect()] == ["wired"]
+    assert readers.choose_sources(table, category="general").count() == 0
+    assert readers.choose_sources(table, None, None, None).count() == 1
 
 
 def test_json_feed_with_and_without_list(spark, tmp_path):
