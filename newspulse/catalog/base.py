@@ -80,6 +80,12 @@ def gazetteer(spark: SparkSession) -> DataFrame:
 
 # ---- SQL building blocks ------------------------------------------------------------------------
 
+# Token patterns for the SQL engine, which has no possessive quantifiers.
+SQL_TERM = rf"{R.WORD}+(?:'{R.WORD}+)*"
+SQL_CHUNK = rf"{R.WORD}(?:[^{R.SPACE_BODY}]*{R.WORD})?"
+SQL_PHRASE_TOKEN = rf"{R.WORD}+(?:['’-]{R.WORD}+)*|[.,;:!?|()\x22]"
+
+
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -126,7 +132,7 @@ def sql_squeeze(c: str) -> str:
 
 
 def sql_terms(c: str) -> str:
-    return f"regexp_extract_all(lower(coalesce({c}, '')), {lit(R.TERM)})"
+    return f"regexp_extract_all(lower(coalesce({c}, '')), {lit(SQL_TERM)})"
 
 
 def sql_topic_words(c: str) -> str:
@@ -155,7 +161,7 @@ def sql_entities(text: str = "content", source: str = "art") -> str:
     """CTE ``ents(doc_id, kept)``: mentions in order, longest match first; needs ``gaz`` and ``source``."""
     return f"""
     etok AS (SELECT doc_id, unnest(toks) AS a, unnest(range(len(toks))) AS pos FROM
-        (SELECT doc_id, regexp_extract_all({text}, {lit(R.PHRASE_TOKEN)}) AS toks FROM {source})),
+        (SELECT doc_id, regexp_extract_all({text}, {lit(SQL_PHRASE_TOKEN)}) AS toks FROM {source})),
     enext AS (SELECT doc_id, pos, a, lead(a, 1) OVER w AS b, lead(a, 2) OVER w AS c FROM etok
         WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
     ecand AS (

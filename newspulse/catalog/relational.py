@@ -98,6 +98,18 @@ def compound_label(spark, sf):
     return table(spark, sf, "events").select("event_id", C.compound_label(score).alias("label"))
 
 
+@query("""SELECT 'doc/' || doc_id AS url, source AS source_id, upper(source) AS source_name,
+    split_part(text, chr(10), 1) AS title, text AS content FROM documents""")
+def json_articles_flatten(spark, sf):
+    """Documents written as news documents, one per line, and flattened back."""
+    folder = stage_path(spark, "news-json")
+    source = F.struct(F.col("medie").alias("id"), F.upper("medie").alias("name"))
+    record = F.struct(source.alias("source"), "title", F.concat(F.lit("doc/"), "doc_id").alias("url"), "content")
+    articles(spark, sf).select(F.lit("ok").alias("status"), F.array(record).alias("articles")).write.json(folder)
+    flat = readers.json_articles(spark, folder, multi_line=False)
+    return flat.select("url", "source_id", "source_name", "title", "content")
+
+
 K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
 

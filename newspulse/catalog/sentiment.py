@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newspulse.catalog.base import (
-    ART_SQL, LEX_SQL, articles, lexicon, lit, pages, polarity_label_sql, query, rdiv, sql_clean_news,
+    ART_SQL, LEX_SQL, SQL_CHUNK, articles, lexicon, lit, pages, polarity_label_sql, query, rdiv, sql_clean_news,
     sql_clean_tech, sql_mean_valence, sql_polarity,
 )
 from newspulse.catalog.html import ARTICLE_SQL
 from newspulse.functions import columns as C
-from newspulse.functions import regex as R
 from newspulse.functions import text as X
 from newspulse.operators import html as O
 from newspulse.operators import reports
@@ -111,8 +110,8 @@ def _neg(c):
 
 COMPOUND_SQL = f"""
     WITH {LEX_SQL},
-    base AS (SELECT doc_id, text, regexp_extract_all(text, {lit(R.CHUNK)}) AS raw,
-        regexp_extract_all(lower(text), {lit(R.CHUNK)}) AS low FROM documents),
+    base AS (SELECT doc_id, text, regexp_extract_all(text, {lit(SQL_CHUNK)}) AS raw,
+        regexp_extract_all(lower(text), {lit(SQL_CHUNK)}) AS low FROM documents),
     tok AS (SELECT doc_id, unnest(raw) AS r, unnest(low) AS w, unnest(range(1, len(low) + 1)) AS i FROM base),
     caps AS (SELECT *, (r = upper(r) AND r <> lower(r)) AS up,
             lag(w, 1) OVER d AS p1, lag(w, 2) OVER d AS p2, lag(w, 3) OVER d AS p3

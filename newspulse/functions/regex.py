@@ -55,14 +55,16 @@ TAG = r"<[^\n]*?>"
 LINK = rf"http{NOT_SPACE}+"
 DIGITS = "[0-9]+"
 
+# The repeated groups are possessive: Java matches those in a loop, the plain form by recursion, which a
+# text without white space could drive into a stack overflow.
 # Words of a text; an apostrophe between word characters stays inside the word (don't).
-TERM = rf"{WORD}+(?:'{WORD}+)*"
+TERM = rf"{WORD}++(?:'{WORD}++)*+"
 # Count-vectoriser terms: runs of at least two word characters.
 TERM2 = rf"{WORD}{{2,}}"
 # White-space separated chunks without the punctuation at either end.
-CHUNK = rf"{WORD}(?:{NOT_SPACE}*{WORD})?"
+CHUNK = rf"{WORD}++(?:[^\p{{L}}\p{{N}}_{SPACE_BODY}]++{WORD}++)*+"
 # Words and, as tokens of their own, the punctuation that separates phrases.
-PHRASE_TOKEN = rf"{WORD}+(?:['’-]{WORD}+)*|[.,;:!?|()\x22]"
+PHRASE_TOKEN = rf"{WORD}++(?:['’-]{WORD}++)*+|[.,;:!?|()\x22]"
 
 
 def _has_bare_bar(pattern: str) -> bool:

@@ -51,8 +51,9 @@ def unnest(envelopes: DataFrame, list_column: str) -> DataFrame:
     return envelopes.select(F.explode(list_column).alias("_r")).select(*_flat("_r", record))
 
 
-def json_articles(spark: SparkSession, path: str) -> DataFrame:
-    envelopes = spark.read.schema(S.NEWS_ENVELOPE).option("multiLine", True).json(path)
+def json_articles(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """News documents; ``multi_line=False`` for files with one document per line, which can be split."""
+    envelopes = spark.read.schema(S.NEWS_ENVELOPE).option("multiLine", multi_line).json(path)
     return unnest(envelopes, "articles")
 
 

@@ -97,6 +97,13 @@ def test_long_text_scores_in_linear_space(spark, lex):
     assert row.compound == pytest.approx(0.0) and row.neu == pytest.approx(round(20_000 / (20_000 + 2 * 58_000), 3))
 
 
+def test_texts_without_white_space_do_not_exhaust_the_stack(spark, lex, gaz):
+    df = texts(spark, "a'" * 200_000, "b." * 200_000, "c-" * 200_000)
+    assert N.mean_valence(df, ["id"], "t", lex).count() == 3
+    assert [r.neu for r in N.compound(df, ["id"], "t", lex).collect()] == [1.0, 1.0, 1.0]
+    assert E.mention_lists(df, "id", "t", gaz).count() == 0
+
+
 def test_scores_struct_round_trip(spark, lex):
     scored = N.compound(texts(spark, "good"), ["id"], "t", lex)
     again = N.expand_scores(N.score_struct(scored))
