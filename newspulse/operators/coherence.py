@@ -11,27 +11,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newspulse.functions.rows import posexploded
+from newspulse.functions.rows import small_table
 from newspulse.session import stage
 
 EPSILON = 1e-12
 
 
-def _coverage(df: DataFrame, key: str, tokens: str, words: DataFrame, window: int) -> DataFrame:
+def occurrences(df: DataFrame, key: str, tokens: str, listed: list[str]) -> DataFrame:
+    """(key, size, p, term): where the listed words stand, and the first token of every text whatever it is.
+
+    The only pass over the corpus, staged for the many small steps that follow. The first tokens stand for
+    their texts when windows are counted, so texts without any listed word are not forgotten.
+    """
+    sized = df.select(key, tokens, F.size(tokens).alias("size"))
+    rows = sized.select(key, "size", F.posexplode_outer(tokens).alias("p", "term"))
+    wanted = F.col("term").isin(listed) | F.coalesce(F.col("p") == 0, F.lit(True))
+    return stage(rows.where(wanted), "occurrences")
+
+
+def _coverage(at: DataFrame, key: str, listed: list[str], window: int) -> DataFrame:
     """(key, block, term, lo, hi): disjoint runs of window numbers that contain the term.
 
     Runs are cut at multiples of ``window`` so that two terms can be matched by block.
     """
-    last = F.greatest(F.size(tokens) - window, F.lit(0))
-    sized = df.select(key, tokens, last.alias("_last"))
-    at = (
-        posexploded(sized, [key, "_last"], tokens, "term", "p")
-        .join(words.select("term").distinct(), "term", "left_semi")
-        .select(
-            key, "term", "p",
-            F.greatest(F.col("p") - (window - 1), F.lit(0)).alias("lo"),
-            F.least("p", "_last").alias("hi"),
-        )
+    last = F.greatest(F.col("size") - window, F.lit(0))
+    at = at.where(F.col("term").isin(listed)).select(
+        key, "term", "p",
+        F.greatest(F.col("p") - (window - 1), F.lit(0)).alias("lo"),
+        F.least(F.col("p"), last).alias("hi"),
     )
     # Earlier occurrences of the same term already cover the windows up to their own "hi".
     before = Window.partitionBy(key, "term").orderBy("p")
@@ -47,13 +54,13 @@ def _coverage(df: DataFrame, key: str, tokens: str, words: DataFrame, window: in
 
 
 def window_counts(
-    df: DataFrame, key: str, tokens: str, words: DataFrame, window: int = 110
+    at: DataFrame, key: str, words: DataFrame, listed: list[str], window: int = 110
 ) -> tuple[DataFrame, DataFrame]:
     """(term, n) and (a, b, n): windows that hold a topic word, or both words of a pair of one topic.
 
     Pairs come from the topics' own word lists (a few hundred rows), a < b.
     """
-    cover = _coverage(df, key, tokens, words, window)
+    cover = _coverage(at, key, listed, window)
     single = cover.groupBy("term").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("n"))
     one, two = words.select("topic", F.col("term").alias("a")), words.select("topic", F.col("term").alias("b"))
     pairs = one.join(two, "topic").where(F.col("a") < F.col("b")).select("a", "b").distinct()
@@ -69,9 +76,11 @@ def window_counts(
     return single, both
 
 
-def total_windows(df: DataFrame, tokens: str, window: int = 110) -> DataFrame:
+def total_windows(at: DataFrame, window: int = 110) -> DataFrame:
     """One row: the number of windows; a text shorter than the window is one window."""
-    return df.agg(F.sum(F.greatest(F.size(tokens) - window + 1, F.lit(1))).cast("double").alias("windows"))
+    texts = at.where(F.coalesce(F.col("p") == 0, F.lit(True)))
+    size = F.greatest(F.col("size") - window + 1, F.lit(1))
+    return texts.agg(F.sum(size).cast("double").alias("windows"))
 
 
 def topic_coherence(
@@ -79,10 +88,14 @@ def topic_coherence(
 ) -> DataFrame:
     """(topic, coherence) for ``words`` = (topic, term): mean cosine of each word's NPMI vector with the
     topic's summed vector. Everything after the two counts has the size of the word lists."""
-    # A few hundred rows that enter the plan many times: computed once, not once per use.
-    words = stage(words.select("topic", "term").distinct().coalesce(1), "topic-words")
-    single, both = window_counts(df, key, tokens, words, window)
-    n = F.lit(total_windows(df, tokens, window).scalar())
+    # The word lists enter the plan many times and have the size of the models' top words, not of the
+    # corpus: fetched once, they become a local relation.
+    words = words.select("topic", "term").distinct()
+    words = small_table(df.sparkSession, [tuple(r) for r in words.collect()], words.schema)
+    listed = sorted({r["term"] for r in words.collect()})
+    at = occurrences(df, key, tokens, listed)
+    single, both = window_counts(at, key, words, listed, window)
+    n = F.lit(total_windows(at, window).scalar())
     p = words.join(single, "term", "left").select("topic", "term", (F.coalesce("n", F.lit(0)) / n).alias("p"))
     mirrored = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     joint = mirrored.select("a", "b", (F.col("n") / n).alias("p_ab"))
