@@ -14,7 +14,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
 # One landed file per day: link, title, content, outlet label.
 DAILY_ARTICLES = _struct(link=STR, title=STR, content=STR, medie=STR)
 
-# News API document: a list of articles with a nested source.
+# News document: a list of articles with a nested source.
 NEWS_ARTICLE = _struct(
     source=_struct(id=STR, name=STR), author=STR, title=STR, description=STR, url=STR,
     urlToImage=STR, publishedAt=STR, content=STR,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *[F.col(k) for k in keys])
 
 
+@cache
+def _local_stage_dir(application_id: str) -> str:
+    return tempfile.mkdtemp(prefix="newspulse-stage-")
+
+
 def stage_dir(spark: SparkSession) -> str:
     """Folder for staged intermediate tables: the session's ``spark.checkpoint.dir``.
 
@@ -58,9 +64,7 @@ def stage_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="newspulse-stage-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_stage_dir(spark.sparkContext.applicationId)
 
 
 def stage_path(spark: SparkSession, name: str) -> str:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from newspulse.functions.rows import small_table
 from newspulse.operators import coherence, generate, topics
 from newspulse.plans import topics as flow
+from newspulse.session import stage_dir
 
 SPORT = "football match goal league player coach".split()
 MONEY = "market bank shares rates profit trade".split()
@@ -137,6 +138,22 @@ def test_topic_flow_picks_the_best_model(spark):
     assert done.articles.count() == 39 and sum(r["count"] for r in done.counts.dropna().collect()) == 39
 
 
+class _Session:
+    """Just enough of a session to ask for its stage folder."""
+
+    def __init__(self, master, folder=None):
+        self.sparkContext = type("C", (), {"master": master, "applicationId": f"app-{master}"})()
+        self.conf = type("F", (), {"get": staticmethod(lambda key, default=None: folder or default)})()
+
+
+def test_stage_folder_is_the_session_setting_and_never_a_local_one_on_a_cluster():
+    assert stage_dir(_Session("spark://host", "/shared/x")) == "/shared/x"
+    with pytest.raises(ValueError):
+        stage_dir(_Session("spark://host"))
+    local = _Session("local[2]")
+    assert stage_dir(local) == stage_dir(local)
+
+
 TODAY = date(2024, 5, 1)
 
 
