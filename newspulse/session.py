@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,23 +48,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *[F.col(k) for k in keys])
 
 
-@cache
-def _local_stage_dir(application_id: str) -> str:
-    return tempfile.mkdtemp(prefix="newspulse-stage-")
-
-
 def stage_dir(spark: SparkSession) -> str:
-    """Folder for staged intermediate tables: the session's ``spark.checkpoint.dir``.
+    """Folder for staged intermediate tables, on storage that the driver and all executors share.
 
-    Only a local session may fall back to a temporary folder; on a cluster the folder has to be
-    shared between hosts, so a missing setting is an error there.
+    The session's ``spark.checkpoint.dir``; where that is unset, a folder below the warehouse.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _local_stage_dir(spark.sparkContext.applicationId)
+    return configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
@@ -72,13 +62,41 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{stage_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def staged_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables staged inside the block when it ends; write or collect its results before that."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            fs, where = _file_system(spark, path)
+            fs.delete(where, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared stage folder and read it back.
 
     Used where one expensive table feeds many jobs (a grid of model fits): the lineage is cut, a lost
-    executor costs a re-read rather than a recomputation, and the table is computed exactly once.
+    executor costs a re-read rather than a recomputation, and the table is computed exactly once. The
+    enclosing ``staged_tables`` block deletes it; outside any block it goes when the application ends.
     """
     spark = df.sparkSession
     path = stage_path(spark, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    else:
+        fs, where = _file_system(spark, path)
+        fs.deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
