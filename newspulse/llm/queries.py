@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newspulse.llm import mixing, near_dups, packing, quality_rules, secrets, wavelet
+from newspulse.llm import (
+    language, main_text, mixing, near_dups, packing, phrases, quality_net, quality_rules, secrets, wavelet,
+)
 from newspulse.session import stage_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +30,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+@query()
+def op1_quality_net(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return quality_net.score(docs, quality_net.learn(docs, table(spark, sf, "labels")))
+
+
 @query()
 def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     spans = secrets.scan(table(spark, sf, "documents"))
@@ -37,6 +45,16 @@ def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+@query()
+def op3_phrase_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.fingerprint_documents(table(spark, sf, "documents"))
+
+
+@query()
+def op4_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return main_text.main_text(table(spark, sf, "pages"))
+
+
 @query()
 def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"))
@@ -54,6 +72,12 @@ def op7_minhash_odd_sketches(spark: SparkSession, sf: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf, "documents"))
 
 
+@query()
+def op8_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
 @query()
 def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf, "documents"))
