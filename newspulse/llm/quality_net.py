@@ -121,9 +121,9 @@ def train(texts: list[str], labels: list[int], passes: int = PASSES, rate: float
     total = passes * -(-len(ready) // batch)
     for _ in range(passes):
         order = draw.permutation(len(ready))
-        for at in range(0, len(order), batch):
+        for start in range(0, len(order), batch):
             grad = {p: np.zeros_like(getattr(net, p), dtype=np.float64) for p in params}
-            some = order[at:at + batch]
+            some = order[start:start + batch]
             for i in some:
                 data, flags = ready[i]
                 pooled, where = net.pool(data, flags)
@@ -133,12 +133,11 @@ def train(texts: list[str], labels: list[int], passes: int = PASSES, rate: float
                 grad["shift"] += d
                 live = d * net.out * (pooled > 0)
                 grad["bias"] += live
-                for f in np.flatnonzero(live):
-                    w = where[f]
-                    x = net.chunks(data, flags, w, w + 1)[0]
-                    grad["filters"][:, f] += live[f] * x
-                    back = (live[f] * net.filters[:, f]).reshape(WIDTH, CHANNELS)[:, :EMBED]
-                    np.add.at(grad["embed"], data[w * STRIDE:w * STRIDE + WIDTH], back)
+                at = where[:, None] * STRIDE + np.arange(WIDTH)
+                x = np.concatenate([net.embed[data[at]], flags[at]], axis=2).reshape(FILTERS, -1)
+                grad["filters"] += (live[:, None] * x).T
+                back = (live[:, None] * net.filters.T).reshape(FILTERS * WIDTH, CHANNELS)[:, :EMBED]
+                np.add.at(grad["embed"], data[at].ravel(), back)
             t += 1
             step = rate * min(1.0, 2 * (1 - t / (total + 1)))
             for p in params:
