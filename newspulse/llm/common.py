@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 # White space between words, everywhere in this subpackage: space and the controls from tab to return.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+SLICE = 128  # texts whose results are held as Python objects at a time
 
 
 def text_udf(make: Callable[[], Callable[[str | None], tuple]], schema: T.StructType) -> Callable[[Column], Column]:
@@ -26,10 +27,11 @@ def text_udf(make: Callable[[], Callable[[str | None], tuple]], schema: T.Struct
     @F.arrow_udf(schema)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         one = make()
-        for texts in batches:
-            columns = list(zip(*[one(t.as_py()) for t in texts])) or [[] for _ in fields]
-            arrays = [pa.array(c, type=f.type) for c, f in zip(columns, fields)]
-            yield pa.StructArray.from_arrays(arrays, fields=list(fields))
+        for batch in batches:
+            for at in range(0, max(len(batch), 1), SLICE):
+                columns = list(zip(*[one(t.as_py()) for t in batch.slice(at, SLICE)])) or [[] for _ in fields]
+                arrays = [pa.array(c, type=f.type) for c, f in zip(columns, fields)]
+                yield pa.StructArray.from_arrays(arrays, fields=list(fields))
 
     return run
 

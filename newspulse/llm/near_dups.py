@@ -49,7 +49,7 @@ class Settings:
     screen: float = 0.57
     left: int = 256
     right: int = 1024
-    most: int = 2_000_000
+    most: int = 1_000_000
     small: int = 200_000
     seed: int = 20
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from newspulse.llm.common import ref
+from newspulse.llm.common import SLICE, ref
 from newspulse.llm.token_ids import Encoder
 from newspulse.session import stage
 
@@ -52,9 +52,10 @@ def pieces(
     @F.arrow_udf(PIECES)
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder, end = Encoder(tokenizer), end_id.to_bytes(4, "little")
-        for texts in batches:
-            rows = [cut(encoder.encode(t.as_py() or "") + end, size, with_ids) for t in texts]
-            yield pa.array([{"doc_tokens": n, "pieces": p} for n, p in rows], kind)
+        for batch in batches:
+            for at in range(0, max(len(batch), 1), SLICE):
+                rows = [cut(encoder.encode(t.as_py() or "") + end, size, with_ids) for t in batch.slice(at, SLICE)]
+                yield pa.array([{"doc_tokens": n, "pieces": p} for n, p in rows], kind)
 
     coded = docs.select(ref(key).alias("key"), encode(ref(text).cast("string")).alias("c"))
     out = coded.select("key", "c.doc_tokens", F.explode("c.pieces").alias("p"))
