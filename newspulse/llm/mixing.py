@@ -164,11 +164,11 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
 
 def take_mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", **how) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as it is taken, with its columns unchanged."""
+    made = [free_name(docs, n) for n in ("mix_source", "mix_id", "mix_hash", "mix_copies", "mix_again", "mix_text_hash")]
+    of, id_, hash_, copies, again, own = made
     each = decisions(docs, text=text, key=key, source=source, **how).where("copies > 0").select(
-        F.col("source").alias("s__"), F.col("id").alias("i__"), F.col("hash").alias("h__"), F.col("copies").alias("c__"))
-    name = free_name(docs, "text_hash")
-    hashed = docs.withColumn(name, F.xxhash64(ref(text)))
-    found = hashed.join(
-        each, ref(key).eqNullSafe(F.col("i__")) & (ref(name) == F.col("h__")) & ref(source).eqNullSafe(F.col("s__")))
-    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("c__"))).alias("n__")
-    return found.select(*[ref(c) for c in docs.columns], again).drop("n__")
+        F.col("source").alias(of), F.col("id").alias(id_), F.col("hash").alias(hash_), F.col("copies").alias(copies))
+    found = docs.withColumn(own, F.xxhash64(ref(text))).join(
+        each, ref(key).eqNullSafe(ref(id_)) & (ref(own) == ref(hash_)) & ref(source).eqNullSafe(ref(of)))
+    times = F.explode(F.sequence(F.lit(1).cast("long"), ref(copies))).alias(again)
+    return found.select(*[ref(c) for c in docs.columns], times).drop(again)

@@ -37,20 +37,16 @@ class Encoder:
             pieces = CUT.split(text)
         else:
             pieces = text.replace(" ", "\0 ").split("\0") if "\0" not in text else CUT.split(text)
-        known = self.known
-        found = list(map(known.get, pieces))
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        found = list(map(self.known.get, pieces))
         if None in found:
             self.learn([p for p, ids in zip(pieces, found) if ids is None])
             found = list(map(self.known.get, pieces))
-            if None in found:  # the table has just been renewed
-                self.learn([p for p, ids in zip(pieces, found) if ids is None])
-                found = list(map(self.known.get, pieces))
         return b"".join(found)
 
     def learn(self, missing: list[str]) -> None:
-        """Add the pieces; a full table becomes the older one first."""
-        if len(self.known) > self.most:
-            self.known, self.older = {}, self.known
+        """Add the pieces, from the older table or by the library."""
         known, older = self.known, self.older
         wanted, parts = {}, {}
         for piece in dict.fromkeys(missing):
