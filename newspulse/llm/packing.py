@@ -54,7 +54,8 @@ def pieces(
         encoder, end = Encoder(tokenizer), end_id.to_bytes(4, "little")
         for batch in batches:
             for at in range(0, max(len(batch), 1), SLICE):
-                rows = [cut(encoder.encode(t.as_py() or "") + end, size, with_ids) for t in batch.slice(at, SLICE)]
+                texts = [t.as_py() or "" for t in batch.slice(at, SLICE)]
+                rows = [cut(ids + end, size, with_ids) for ids in encoder.encode_all(texts)]
                 yield pa.array([{"doc_tokens": n, "pieces": p} for n, p in rows], kind)
 
     coded = docs.select(ref(key).alias("key"), encode(ref(text).cast("string")).alias("c"))

@@ -1,12 +1,16 @@
 """Token ids of whole texts with a tokenizers file: every distinct piece of a text is encoded once per task.
 
 A text is cut where no token can cross: before a space that follows a character which is not white space,
-and around line ends and closing punctuation. The library encodes the pieces it has not seen, the ids of
-the others come from a bounded table, and the ids of a text are those of its pieces in order.
+and, in ordinary texts, around commas, full stops and line ends. Where the tokenizer itself drops white space
+and case, ordinary texts are cut at all white space and lower-cased first, so more pieces are alike. The library
+encodes the pieces it has not seen, the ids of the others come from a bounded table, and the ids of a text are
+those of its pieces in order.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from array import array
 
@@ -14,9 +18,16 @@ from tokenizers import Tokenizer
 
 # Before a space after anything that is not white space.
 CUT = re.compile(r"(?<=\S)(?= )")
-UNSURE = re.compile(r"\s ")
-# A word, its closing punctuation, and what follows after one line end.
-PARTS = re.compile(r"^([^\W\d_]+| [^\W\d_]+)([.,!?;:]*)(?:(\n)([^\W\d_]+))?([.,!?;:]*)$")
+# What makes a text unusual: punctuation in a row, rare white space, white space in a row or before a comma or
+# full stop. Patterns of one character class and plain substrings are what is searched fastest.
+IN_A_ROW = re.compile(r"[^\w\s]{2}")
+RARE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000_\0]")
+PAIRS = ("  ", " \n", "\n ", "\n\n", " ,", " .", "\n,", "\n.")
+# Where white space and case do not count: characters whose lower case or composition needs its context.
+RARE_FOLDED = re.compile("[_\0\x1c-\x1f\u0130\u0250-\U0010ffff]")
+# How byte-level tokenizers write bytes: printable Latin-1 signs as they are, the others from U+0100 on in order.
+PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PLAIN)}
 
 
 class Encoder:
@@ -25,43 +36,54 @@ class Encoder:
     Up to ``most`` pieces are remembered, and as many older ones that are taken over when they occur again.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs side by side
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        spec = json.loads(self.tokenizer.to_str())
+        # Words alone count: case is folded, and the pattern that makes words keeps no white space.
+        self.folds = "Lowercase" in json.dumps(spec["normalizer"]) and "Removed" in json.dumps(spec["pre_tokenizer"])
         self.most = most
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def pieces(self, text: str) -> list[str]:
+        if self.folds:
+            if RARE_FOLDED.search(text) or IN_A_ROW.search(text):
+                return CUT.split(text)
+            return text.lower().replace(",", " , ").replace(".", " . ").split()
+        if RARE.search(text) or IN_A_ROW.search(text) or any(p in text for p in PAIRS):
+            return CUT.split(text)
+        return text.replace(" ", "\0 ").replace(",", "\0,").replace(".", "\0.").replace("\n", "\0\n\0").split("\0")
+
     def encode(self, text: str) -> bytes:
-        if UNSURE.search(text):
-            pieces = CUT.split(text)
-        else:
-            pieces = text.replace(" ", "\0 ").split("\0") if "\0" not in text else CUT.split(text)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of several texts; what they have that is new is one call of the library."""
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            self.learn([p for p, ids in zip(pieces, found) if ids is None])
-            found = list(map(self.known.get, pieces))
-        return b"".join(found)
+        cut = [self.pieces(t) for t in texts]
+        missing = {p: None for pieces in cut for p in set(pieces).difference(self.known)}
+        if missing:
+            self.learn(list(missing))
+        get = self.known.__getitem__
+        return [b"".join(map(get, pieces)) for pieces in cut]
 
     def learn(self, missing: list[str]) -> None:
-        """Add the pieces, from the older table or by the library."""
-        known, older = self.known, self.older
-        wanted, parts = {}, {}
-        for piece in dict.fromkeys(missing):
+        """Add the pieces, from the older table or by the library.
+
+        A piece of letters alone is one word to the tokenizer, whose model can be asked directly.
+        """
+        wanted, ask, older = [], self.tokenizer.model.tokenize, self.older
+        for piece in missing:
+            word = piece[1:] if piece[:1] == " " else piece
             if piece in older:
-                known[piece] = older[piece]
-            elif (m := PARTS.match(piece)) and m[1] != piece:
-                parts[piece] = xs = [x for x in m.groups() if x]
-                for x in xs:
-                    if x in older:
-                        known[x] = older[x]
-                    elif x not in known:
-                        wanted[x] = None
-            elif piece not in known:
-                wanted[piece] = None
-        for piece, e in zip(wanted, self.tokenizer.encode_batch_fast(list(wanted), add_special_tokens=False)):
-            known[piece] = array("I", e.ids).tobytes()
-        for piece, xs in parts.items():
-            known[piece] = b"".join([known[x] for x in xs])
+                self.known[piece] = older[piece]
+            elif not word.isalpha() or self.folds and (word != word.lower() or RARE_FOLDED.search(word)):
+                wanted.append(piece)
+            else:
+                signs = (word if self.folds else piece).encode().decode("latin-1").translate(SIGNS)
+                self.known[piece] = array("I", [t.id for t in ask(signs)]).tobytes()
+        for piece, e in zip(wanted, self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False)):
+            self.known[piece] = array("I", e.ids).tobytes()

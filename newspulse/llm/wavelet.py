@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newspulse.llm.common import ref
+from newspulse.llm.common import SLICE, ref
 from newspulse.llm.token_ids import Encoder
 
 MAGIC = b"WVM1"
@@ -211,16 +211,18 @@ def write_shards(
                 [pa.array(x, k) for x, k in zip(row, kinds)], ["part", "seq", "n_docs", "n_tokens", "payload"])
 
         for batch in batches:
-            for k, t in zip(batch.column(0), batch.column(1)):
-                ids = encoder.encode(t.as_py() or "") + end
-                keys.append(k.as_py())
-                lengths.append(len(ids) // 4)
-                parts.append(ids)
-                n += len(ids) // 4
-                if n >= shard_tokens:
-                    yield shard()
-                    seq += 1
-                    keys, lengths, parts, n = [], [], [], 0
+            for at in range(0, batch.num_rows, SLICE):
+                some = batch.slice(at, SLICE)
+                texts = [t.as_py() or "" for t in some.column(1)]
+                for k, ids in zip(some.column(0), encoder.encode_all(texts)):
+                    keys.append(k.as_py())
+                    lengths.append(len(ids) // 4 + 1)
+                    parts.append(ids + end)
+                    n += lengths[-1]
+                    if n >= shard_tokens:
+                        yield shard()
+                        seq += 1
+                        keys, lengths, parts, n = [], [], [], 0
         if keys:
             yield shard()
 

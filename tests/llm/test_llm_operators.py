@@ -1,6 +1,7 @@
 """Operators of the training-data subpackage against brute force, on small and awkward tables."""
 
 import collections
+import functools
 import hashlib
 import re
 import zlib
@@ -274,10 +275,15 @@ def test_mix_through_several_levels_of_the_tree(spark):
     assert rows.columns == docs.columns and rows.agg(F.sum(mixing.n_words(F.col("text")))).first()[0] == total
 
 
-def plain_ids(path, text):
+@functools.cache
+def tokenizer(path):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return t
+
+
+def plain_ids(path, text):
+    return tokenizer(path).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
