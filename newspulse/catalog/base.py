@@ -12,7 +12,6 @@ from newspulse.functions import regex as R
 from newspulse.functions import text as X
 from newspulse.resources import lexicon as L
 from newspulse.resources import words
-from newspulse.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,11 +32,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents"), "doc_id")
+    return table(spark, sf, "documents")
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "pages"), "page_id")
+    return table(spark, sf, "pages")
 
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newspulse.catalog.base import (
-    CLASS_ROWS, articles, documents, lit, query, spread, sql_clean_news, sql_clean_tech,
+    CLASS_ROWS, articles, documents, lit, query, sql_clean_news, sql_clean_tech,
     sql_squeeze, sql_topic_words, sql_values, table,
 )
 from newspulse.functions import text as X
@@ -30,7 +30,7 @@ def clean_tech(spark, sf):
 
 @query(f"SELECT conv_id, turn, {sql_squeeze('text')} AS text FROM conversations")
 def squeeze_text(spark, sf):
-    rows = spread(table(spark, sf, "conversations"), "conv_id")
+    rows = table(spark, sf, "conversations")
     return rows.select("conv_id", "turn", X.squeeze("text").alias("text"))
 
 

@@ -1,17 +1,18 @@
-"""Coherence of fixed word lists, and the topic model tables (checked by their row invariants)."""
+"""Coherence of fixed word lists, topic tables counted from these lists, and a real fit."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newspulse.catalog.base import articles, query, sql_values
+from newspulse.catalog.base import articles, query, sql_values, table
 from newspulse.catalog.cleaning import TOKENS_SQL, topic_token_rows
-from newspulse.functions.rows import small_table
+from newspulse.functions.rows import exploded, small_table
 from newspulse.operators import coherence as K
 from newspulse.operators import topics as M
 from newspulse.session import stage
 
-TOPICS, ITERATIONS, WINDOW = 5, 8, 110
+TOPICS, PASSES, SHARE, WINDOW = 5, 2, 0.25, 110
+SMOOTH = 0.5
 
 WORD_LISTS = {
     0: "thon ther erin ertion attion anea",
@@ -48,71 +49,136 @@ def coherence_cv(spark, sf):
     return scored.select("topic", F.round("coherence", 6).alias("coherence"))
 
 
-def _fit(spark, sf):
-    """(staged tokens, corpus, model) over all documents."""
-    docs = stage(topic_token_rows(spark, sf), "tokens")
-    corpus = M.build_corpus(docs, "doc_id")
-    return docs, corpus, M.train(corpus, TOPICS, max_iter=ITERATIONS, seed=7)
-
-
-def _dominant(corpus, model):
-    names = M.keywords(M.topic_words(model, corpus.vocabulary))
-    return M.dominant_topic(M.document_topics(model, corpus), "doc_id", names)
+N_LISTS = len(WORD_LISTS)
+
+# The tables a model gives, counted instead of fitted: smoothed shares of the word lists in each document, and
+# the share of each word in what its list counts.
+MODEL_SQL = f"""
+    wl AS (SELECT topic, word FROM {sql_values(WORD_ROWS, 'topic, word')}),
+    docs AS (SELECT doc_id, source AS medie, split_part(text, chr(10), 1) AS title, {TOKENS_SQL} AS t FROM documents),
+    tok AS (SELECT doc_id, unnest(t) AS word FROM docs),
+    tc AS (SELECT w.topic, w.word AS term, count(k.word) AS n FROM wl w LEFT JOIN tok k ON k.word = w.word GROUP BY 1, 2),
+    tw AS (SELECT topic, term, (n + {SMOOTH}) / (sum(n) OVER (PARTITION BY topic) + {SMOOTH} * count(*) OVER (PARTITION BY topic)) AS weight FROM tc),
+    ranked AS (SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) - 1 AS rank, term, weight FROM tw),
+    names AS (SELECT topic, string_agg(term, ', ' ORDER BY rank) AS kw FROM ranked GROUP BY topic),
+    dc AS (SELECT doc_id, topic, count(*) AS n FROM tok JOIN wl USING (word) GROUP BY 1, 2),
+    hits AS (SELECT doc_id, sum(n) AS total FROM dc GROUP BY 1),
+    share AS (SELECT h.doc_id, l.topic, (coalesce(dc.n, 0) + {SMOOTH}) / (h.total + {SMOOTH} * {N_LISTS}) AS p
+        FROM hits h CROSS JOIN (SELECT DISTINCT topic FROM wl) l LEFT JOIN dc ON dc.doc_id = h.doc_id AND dc.topic = l.topic),
+    best AS (SELECT doc_id, topic, p, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, topic) AS r FROM share),
+    dom AS (SELECT d.doc_id, d.medie, d.title, b.topic AS "Dominant_Topic", round(b.p, 4) AS "Perc_Contribution", kw AS "Topic_Keywords"
+        FROM docs d LEFT JOIN (SELECT * FROM best WHERE r = 1) b USING (doc_id) LEFT JOIN names ON names.topic = b.topic),
+    repr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "Dominant_Topic" ORDER BY "Perc_Contribution" DESC, doc_id) AS r
+        FROM dom WHERE "Dominant_Topic" IS NOT NULL) WHERE r = 1)"""
+REPR_SQL = """"Dominant_Topic" AS "Repr_Dominant_Topic", "Perc_Contribution" AS "Repr_Perc_Contribution",
+    "Topic_Keywords" AS "Repr_Topic_Keywords", title AS "Representative_Text\""""
+
+
+def _weights(spark, sf):
+    """(topic, term, weight) of the word lists."""
+    lists = small_table(spark, WORD_ROWS, "topic int, term string")
+    counts = exploded(topic_token_rows(spark, sf), ["doc_id"], "tokens", "term").join(lists, "term").groupBy("topic", "term").count()
+    counted = lists.join(counts, ["topic", "term"], "left").select("topic", "term", F.coalesce("count", F.lit(0)).alias("n"))
+    totals = counted.groupBy("topic").agg((F.sum("n") + SMOOTH * F.count("*")).alias("total"))
+    return counted.join(totals, "topic").select("topic", "term", ((F.col("n") + SMOOTH) / F.col("total")).alias("weight"))
+
+
+def _shares(spark, sf):
+    """(doc_id, topic_share, n_words): smoothed shares of the lists, null without a listed word."""
+    def of(words):
+        return F.size(F.filter("tokens", lambda w: w.isin(words.split())))
+
+    counts = F.array(*[of(words) for _, words in sorted(WORD_LISTS.items())])
+    counted = topic_token_rows(spark, sf).select("doc_id", F.size("tokens").alias("n_words"), counts.alias("c"))
+    total = F.aggregate("c", F.lit(0), lambda a, x: a + x)
+    share = F.transform("c", lambda n: (n + SMOOTH) / (total + SMOOTH * N_LISTS))
+    return counted.select("doc_id", F.when(total > 0, share).alias("topic_share"), "n_words")
+
+
+def _dominant(spark, sf):
+    names = M.keywords(M.heaviest_words(_weights(spark, sf)))
+    return M.dominant_topic(_shares(spark, sf), "doc_id", names)
 
 
 def _titles(spark, sf):
     return articles(spark, sf).select("doc_id", "medie", "title")
 
 
-@query()
+@query(f"""
+    WITH d AS (SELECT doc_id, {TOKENS_SQL} AS t FROM documents),
+    df AS (SELECT word, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(t) AS word FROM d) GROUP BY word),
+    kept AS (SELECT word FROM df WHERE n >= 10 AND n <= 0.35 * (SELECT count(*) FROM d)),
+    has AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(t) AS word FROM d) WHERE word IN (SELECT word FROM kept))
+    SELECT d.doc_id, CASE WHEN h.doc_id IS NULL THEN NULL ELSE {TOPICS} END AS n_topics,
+        CASE WHEN h.doc_id IS NULL THEN NULL ELSE 1.0::DOUBLE END AS total, h.doc_id IS NOT NULL AS has_term
+    FROM d LEFT JOIN has h USING (doc_id)""")
 def lda_topics(spark, sf):
-    """Every document with its topic shares."""
-    _, corpus, model = _fit(spark, sf)
+    """A fit over the whole corpus: how many topic shares each document has and what they sum to."""
+    docs = stage(topic_token_rows(spark, sf), "tokens")
+    corpus = M.build_corpus(docs, "doc_id")
+    model = M.train(corpus, TOPICS, passes=PASSES, share=SHARE, seed=7)
     shares = M.document_topics(model, corpus)
-    return shares.select("doc_id", F.posexplode_outer("topic_share").alias("topic", "share"))
+    total = F.round(F.aggregate("topic_share", F.lit(0.0), lambda a, p: a + p), 6)
+    return shares.select(
+        "doc_id", F.when(F.col("topic_share").isNotNull(), F.size("topic_share")).alias("n_topics"), total.alias("total"),
+        F.col("topic_share").isNotNull().alias("has_term"))
 
 
-@query()
+@query(f"WITH {MODEL_SQL} SELECT topic, rank, term, round(weight, 9) AS weight FROM ranked WHERE rank < 5")
 def topic_words(spark, sf):
-    _, corpus, model = _fit(spark, sf)
-    return M.topic_words(model, corpus.vocabulary)
+    return M.heaviest_words(_weights(spark, sf), 5).withColumn("weight", F.round("weight", 9))
 
 
-@query()
+@query(f'WITH {MODEL_SQL} SELECT doc_id, "Dominant_Topic", "Perc_Contribution", "Topic_Keywords" FROM dom')
 def dominant_topic(spark, sf):
-    _, corpus, model = _fit(spark, sf)
-    return _dominant(corpus, model)
+    return _dominant(spark, sf)
 
 
-@query()
+@query(f"WITH {MODEL_SQL} SELECT {REPR_SQL} FROM repr")
 def representative_doc(spark, sf):
-    _, corpus, model = _fit(spark, sf)
-    return M.representative_documents(_dominant(corpus, model), _titles(spark, sf), "doc_id")
+    return M.representative_documents(_dominant(spark, sf), _titles(spark, sf), "doc_id")
 
 
-@query()
+@query(f"""WITH {MODEL_SQL}, r AS (SELECT {REPR_SQL} FROM repr)
+    SELECT dom.*, r.* FROM dom JOIN r ON "Dominant_Topic" = "Repr_Dominant_Topic\"""")
 def topic_articles(spark, sf):
-    _, corpus, model = _fit(spark, sf)
-    dominant, titles = _dominant(corpus, model), _titles(spark, sf)
+    dominant, titles = _dominant(spark, sf), _titles(spark, sf)
     representatives = M.representative_documents(dominant, titles, "doc_id")
     return M.topic_articles(titles, dominant, representatives, "doc_id")
 
 
-@query()
+@query(f'WITH {MODEL_SQL} SELECT "Topic_Keywords", count(*) AS count FROM dom WHERE "Topic_Keywords" IS NOT NULL GROUP BY 1')
 def topic_counts(spark, sf):
-    _, corpus, model = _fit(spark, sf)
-    named = _dominant(corpus, model).dropna(subset=["Topic_Keywords"])
+    named = _dominant(spark, sf).dropna(subset=["Topic_Keywords"])
     return named.groupBy("Topic_Keywords").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "Topic_Keywords")
 
 
-@query()
+@query(COHERENCE_SQL + " ORDER BY coherence DESC, topic")
 def topic_coherence_rank(spark, sf):
-    docs, corpus, model = _fit(spark, sf)
-    words = M.topic_words(model, corpus.vocabulary, 5).select("topic", "term")
-    return K.topic_coherence(docs, "doc_id", "tokens", words, WINDOW).orderBy(F.desc("coherence"), "topic")
+    words = M.heaviest_words(_weights(spark, sf), 10).select("topic", "term")
+    scored = K.topic_coherence(topic_token_rows(spark, sf), "doc_id", "tokens", words, WINDOW)
+    return scored.select("topic", F.round("coherence", 6).alias("coherence")).orderBy(F.desc("coherence"), "topic")
 
 
-@query()
+@query(f"""
+    WITH {MODEL_SQL},
+    nw AS (SELECT doc_id, len(t) AS n FROM docs),
+    cover AS (SELECT topic, sum(p * n) / (SELECT sum(n) FROM nw JOIN hits USING (doc_id)) AS share FROM share JOIN nw USING (doc_id) GROUP BY topic),
+    overall AS (SELECT term, sum(weight * share) AS p FROM tw JOIN cover USING (topic) GROUP BY term),
+    rel AS (SELECT topic, term, share, 0.6 * ln(weight) + 0.4 * ln(weight / p) AS r FROM tw JOIN cover USING (topic) JOIN overall USING (term))
+    SELECT topic, term, round(share, 6) AS share, round(r, 6) AS relevance FROM rel""")
 def topic_prevalence(spark, sf):
-    _, corpus, model = _fit(spark, sf)
-    return M.relevance(model, corpus, M.document_topics(model, corpus))
+    """Relevance of all listed words, with the share of text that their topic covers."""
+    rows = M.relevance(_weights(spark, sf), _shares(spark, sf))
+    return rows.select("topic", "term", F.round("share", 6).alias("share"), F.round("relevance", 6).alias("relevance"))
+
+
+SCORES_SQL = """SELECT k, avg(v) AS score FROM (SELECT event_id % 7 + 2 AS k, floor(value) AS v FROM events) GROUP BY k"""
+
+
+@query(f"""WITH s AS ({SCORES_SQL})
+    SELECT (SELECT k FROM s ORDER BY score DESC, k LIMIT 1) AS k, max(score) AS score, count(*) AS models FROM s""")
+def model_pick(spark, sf):
+    """The best of a grid of scores; here mean event values stand for mean coherence."""
+    scored = table(spark, sf, "events").select((F.col("event_id") % 7 + 2).alias("k"), F.floor("value").alias("v"))
+    return M.pick_model(scored.groupBy("k").agg(F.avg("v").alias("score")))

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from newspulse.operators.filters import drop_placeholder
 
-# Catalyst trims each group to its best rows before the shuffle up to this many rows per group
-# (spark.sql.optimizer.windowGroupLimitThreshold, default 1000).
-MAP_SIDE_LIMIT = 1000
-
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of every key by ``order``; null keys count as one key.
@@ -30,18 +26,17 @@ def top_per_group(
 ) -> DataFrame:
     """The ``n`` best rows of every group, exactly. ``order`` should end in a unique column.
 
-    Small ``n``: Catalyst cuts each group to ``n`` rows per task before the shuffle. Large ``n``: the
-    same cut is made by hand, on slices of each group, so no task sorts a whole hot group.
+    Each group is cut to its best rows in ``salts`` slices first, so no task sorts a whole hot group and at
+    most ``salts * n`` rows of a group meet in the end.
     """
     name = rank or "_rank"
-    if n > MAP_SIDE_LIMIT:
-        slices = Window.partitionBy(*keys, "_slice").orderBy(*order)
-        df = (
-            df.withColumn("_slice", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-            .withColumn("_rank_in_slice", F.row_number().over(slices))
-            .where(F.col("_rank_in_slice") <= n)
-            .drop("_slice", "_rank_in_slice")
-        )
+    slices = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    df = (
+        df.withColumn("_slice", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+        .withColumn("_rank_in_slice", F.row_number().over(slices))
+        .where(F.col("_rank_in_slice") <= n)
+        .drop("_slice", "_rank_in_slice")
+    )
     whole = Window.partitionBy(*keys).orderBy(*order)
     out = df.withColumn(name, F.row_number().over(whole)).where(F.col(name) <= n)
     return out if rank else out.drop(name)

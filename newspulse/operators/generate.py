@@ -10,12 +10,6 @@ from pyspark.sql import functions as F
 
 from newspulse.functions import columns as C
 
-# The labels of the competitor column.
-COMPETITORS = [
-    "Insuralux", "Arrowhead", "Beacon", "WeProtectYou", "Unity", "Capital Protectors", "Smart Protect",
-    "Insurance For You", "Smart Life Insurance", "MutuTrust", "InsCap",
-]
-
 FIRST_NAMES = "Anna Emma Ida Freja Clara Karen Mette Lars Peter Jens Søren Niels Oscar Noah Emil Viggo".split()
 LAST_NAMES = "Jensen Nielsen Hansen Pedersen Andersen Larsen Madsen Kjær Holm Dahl Lund Bach".split()
 STREETS = "Nørregade Søndergade Skolevej Kirkevej Møllevej Bakkevej Engvej Skovvej Havnegade".split()
@@ -49,13 +43,13 @@ def _normal(name: str, seed: int, mean: float, sd: float) -> Column:
 
 def customers(
     spark: SparkSession,
+    competitors: list[str],
     n: int = 5000,
     today: date | None = None,
     min_age: int = 18,
     max_age: int = 115,
     company_start: date = date(2010, 1, 1),
     churn_rate: int = 25,
-    competitors: list[str] | None = None,
     seed: int = 0,
 ) -> DataFrame:
     """``n`` customers before clean-up: start and churn date are drawn independently of each other."""
@@ -88,7 +82,7 @@ def customers(
             (_uniform("churn", seed) < churn_rate / 100).alias("churn"),
             F.date_add(start, _integer("churn_date", seed, open_days).cast("int")).alias("churn_date"),
             _uniform("churn_probability", seed).alias("churn_probability"),
-            _pick(competitors or COMPETITORS, "competitor", seed).alias("competitor"),
+            _pick(competitors, "competitor", seed).alias("competitor"),
             _normal("customer_value", seed, 25_000.0, 10_000.0).alias("customer_value"),
         )
     )

@@ -20,9 +20,6 @@ from newspulse.operators.dedup import top_per_group
 from newspulse.operators.tokens import document_frequency, pruned_vocabulary
 from newspulse.session import stage, stage_path
 
-VOCABULARY_SIZE = 100_000
-
-
 @dataclass
 class Corpus:
     """Count vectors by document key, staged once because every fit and transform reads them."""
@@ -41,18 +38,21 @@ def build_corpus(
     no_below: int = 10,
     no_above: float = 0.35,
     prune: bool = True,
-    vocabulary_size: int = VOCABULARY_SIZE,
 ) -> Corpus:
     """Count vectors over the vocabulary. ``prune=False`` keeps every term whatever its frequency.
 
-    The vocabulary is the ``vocabulary_size`` terms in the most documents, which bounds what the driver
-    and the model hold. The vectoriser is fitted on that list, not on the texts. ``df`` is read twice:
-    stage it first when its tokens are expensive.
+    The pruning bounds alone decide what is kept; the driver and the model hold all kept terms, so a large
+    corpus wants bounds. The vectoriser is fitted on the list of terms, not on the texts. ``df`` is read
+    twice: stage it first when its tokens are expensive.
     """
     words = df.select(key, F.array_remove(tokens, "").alias("_words"))
     kept = pruned_vocabulary(words, "_words", no_below, no_above) if prune else document_frequency(words, "_words")
-    top = kept.orderBy(F.desc("df"), "term").limit(vocabulary_size).select(F.array("term").alias("_words"))
-    counter = CountVectorizer(inputCol="_words", outputCol="features", vocabSize=vocabulary_size).fit(top)
+    terms = stage(kept.select("term"), "terms")
+    n_terms = terms.count()
+    if not n_terms:
+        raise ValueError("no term is within the bounds")
+    listed = terms.select(F.array("term").alias("_words"))
+    counter = CountVectorizer(inputCol="_words", outputCol="features", vocabSize=n_terms).fit(listed)
     vectors = counter.transform(words).select(key, "features", F.size("_words").alias("n_words"))
     staged = stage(vectors, "corpus")
     return Corpus(staged, vocabulary_table(counter), counter, key, staged.count())
@@ -67,18 +67,17 @@ def vocabulary_table(counter: CountVectorizerModel) -> DataFrame:
 
 
 def train(
-    corpus: Corpus, k: int, passes: int = 250, chunk: int = 1000, seed: int = 0, max_iter: int | None = None
+    corpus: Corpus, k: int, passes: float = 250, share: float = 0.05, seed: int = 0,
+    document_prior: float = 0.5, word_prior: float = 0.01,
 ) -> LDAModel:
-    """Online LDA with a fixed document prior of 0.5 and a topic-word prior of 0.01.
+    """Online LDA with fixed priors: ``passes`` sweeps over the corpus, a ``share`` of it in each iteration.
 
-    One iteration reads one chunk: ``passes`` sweeps take ``passes * size / chunk`` iterations, so a
-    large corpus should raise ``chunk`` (a share of the corpus) or cap ``max_iter``.
+    The number of iterations, ``passes / share``, does not depend on the size of the corpus, and what is read
+    in all is ``passes`` times the corpus at any size. A smaller share updates the topics more often.
     """
-    n = max(1, corpus.size)
-    iterations = max_iter or passes * math.ceil(n / chunk)
     lda = LDA(
-        k=k, optimizer="online", docConcentration=[0.5], topicConcentration=0.01,
-        optimizeDocConcentration=False, maxIter=iterations, subsamplingRate=min(1.0, chunk / n), seed=seed,
+        k=k, optimizer="online", docConcentration=[document_prior], topicConcentration=word_prior,
+        optimizeDocConcentration=False, maxIter=math.ceil(passes / share), subsamplingRate=share, seed=seed,
     )
     return lda.fit(corpus.vectors)
 
@@ -99,6 +98,12 @@ def topic_words(model: LDAModel, vocabulary: DataFrame, n: int = 10) -> DataFram
     )
 
 
+def heaviest_words(weights: DataFrame, n: int = 10) -> DataFrame:
+    """(topic, rank, term, weight) of the ``n`` heaviest terms of each topic, ties by term, rank from 0."""
+    top = top_per_group(weights, ["topic"], [F.desc("weight"), F.asc("term")], n, rank="rank")
+    return top.select("topic", (F.col("rank") - 1).alias("rank"), "term", "weight")
+
+
 def keywords(words: DataFrame) -> DataFrame:
     """(topic, Topic_Keywords): the words of each topic, heaviest first, joined by comma and space."""
     ordered = F.array_sort(F.collect_list(F.struct("rank", "term")))
@@ -166,12 +171,12 @@ def prevalence(shares: DataFrame) -> DataFrame:
     return weighted.select("topic", (F.col("_w") / total).alias("share"))
 
 
-def relevance(model: LDAModel, corpus: Corpus, shares: DataFrame, weight: float = 0.6, n: int = 30) -> DataFrame:
+def relevance(words: DataFrame, shares: DataFrame, weight: float = 0.6, n: int = 30) -> DataFrame:
     """The ``n`` most relevant terms per topic: ``w log p(t|topic) + (1 - w) log lift``.
 
-    Works on the model's topics x vocabulary table, whose size does not depend on the corpus.
+    ``words`` is the whole (topic, term, weight) table of a model (``topic_words`` with the size of its
+    vocabulary), which passes through the driver once when it is read from the model.
     """
-    words = topic_words(model, corpus.vocabulary, model.vocabSize())
     with_share = words.join(prevalence(shares), "topic")
     overall = with_share.groupBy("term").agg(F.sum(F.col("weight") * F.col("share")).alias("_p"))
     score = F.lit(weight) * F.log("weight") + F.lit(1 - weight) * F.log(F.col("weight") / F.col("_p"))

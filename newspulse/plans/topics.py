@@ -50,8 +50,8 @@ def score_grid(
 def analyse(news: DataFrame, key: str, ks: Iterable[int] = range(15, 26), title: str = "title", **settings) -> TopicTables:
     """Fit the grid on prepared news, keep the most coherent model, label the articles.
 
-    ``settings`` go to the fits (passes, chunk, seed, max_iter) and the vocabulary bounds (no_below,
-    no_above, prune).
+    ``settings`` go to the fits (passes, share, seed, priors) and the vocabulary bounds (no_below, no_above,
+    prune). ``key`` must be unique and not null.
     """
     bounds = {k: settings.pop(k) for k in ("no_below", "no_above", "prune") if k in settings}
     docs = stage(news.select(key, "tokens"), "tokens")

@@ -27,13 +27,13 @@ POSITIVE = {
     "3.1": "excellent wonderful love triumph superb",
     "2.4": "great happy win wins won victory joy success brilliant",
     "1.9": "good gain gains growth strong improve improved hope safe praise celebrate beautiful",
-    "1.3": "fine support recovery stable agree better progress benefit free glad glæder yndigt mæt god",
+    "1.3": "fine support recovery stable agree better progress benefit free glad god",
 }
 NEGATIVE = {
     "-3.2": "murder war terror catastrophe kill killed death worthless",
     "-2.5": "terrible crisis attack crash hate violence disaster trash idiot moron pathetic",
     "-1.9": "bad loss losses fear weak fraud stupid loser guilty crime sad krimi død",
-    "-1.2": "problem risk decline worry cut delay doubt worse complain poor hungry sulten dårlig",
+    "-1.2": "problem risk decline worry cut delay doubt worse complain poor dreadful dårlig",
 }
 BOOSTERS = {
     "0.293": "very extremely really highly hugely remarkably meget",

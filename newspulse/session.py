@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Settings the operators rely on; everything else is left to the deployment.
 SESSION_CONF = {
@@ -34,20 +33,6 @@ def build_session(app_name: str = "newspulse", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a scan that arrives in too few partitions one partition per core, hashed by ``keys``.
-
-    A cluster-sized scan already has more splits than cores and is returned untouched, so no text is
-    shuffled there. A small or badly split input (one big row group) would otherwise run its whole
-    text stage in a single task. Hashing by the row key also lets the per-key aggregate that follows
-    reuse the partitioning instead of shuffling again.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *[F.col(k) for k in keys])
-
-
 def stage_dir(spark: SparkSession) -> str:
     """Folder for staged intermediate tables, on storage that the driver and all executors share.
 

@@ -39,7 +39,7 @@ def test_mean_valence(spark, lex):
 
 
 def test_opposite_sentences_have_opposite_signs(spark, lex):
-    got = N.mean_valence(texts(spark, "Jeg er sulten", "Jeg er mæt"), ["id"], "t", lex).orderBy("id").collect()
+    got = N.mean_valence(texts(spark, "A brilliant day for the harbour", "A dreadful day for the harbour"), ["id"], "t", lex).orderBy("id").collect()
     assert got[0].sentiment < 0 < got[1].sentiment
 
 

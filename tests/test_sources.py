@@ -204,7 +204,7 @@ def test_save_and_load_model(spark, tmp_path):
     from newspulse.operators import topics
     docs = spark.createDataFrame([(i, ["alpha", "beta"] if i % 2 else ["gamma", "delta"]) for i in range(30)], "id int, tokens array<string>")
     corpus = topics.build_corpus(docs, "id", no_below=1, no_above=1.0)
-    model = topics.train(corpus, 2, max_iter=3, seed=1)
+    model = topics.train(corpus, 2, passes=3, share=1.0, seed=1)
     assert writers.save_model(str(tmp_path), "r0", model, corpus.counter, enabled=False) is None
     folder = writers.save_model(str(tmp_path), "r1", model, corpus.counter, news=docs)
     loaded, counter = writers.load_model(spark, folder)

@@ -17,6 +17,9 @@ SPORT = "football match goal league player coach".split()
 MONEY = "market bank shares rates profit trade".split()
 
 
+RIVALS = ["North", "South", "East"]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rng = np.random.default_rng(3)
@@ -27,14 +30,12 @@ def docs(spark):
 @pytest.fixture(scope="module")
 def fitted(spark, docs):
     corpus = topics.build_corpus(docs, "id", no_below=2, no_above=0.6)
-    return corpus, topics.train(corpus, 2, max_iter=20, chunk=62, seed=5)
+    return corpus, topics.train(corpus, 2, passes=20, share=1.0, seed=5)
 
 
 def test_vocabulary_bounds(spark, docs):
     full = topics.build_corpus(docs, "id", prune=False)
     assert {r.term for r in full.vocabulary.collect()} == set(SPORT + MONEY)
-    few = topics.build_corpus(docs, "id", no_below=2, no_above=0.6, vocabulary_size=5)
-    assert few.vocabulary.count() == 5
     none = topics.build_corpus(docs, "id", no_below=2, no_above=0.6)
     assert none.size == 62
 
@@ -48,7 +49,7 @@ def test_shares_sum_to_one_and_empty_documents_have_no_topic(fitted):
 
 def test_same_seed_same_model(fitted):
     corpus, model = fitted
-    again = topics.train(corpus, 2, max_iter=20, chunk=62, seed=5)
+    again = topics.train(corpus, 2, passes=20, share=1.0, seed=5)
     assert np.allclose(model.topicsMatrix().toArray(), again.topicsMatrix().toArray())
 
 
@@ -77,7 +78,7 @@ def test_prevalence_and_relevance(fitted):
     corpus, model = fitted
     shares = topics.document_topics(model, corpus)
     assert sum(r.share for r in topics.prevalence(shares).collect()) == pytest.approx(1.0)
-    table = topics.relevance(model, corpus, shares, n=3).collect()
+    table = topics.relevance(topics.topic_words(model, corpus.vocabulary, model.vocabSize()), shares, n=3).collect()
     assert Counter(r.topic for r in table) == {0: 3, 1: 3}
     for t in (0, 1):
         ranked = sorted((r for r in table if r.topic == t), key=lambda r: r.rank)
@@ -132,7 +133,7 @@ def test_topic_flow_picks_the_best_model(spark):
     news = spark.createDataFrame(rows, "id int, title string, description string, publishedAt string")
     prepared = flow.prepare(news, ["with"])
     assert prepared.where("id = 0").first().tokens == []  # no description: no analysis text
-    done = flow.analyse(prepared, "id", ks=[2, 3], max_iter=10, chunk=40, seed=2, no_below=1, no_above=1.0)
+    done = flow.analyse(prepared, "id", ks=[2, 3], passes=10, share=1.0, seed=2, no_below=1, no_above=1.0)
     scores = {r.k: r.score for r in done.scores.collect()}
     assert set(scores) == {2, 3} and done.model.getK() == max(scores, key=lambda k: (scores[k], -k))
     assert done.articles.count() == 39 and sum(r["count"] for r in done.counts.dropna().collect()) == 39
@@ -159,7 +160,7 @@ TODAY = date(2024, 5, 1)
 
 @pytest.fixture(scope="module")
 def people(spark):
-    return generate.customers(spark, 5000, TODAY, seed=9).cache()
+    return generate.customers(spark, RIVALS, 5000, TODAY, seed=9).cache()
 
 
 def test_churn_gen(spark, people):
@@ -171,16 +172,16 @@ def test_churn_gen(spark, people):
         F.min("start_date").alias("s0"), F.max("start_date").alias("s1"), F.corr(F.col("churn").cast("int"), "churn_probability").alias("c"),
         F.count_if(F.col("churn_date") < F.col("start_date")).alias("early"), F.count("churn_date").alias("dates"),
     ).first()
-    assert (r.n, r.labels, r.dates) == (5000, 11, 5000) and 0 <= r.lo and r.hi < 100_000 and r.ids < 5000
+    assert (r.n, r.labels, r.dates) == (5000, len(RIVALS), 5000) and 0 <= r.lo and r.hi < 100_000 and r.ids < 5000
     assert abs(r.rate - 0.25) < 0.03 and abs(r.p - 0.5) < 0.02 and abs(r.c) < 0.05
     assert abs(r["mean"] - 25_000) < 600 and abs(r.sd - 10_000) < 500
     assert r.young <= date(2006, 5, 1) and r.s0 >= date(2010, 1, 1) and r.s1 <= TODAY and r.early > 0
 
 
 def test_churn_gen_does_not_depend_on_partitioning(spark, people):
-    one = generate.customers(spark, 5000, TODAY, seed=9).coalesce(1)
+    one = generate.customers(spark, RIVALS, 5000, TODAY, seed=9).coalesce(1)
     assert one.exceptAll(people).count() == 0
-    assert generate.customers(spark, 5000, TODAY, seed=10).exceptAll(people).count() > 4000
+    assert generate.customers(spark, RIVALS, 5000, TODAY, seed=10).exceptAll(people).count() > 4000
 
 
 def test_clean_up(people):
