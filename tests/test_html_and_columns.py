@@ -251,3 +251,14 @@ def test_reports(spark):
     assert means == {"a": 2.0, "b": None}
     assert [(r.k, r["count"]) for r in reports.value_counts(df, "k").collect()] == [("a", 2), ("b", 1)]
     assert {(r.column, r.dtype, r.non_null) for r in reports.null_profile(df).collect()} == {("k", "string", 3), ("v", "decimal(12,6)", 3)}
+
+
+def test_markup_that_real_pages_have(spark):
+    pages = [
+        '<H1 CLASS=big>Caps &#x27;&Eacute;&trade;&#9999999;&#55296;&bogus; &amp;lt;</H1>', "<h1>plain</h1>",
+        """<h1 title="a>b">kept</h1><a x='1' href='one'>1</a>""", "<h1>it's <a href=two>2</a></h1>",
+    ]
+    df = spark.createDataFrame(list(enumerate(pages)), "id int, html string")
+    rows = df.select("id", H.first_text(F.col("html"), "h1").alias("t"), H.attribute(F.col("html"), "a", "href").alias("a")).orderBy("id").collect()
+    assert [r.t for r in rows] == ["Caps 'É™��&bogus; &lt;", "plain", "kept", "it's 2"]
+    assert [r.a for r in rows] == [None, None, "one", "two"]
