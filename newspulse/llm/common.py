@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -14,6 +14,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE = 128  # texts whose results are held as Python objects at a time
+BATCH_ROWS = 512  # rows of an Arrow batch between the JVM and Python
+
+
+def small_batches() -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows: whole texts are large, and a batch is held
+    several times outside the heap of an executor."""
+    conf, name = SparkSession.active().conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
 
 
 def text_udf(make: Callable[[], Callable[[str | None], tuple]], schema: T.StructType) -> Callable[[Column], Column]:
@@ -23,6 +32,7 @@ def text_udf(make: Callable[[], Callable[[str | None], tuple]], schema: T.Struct
     the fields of ``schema``. Only the text column travels to Python; all others stay with their row.
     """
     fields = to_arrow_schema(schema)
+    small_batches()
 
     @F.arrow_udf(schema)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

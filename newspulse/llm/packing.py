@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from newspulse.llm.common import SLICE, ref
+from newspulse.llm.common import SLICE, ref, small_batches
 from newspulse.llm.token_ids import Encoder
 from newspulse.session import stage
 
@@ -48,6 +48,7 @@ def pieces(
 ) -> DataFrame:
     """Pieces of every whole text with ``end_id`` appended: key, doc_tokens, start, length, crc (and ids as bytes)."""
     kind = to_arrow_type(PIECES)
+    small_batches()
 
     @F.arrow_udf(PIECES)
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

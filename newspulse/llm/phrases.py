@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newspulse.llm.common import ref
+from newspulse.llm.common import ref, small_batches
 from newspulse.session import stage
 
 LEVELS = (3, 4)
@@ -215,6 +215,7 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", key: str = "doc_i
     give no rows. Texts are shuffled once, into ranges of the order; only the first and the last row of a range
     meet their neighbour in a join.
     """
+    small_batches()
     rows = docs.select(ref(key).cast("long").alias("key"), F.coalesce(ref(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     order = [F.col("key").desc_nulls_last(), F.col("tie").desc()]

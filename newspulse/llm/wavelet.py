@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newspulse.llm.common import SLICE, ref
+from newspulse.llm.common import SLICE, ref, small_batches
 from newspulse.llm.token_ids import Encoder
 
 MAGIC = b"WVM1"
@@ -226,6 +226,7 @@ def write_shards(
         if keys:
             yield shard()
 
+    small_batches()
     rows = docs.select(ref(key).cast("long").alias("key"), ref(text).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
     shards = rows.mapInArrow(encode, SHARDS)
