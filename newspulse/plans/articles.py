@@ -13,6 +13,7 @@ from newspulse.operators import entities as E
 from newspulse.operators import sentiment as N
 from newspulse.operators.dedup import first_per_key
 from newspulse.operators.filters import with_text
+from newspulse.session import numbered_rows
 
 SIMPLE_COLUMNS = [
     "link", "title", "content", "medie", "Filename", "content_clean", "sentiment_content", "sentiment_title",
@@ -46,13 +47,18 @@ def scores(articles: DataFrame, keys: list[str], lexicon: DataFrame) -> DataFram
 
 
 def analyse(daily: DataFrame, lexicon: DataFrame, gazetteer: DataFrame, unit: str = "mention") -> ArticleTables:
-    """The three published tables. Persist or write ``articles`` when more than one is needed."""
-    prepared = prepare(daily)
-    lists = E.mention_lists(prepared, "link", "content_clean", gazetteer)
+    """The three published tables. The daily files are read once: the prepared articles are staged.
+
+    Scores and entities come back to their article by a row number, so the one article without a link that is
+    kept has its own.
+    """
+    prepared = numbered_rows(prepare(daily))
+    lists = E.mention_lists(prepared, ["_row", "link"], "content_clean", gazetteer)
     articles = (
-        prepared.join(scores(prepared, ["link"], lexicon), "link", "left")
-        .join(lists, "link", "left")
+        prepared.join(scores(prepared, ["_row"], lexicon), "_row", "left")
+        .join(lists.drop("link"), "_row", "left")
         .withColumn("enti_str", F.coalesce(E.entity_string("entities"), F.lit("")))
+        .drop("_row")
     )
     statistics = E.entity_sentiment(articles, "medie", unit)
     typed = E.attach_types(statistics, E.entity_types(lists, "link"))

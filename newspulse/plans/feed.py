@@ -11,22 +11,23 @@ from newspulse.functions import columns as C
 from newspulse.operators import reports, sentiment
 from newspulse.operators.filters import topical, two_way_class
 from newspulse.resources.patterns import CURRENCIES, EURUSD_NEWS
+from newspulse.session import numbered_rows
 
 
 def analyse(
     items: DataFrame,
     lexicon: DataFrame,
-    key: str = "url",
     topics: Mapping[str, Iterable[str]] = EURUSD_NEWS,
     classes: Mapping[str, Iterable[str]] = CURRENCIES,
 ) -> DataFrame:
     """Relevant items with class, scores, label and parsed time.
 
-    The filter comes first, so only relevant rows are tokenised. ``key`` must be unique per item.
+    The filter comes first, so only relevant rows are tokenised; they are staged, and every item keeps its own
+    scores whether or not its url is missing or repeated.
     """
-    kept = topical(items, topics).withColumn("currency_topic", two_way_class("title", classes))
-    scored = sentiment.compound(kept.select(key, "summary"), [key], "summary", lexicon)
-    return kept.join(scored, key, "left").withColumn(
+    kept = numbered_rows(topical(items, topics).withColumn("currency_topic", two_way_class("title", classes)))
+    scored = sentiment.compound(kept.select("_row", "summary"), ["_row"], "summary", lexicon)
+    return kept.join(scored, "_row", "left").drop("_row").withColumn(
         "time_published_dt", C.compact_timestamp("time_published")
     )
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the operators rely on; everything else is left to the deployment.
 SESSION_CONF = {
@@ -85,3 +86,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         fs, where = _file_system(spark, path)
         fs.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered_rows(df: DataFrame, name: str = "_row") -> DataFrame:
+    """``df`` staged once, with a column that tells its rows apart whatever their keys are.
+
+    Results computed per row find their way back by it: natural keys may be missing or repeated. The numbers
+    are stored with the rows, so every later read sees the same ones.
+    """
+    return stage(df.withColumn(name, F.monotonically_increasing_id()), "rows")

@@ -12,7 +12,8 @@ from newspulse import schemas as S
 from newspulse.operators.dedup import top_per_group
 from newspulse.operators.filters import in_window
 
-CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
+# A file whose header has other names or another order than the schema is an error, never read by position.
+CSV_OPTIONS = {"header": True, "enforceSchema": False, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
 def csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -39,7 +39,7 @@ def test_mean_valence(spark, lex):
 
 
 def test_opposite_sentences_have_opposite_signs(spark, lex):
-    got = N.mean_valence(texts(spark, "A brilliant day for the harbour", "A dreadful day for the harbour"), ["id"], "t", lex).orderBy("id").collect()
+    got = N.mean_valence(texts(spark, "A dreadful day for the harbour", "A brilliant day for the harbour"), ["id"], "t", lex).orderBy("id").collect()
     assert got[0].sentiment < 0 < got[1].sentiment
 
 
@@ -268,9 +268,29 @@ def test_feed_flow(spark, lex):
 def test_news_flow(spark, lex, gaz):
     rows = [(1, "Google wins!", "bad <b>day</b>", "good"), (2, "Google and Apple", "great", None)]
     table = spark.createDataFrame(rows, "id int, title string, description string, content string")
-    done = news.analyse(table, "id", lex, gaz)
+    done = news.analyse(table, lex, gaz)
     got = {r.id: r for r in done.collect()}
     assert got[1].title_clean == "Google wins" and got[1].description_clean_polarity_label == "negative"
     assert [m.text for m in got[2].title_clean_entities] == ["Google", "Apple"]
     stats = {r.Entity: r for r in news.entity_table(done, "id").collect()}
     assert stats["Google"].count_title_clean_polarity == 2 and stats["Apple"].sample_id == 2
+
+
+def test_flows_keep_rows_with_repeated_and_missing_keys_apart(spark, lex, gaz):
+    items = spark.createDataFrame(
+        [("u", "EUR", "excellent great euro news"), ("u", "EUR", "terrible crisis of the ECB"), (None, "EUR", "great ECB")],
+        "url string, title string, summary string",
+    ).withColumn("time_published", F.lit("20240101T000000"))
+    got = sorted((r.summary, r.sentiment_text) for r in feed.analyse(items, lex).collect())
+    assert [label for _, label in got] == ["positive", "positive", "negative"]
+
+    table = spark.createDataFrame([(1, "Google wins", "x", "y"), (1, "Terrible crisis", "x", "y"), (None, "Apple", "great", "y")],
+                                  "id int, title string, description string, content string")
+    done = news.analyse(table, lex, gaz).collect()
+    assert sorted((r.title, r.title_clean_polarity_label) for r in done) == [("Apple", "neutral"), ("Google wins", "positive"), ("Terrible crisis", "negative")]
+
+    daily = spark.createDataFrame(
+        [(None, "Good", "A terrible crime in New York", "EB", "f1", 0), (None, "again", "dup text", "EB", "f1", 1)],
+        "link string, title string, content string, medie string, Filename string, row_id long")
+    only = articles.analyse(daily, lex, gaz).simple.collect()
+    assert [(r.enti_str, r.sentiment_content < 0, r.sentiment_title > 0) for r in only] == [("New York", True, True)]

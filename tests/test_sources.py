@@ -3,6 +3,7 @@
 import json
 from datetime import date, datetime
 
+import pytest
 from pyspark.ml.clustering import LDAModel
 from pyspark.sql import functions as F
 
@@ -211,3 +212,9 @@ def test_save_and_load_model(spark, tmp_path):
     assert isinstance(loaded, LDAModel) and loaded.vocabSize() == 4
     assert sorted(counter.vocabulary) == ["alpha", "beta", "delta", "gamma"]
     assert spark.read.parquet(f"{folder}/news").count() == 30
+
+
+def test_csv_with_another_column_order_is_an_error(spark, tmp_path):
+    (tmp_path / "articles_2022-08-02.csv").write_text("title,content,link,medie\nT,C,L,EB\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.daily_articles(spark, str(tmp_path)).collect()
