@@ -221,7 +221,7 @@ def dedup_link(spark, sf):
 def stream_dedup(spark, sf):
     """The same rows when the pages arrive as a stream and are appended to a stored table."""
     kind = table(spark, sf, "pages").schema
-    stream = spark.readStream.schema(kind).option("pathGlobFilter", "pages.parquet").parquet(sf)
+    stream = spark.readStream.schema(kind).parquet(f"{sf.rstrip('/')}/pages.parque[t]")
     stored, mark = stage_path(spark, "stream-table"), stage_path(spark, "stream-offsets")
     daily.run_available(_keyed_pages(stream), stored, mark, order=("page_id",)).awaitTermination()
     return spark.read.parquet(stored)

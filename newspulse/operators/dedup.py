@@ -55,9 +55,14 @@ def merge_distinct(existing: DataFrame, new: DataFrame) -> DataFrame:
 def unseen_rows(existing: DataFrame, new: DataFrame) -> DataFrame:
     """The rows an append has to add so that the table equals ``merge_distinct``.
 
-    For an existing table that is already distinct and clean. Appending these avoids rewriting it.
+    For an existing table that is already distinct and clean. Appending these avoids rewriting it. Only stored
+    rows with the hash of a new row are compared: while the batch is small, its hashes are broadcast and the
+    stored side is scanned but not shuffled.
     """
-    return drop_placeholder(new.select(*existing.columns)).subtract(existing)
+    fresh = drop_placeholder(new.select(*existing.columns))
+    hashes = fresh.select(F.xxhash64(*fresh.columns).alias("_hash")).distinct()
+    alike = existing.withColumn("_hash", F.xxhash64(*existing.columns)).join(hashes, "_hash", "left_semi").drop("_hash")
+    return fresh.subtract(alike)
 
 
 def unseen_keys(existing: DataFrame, batch: DataFrame, key: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from newspulse import schemas as S
 from newspulse.operators.dedup import first_per_key, unseen_keys
+from newspulse.session import path_exists
 from newspulse.sources.readers import CSV_OPTIONS
 
 
@@ -27,13 +28,8 @@ def append_new(batch: DataFrame, table_path: str, key: str = "link", order: tupl
     spark = batch.sparkSession
     numbered = batch.withColumn("row_id", F.monotonically_increasing_id()) if "row_id" not in batch.columns else batch
     fresh = first_per_key(numbered, [key], list(order)).drop("row_id")
-    try:
-        stored = spark.read.schema(fresh.schema).parquet(table_path)
-    except Exception as missing:  # the table does not exist before the first batch
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-    else:
-        fresh = unseen_keys(stored, fresh, key)
+    if path_exists(spark, table_path):  # it does not before the first batch
+        fresh = unseen_keys(spark.read.schema(fresh.schema).parquet(table_path), fresh, key)
     fresh.write.mode("append").parquet(table_path)
 
 
