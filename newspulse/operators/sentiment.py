@@ -116,8 +116,9 @@ def polarities(df: DataFrame, keys: list[str], columns: list[str], lexicon: Data
             F.greatest(F.least(mean("p"), one), -one).cast(fixed.MEAN_TYPE).alias(f"{c}_polarity"),
             F.greatest(F.least(mean("s"), one), zero).cast(fixed.MEAN_TYPE).alias(f"{c}_subjectivity"),
         ]
-    means = scored.select(*keys, *out)
-    return means.select("*", *[C.polarity_label(f"{c}_polarity").alias(f"{c}_polarity_label") for c in columns])
+    # The sign of the exact sum: a mean too small for its six digits is still not neutral.
+    labels = [C.polarity_label(F.coalesce(F.col(f"_p_{c}"), F.lit(0))).alias(f"{c}_polarity_label") for c in columns]
+    return scored.select(*keys, *out, *labels)
 
 
 def polarity(df: DataFrame, keys: list[str], text_col: str, lexicon: DataFrame) -> DataFrame:

@@ -50,6 +50,12 @@ def test_polarity_negation_halves_and_turns(spark, lex):
     assert float(rows[0].subjectivity) == 0.575
 
 
+def test_labels_come_from_the_exact_sum(spark):
+    tiny = L.lexicon(spark, [("tiny", "1.0", "0.001", "0.5", "valence"), ("plain", "1.0", "0.000", "0.5", "valence")])
+    rows = N.polarity(texts(spark, "tiny" + " plain" * 3000, "plain"), ["id"], "t", tiny).orderBy("id").collect()
+    assert [(float(r.polarity), r.polarity_label) for r in rows] == [(0.0, "positive"), (0.0, "neutral")]
+
+
 def normal(s):
     return round(s / (s * s + 15) ** 0.5, 4)
 
