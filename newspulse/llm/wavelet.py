@@ -41,9 +41,12 @@ class WaveletMatrix:
         planes, zeros, ranks = [], [], []
         now = codes
         for p in range(n_planes - 1, -1, -1):
-            bit = (now >> p) & 1 == 1
-            planes.append(np.packbits(bit))
-            ones = np.add.reduceat(bit, np.arange(0, len(bit), SUPER), dtype=np.int64) if len(bit) else np.empty(0, np.int64)
+            bit = (now & now.dtype.type(1 << p)) != 0
+            packed = np.packbits(bit)
+            planes.append(packed)
+            ones = np.zeros(-(-len(bit) // SUPER) * (SUPER // 8), np.uint8)
+            ones[:len(packed)] = np.bitwise_count(packed)
+            ones = ones.reshape(-1, SUPER // 8).sum(1, dtype=np.int64)
             ranks.append(np.concatenate(([0], np.cumsum(ones))).astype(np.uint32))
             low = now[~bit]
             zeros.append(len(low))
