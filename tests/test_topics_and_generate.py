@@ -142,17 +142,15 @@ def test_topic_flow_picks_the_best_model(spark):
 class _Session:
     """Just enough of a session to ask for its stage folder."""
 
-    def __init__(self, master, folder=None):
-        self.sparkContext = type("C", (), {"master": master, "applicationId": f"app-{master}"})()
-        self.conf = type("F", (), {"get": staticmethod(lambda key, default=None: folder or default)})()
+    def __init__(self, **settings):
+        self.conf = type("F", (), {"get": staticmethod(lambda key, default=None: settings.get(key, default))})()
 
 
-def test_stage_folder_is_the_session_setting_and_never_a_local_one_on_a_cluster():
-    assert stage_dir(_Session("spark://host", "/shared/x")) == "/shared/x"
-    with pytest.raises(ValueError):
-        stage_dir(_Session("spark://host"))
-    local = _Session("local[2]")
-    assert stage_dir(local) == stage_dir(local)
+def test_stage_folder_is_the_setting_or_lies_below_the_warehouse():
+    both = {"spark.checkpoint.dir": "hdfs://x/stage", "spark.sql.warehouse.dir": "hdfs://x/warehouse/"}
+    assert stage_dir(_Session(**both)) == "hdfs://x/stage"
+    del both["spark.checkpoint.dir"]
+    assert stage_dir(_Session(**both)) == "hdfs://x/warehouse/_staged"
 
 
 TODAY = date(2024, 5, 1)
