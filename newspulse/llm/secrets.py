@@ -1,7 +1,7 @@
 """Secret scans with DataFrame functions only: fixed patterns, and a randomness test battery for other keys.
 
-The battery looks at long tokens whose characters fit an encoding of random bytes (hexadecimal, base32, base64
-or letters with digits). Three tests ask whether a token could be random in its alphabet: chi-squared on the
+The battery looks at long tokens whose characters fit an encoding of random bytes (hexadecimal and base32 in
+either case, letters of one or both cases with digits, base64). Three tests ask whether a token could be random in its alphabet: chi-squared on the
 counts of characters, runs above and below the middle of the alphabet, and serial correlation of neighbours.
 Their combined p-value is small for words, names and numbers that count up, and the share of tokens of like length that may be
 taken for ordinary although random is held down by false-discovery control over the whole corpus: within a
@@ -26,12 +26,19 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex")
 
 TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
-# Alphabets in the order of their values; the first that holds all characters of a token is its encoding.
+# Alphabets in the order of their values, the smallest first; the first that holds all characters of a token is
+# its encoding. Hexadecimal is read without case, so letters of mixed case are no alphabet of their own.
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+FOLDED = "^[0-9A-Fa-f]+$"
 ENCODINGS = (
-    ("hex", "^[0-9A-F]+$", "0123456789ABCDEF"),
-    ("base32", "^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    ("base64", "^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
-    ("base64url", "^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("hex", FOLDED, DIGITS + "ABCDEF"),
+    ("base32", "^[A-Z2-7]+$", UPPER + "234567"),
+    ("base32 lower", "^[a-z2-7]+$", LOWER + "234567"),
+    ("base36", "^[A-Z0-9]+$", DIGITS + UPPER),
+    ("base36 lower", "^[a-z0-9]+$", DIGITS + LOWER),
+    ("base62", "^[A-Za-z0-9]+$", DIGITS + UPPER + LOWER),
+    ("base64", "^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/"),
+    ("base64url", "^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
 )
 # Lower ends of the length classes within which discoveries are controlled.
 CLASSES = (20, 24, 32, 48, 64, 128)
@@ -121,7 +128,8 @@ def p_random(token: Column) -> Column:
 
         return let(codes, sequence_tests)
 
-    ready = F.struct(body.alias("body"), F.length(body).alias("n"), choice.alias("alphabet"))
+    folded = F.when(body.rlike(FOLDED), F.upper(body)).otherwise(body)
+    ready = F.struct(folded.alias("body"), F.length(body).alias("n"), choice.alias("alphabet"))
     return F.when(mixed & choice.isNotNull(), let(ready, tests))
 
 

@@ -86,6 +86,31 @@ def test_random_tokens_are_secrets_and_ordinary_ones_are_not(spark):
     assert not any(got[i] for i in range(20, 20 + len(plain)))
 
 
+@pytest.mark.parametrize("letters", [
+    "0123456789ABCDEF", "0123456789abcdefABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz234567",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+])
+def test_random_tokens_of_every_encoding_and_length_are_secrets(spark, letters):
+    draw = np.random.default_rng(5)
+    fold = letters == "0123456789abcdefABCDEF"
+
+    def key(n):
+        out = "".join(draw.choice(list("0123456789ABCDEF" if fold else letters), n))
+        return "".join(c.lower() if fold and draw.random() < 0.5 else c for c in out)
+
+    rows = [(n, t) for n in (20, 24, 32, 40, 48, 64, 128) for t in (key(n) for _ in range(100))]
+    tests = lambda t: re.search("[0-9]", t) and re.search("[A-Za-z].*[A-Za-z]", t)
+    rows = [(n, t) for n, t in rows if tests(t)]
+    docs = spark.createDataFrame([(i, f"see {t} there") for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: bool(r["spans"]) for r in secrets.scan(docs).collect()}
+    for n in {n for n, _ in rows}:
+        of = [got[i] for i, (m, _) in enumerate(rows) if m == n]
+        assert sum(of) >= 0.97 * len(of), (n, sum(of), len(of))
+
+
 def test_redaction_leaves_no_secret_and_other_rows_alone(spark, odd):
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(SECRET_TEXTS)], "doc_id long, text string, n_chars int")
     out = secrets.redact(docs)
