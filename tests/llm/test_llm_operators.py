@@ -444,6 +444,25 @@ def test_main_text_of_a_page(spark):
     assert got[300]["text"] == got[0]["text"] != ""
 
 
+LAYOUTS = [
+    "<div class='content has-sidebar'>{}</div>", "<div class='no-sidebar'>{}</div>", "<div class='sidebar-left page'>{}</div>",
+    "<div class='elementor-widget widget post-content'>{}</div>", "<div class='relative hidden md:block'>{}</div>",
+    "<form id='aspnetForm'>{}</form>", "<div id='header-layout'><div class='menu-open'>{}</div></div>", "<div style='display:none'>{}</div>",
+]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_wrappers_of_the_text_are_no_asides(layout):
+    story = "Title of it.", "A story of many words that goes on for a while, and then on."
+    around = "<nav>Home of all</nav><div class='ad'>Buy</div>{}<div class='site-footer'>All rights</div><p hidden>Old</p>"
+    comment = "<section class='comments'><article><p>" + "First! " * 40 + "</p></article></section>"
+    for inside in ("<article><div class='article-header'>{0}</div><p>{1}</p></article>" + comment, "<main><h1>{0}</h1><p>{1}</p></main>", "<h1>{0}</h1><p>{1}</p>"):
+        page = main_text.read_page(around.format(layout.format(inside.format(*story))))
+        assert [b.text for b in page.blocks if b.main or not page.has_main] == list(story), inside
+    teasers = "<div class='post'><p>" + story[1] * 3 + "</p></div><div class='sidebar'><article>More</article></div><div class='related'><article>Other</article></div>"
+    assert [b.text for b in main_text.read_page(teasers).blocks] == [story[1] * 3]
+
+
 def test_shared_passages_count_pages_as_brute_force():
     draw = np.random.default_rng(11)
     common = [draw.integers(1, 9, 12), draw.integers(1, 9, 3)]
