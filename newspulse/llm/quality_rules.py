@@ -2,7 +2,8 @@
 
 Each rule looks at one number of a text and votes ``good``, ``bad`` or abstains. How far a vote is to be
 believed is not set by hand: expectation-maximisation over the counts of vote patterns of the whole corpus
-estimates for every rule how often it votes ``good`` on good and on bad texts. The patterns (three votes to
+estimates for every rule how often it votes ``good`` on good and on bad texts. Copies of a text are one text there.
+The patterns (three votes to
 the power of the number of rules) bound what reaches the driver, whatever the size of the corpus.
 """
 
@@ -21,6 +22,8 @@ from newspulse.session import stage
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+# Words among which different ones are counted; their share falls with the length of any text.
+VOCABULARY = 1000
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 GOOD, ABSTAIN, BAD = 1, 0, -1
@@ -31,7 +34,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 STATS = T.StructType([
     T.StructField(name, T.LongType()) for name in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters",
-        "n_upper", "n_exclaims", "n_same_neighbours", "n_distinct",
+        "n_upper", "n_exclaims", "n_same_neighbours", "n_distinct", "n_looked_at", "text_hash",
     )
 ])
 
@@ -67,7 +70,7 @@ RULES = (
     Rule("shouting", "n_exclaims", "n_words", good=0.05, bad=0.10),
     Rule("letters", "n_letters", "word_chars", good=0.90, bad=0.80, low=True),
     Rule("same neighbours", "n_same_neighbours", "n_words", good=0.04, bad=0.10),
-    Rule("vocabulary", "n_distinct", "n_words", good=0.30, bad=0.12, low=True),
+    Rule("vocabulary", "n_distinct", "n_looked_at", good=0.30, bad=0.12, low=True),
 )
 
 
@@ -91,10 +94,22 @@ def repeated_words(ids: np.ndarray, window: int = WINDOW) -> int:
     return int((np.cumsum(edges)[:-1] > 0).sum())
 
 
+def vocabulary(words: list[bytes], window: int = VOCABULARY) -> tuple[int, int]:
+    """Different words of each of the windows that cover the text, summed, and the sum of the windows' lengths.
+
+    Windows follow each other; the last one ends with the text and is as long as the others.
+    """
+    if len(words) <= window:
+        return len(set(words)), len(words)
+    starts = [*range(0, len(words) - window, window), len(words) - window]
+    return sum(len(set(words[at:at + window])) for at in starts), window * len(starts)
+
+
 def text_stats(text: str | None) -> tuple[int, ...]:
     """The numbers of ``STATS`` for one whole text; null counts as empty."""
     text = text or ""
-    words = text.encode("utf-8", "surrogatepass").split()
+    raw = text.encode("utf-8", "surrogatepass")
+    words = raw.split()
     ids = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     lines = [line for line in text.split("\n") if line.strip(SPACES)]
     return (
@@ -108,7 +123,8 @@ def text_stats(text: str | None) -> tuple[int, ...]:
         sum(map(str.isupper, text)),
         text.count("!"),
         int((ids[1:] == ids[:-1]).sum()),
-        len(set(words)),
+        *vocabulary(words),
+        xxhash.xxh64_intdigest(raw) - 2**63,
     )
 
 
@@ -181,8 +197,9 @@ def fit(cast: np.ndarray, counts: np.ndarray, rounds: int = 100, belief: float =
 
 
 def learn(stats: DataFrame, name: str, rules: tuple[Rule, ...] = RULES) -> LabelModel:
-    """Fit the label model to the vote patterns of all rows; at most 3 to the power of the rules are collected."""
-    rows = stats.groupBy(votes(F.col(name), rules).alias("code")).count().collect()
+    """Fit the label model to the vote patterns of all different texts; at most 3 to the power of the rules are collected."""
+    texts = stats.select(votes(F.col(name), rules).alias("code"), F.col(name)["text_hash"].alias("text")).distinct()
+    rows = texts.groupBy("code").count().collect()
     rows.sort(key=lambda r: r["code"])
     codes = np.array([r["code"] for r in rows], np.int64)
     return fit(unpack(codes, len(rules)), np.array([r["count"] for r in rows], float))

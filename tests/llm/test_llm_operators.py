@@ -160,6 +160,30 @@ def test_quality_rules_agree_with_labels(spark):
     assert sum(r["kept"] == (r["quality"] == 1) for r in rows) >= 0.97 * len(rows)
 
 
+def zipf_text(draw, n_words):
+    """Words of a vocabulary of 20,000 by Zipf's law, no word twice in a row."""
+    share = 1 / np.arange(1, 20_001)
+    ids = draw.choice(20_000, n_words, p=share / share.sum())
+    ids = ids[np.append(True, ids[1:] != ids[:-1])]
+    names = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(20_000)]
+    return " ".join(names[i] for i in ids)
+
+
+def test_vocabulary_of_long_texts_and_copies_of_bad_ones(spark):
+    draw = np.random.default_rng(7)
+    long = zipf_text(draw, 500_000)
+    assert len(set(long.split())) < 0.12 * len(long.split())
+    few = [f"{a}{b}" for a in "abcdefgh" for b in "ijklm"]
+    poor = " ".join(w for i in range(30) for w in draw.permutation(few))
+    assert quality_rules.vocabulary(f"{poor} {poor}".split()) == (3 * 40, 3 * 1000)
+    clean = [zipf_text(draw, 150) for _ in range(200)]
+    for last, good in ([long], True), ([poor] * 100, False):
+        docs = spark.createDataFrame(list(enumerate(clean + last)), "doc_id long, text string")
+        kept = {r["doc_id"] for r in quality_rules.judge(docs).where("kept").collect()}
+        assert kept == set(range(200 + len(last) * good))
+        assert {r["doc_id"] for r in quality_rules.keep_good(docs).collect()} == kept
+
+
 def brute_components(rows, least=75):
     sets = {}
     for key, text in rows:
