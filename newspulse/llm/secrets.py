@@ -95,7 +95,11 @@ def _normal_tail(z: Column) -> Column:
 
 
 def p_random(token: Column) -> Column:
-    """Combined p-value of the three tests that a token is random in its encoding; null without an encoding.
+    """Combined p-value of the three tests that a token is random in its encoding; null for a token not tested.
+
+    Not tested are tokens without an encoding, a digit or two letters: long words and names of letters alone are
+    hard to tell from random letters. Of random keys this leaves out (54/64)^n in base64, (26/32)^n in base32,
+    (26/36)^n with letters of one case and digits, and all keys of letters alone; README has the rates.
 
     Chi-squared by the Wilson-Hilferty cube root, runs and serial correlation by their normal limits, combined
     by Fisher's method (chi-squared with six degrees, whose tail has a closed form).
@@ -142,8 +146,8 @@ def length_class(span: Column) -> Column:
 
 
 def tail_bin(p: Column) -> Column:
-    """Bin of a p-value on a logarithmic scale, 100 bins a decade; the smallest are in bin 0."""
-    return F.greatest(F.floor(F.lit(BINS) + F.log10(F.greatest(p, F.lit(1e-300))) * 100), F.lit(0)).cast("int")
+    """Bin of a p-value on a logarithmic scale, 100 bins a decade; the smallest are in bin 0. Null for null."""
+    return F.when(p.isNotNull(), F.greatest(F.floor(F.lit(BINS) + F.log10(F.greatest(p, F.lit(1e-300))) * 100), F.lit(0)).cast("int"))
 
 
 def candidates(text: Column, base: Column) -> Column:

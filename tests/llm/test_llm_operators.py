@@ -111,6 +111,19 @@ def test_random_tokens_of_every_encoding_and_length_are_secrets(spark, letters):
         assert sum(of) >= 0.97 * len(of), (n, sum(of), len(of))
 
 
+def test_untested_tokens_do_not_move_the_cut(spark):
+    draw = np.random.default_rng(3)
+    lines = ["-" * n for n in range(20, 24)] + ["internationalisierungen", "12345678901234567890", "usr/share/some_other-path/of"]
+    keys = ["".join(draw.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 22)) + "2" for _ in range(300)]
+    cuts = []
+    for rows in (keys, keys + lines * 500):
+        docs = spark.createDataFrame([(t,) for t in rows], "text string")
+        tested = docs.select(F.explode(secrets.candidates(F.col("text"), secrets.base_spans(F.col("text")))).alias("t")).select("t.*")
+        assert {r["token"] for r in tested.collect()} == set(keys)
+        cuts.append(secrets.ordinary_below(tested))
+    assert cuts[0] == cuts[1]
+
+
 def test_redaction_leaves_no_secret_and_other_rows_alone(spark, odd):
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(SECRET_TEXTS)], "doc_id long, text string, n_chars int")
     out = secrets.redact(docs)
