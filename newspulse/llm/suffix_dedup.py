@@ -26,7 +26,7 @@ from newspulse.session import stage
 
 LENGTH = 400
 BATCH = 2 << 20  # bytes whose windows are found at a time
-GROUP = 256  # different pieces of a group that one suffix array holds; larger groups compare single windows
+GROUP = 256  # different pieces of a group that one suffix array holds; larger groups are dealt again
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -147,14 +147,25 @@ def _geometric(base: int, n: int) -> np.ndarray:
     return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n - 1, base, np.uint64))))
 
 
+def widths(length: int) -> list[int]:
+    """Grams of a window at the first and all further levels; at the last one a gram is a whole window."""
+    width = 1
+    while width * 2 <= length * 0.64:
+        width *= 2
+    out = [width]
+    while out[-1] > 1:
+        out.append(max(1, out[-1] // 4))
+    return out
+
+
 class Windows:
-    """Finds the pieces of texts: runs of windows with one least gram, with that gram's hash."""
+    """Finds the pieces of texts: runs of windows with one least gram, with that gram's hash.
+
+    Windows hold ``width`` grams, a power of two.
+    """
 
-    def __init__(self, length: int):
-        self.length, self.width = length, 1
-        while self.width * 2 <= length * 0.64:  # windows hold ``width`` grams, a power of two
-            self.width *= 2
-        self.gram = length - self.width + 1
+    def __init__(self, length: int, width: int):
+        self.length, self.width, self.gram = length, width, length - width + 1
         self.up = self.down = np.ones(1, np.uint64)
 
     def pieces(self, data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,7 +189,7 @@ class Windows:
         return first, np.diff(before, append=int(valid.sum())), least[first]
 
 
-def _segments(rows: list[int], texts: list[bytes], length: int) -> Iterator[tuple[list[tuple[int, int, int, int]], bytes]]:
+def _segments(rows: list, texts: list[bytes], length: int) -> Iterator[tuple[list[tuple], bytes]]:
     """Texts joined to about ``BATCH`` bytes, longer ones in parts; each part (row, offset, place, windows)."""
     parts, joined, size = [], [], 0
     for row, text in zip(rows, texts):
@@ -196,20 +207,21 @@ def _segments(rows: list[int], texts: list[bytes], length: int) -> Iterator[tupl
 
 PIECES = "key long, h1 long, h2 long, copies long, row long, start long, n long"
 NAMES = [c.split()[0] for c in PIECES.split(", ")]
+NAME = np.dtype([("h1", "<i8"), ("h2", "<i8")])
 
 
 def _record(names: list[str], columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
 
-def _pieces(docs: DataFrame, length: int) -> DataFrame:
+def _pieces(texts: DataFrame, length: int, width: int) -> DataFrame:
     """Pieces of all texts. Equal pieces of a batch are one row with their number; the rows with 0 copies say which
     windows of a text (joined where they meet) are known to be repeated by that."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(length)
+        windows = Windows(length, width)
         for batch in batches:
-            rows = batch.column(0).to_pylist()
-            texts = [t.as_buffer().to_pybytes() for t in batch.column(1)]
+            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            texts = [t.as_buffer().to_pybytes() for t in batch.column(2)]
             for parts, joined in _segments(rows, texts, length):
                 yield from described(windows, parts, joined)
 
@@ -219,20 +231,19 @@ def _pieces(docs: DataFrame, length: int) -> DataFrame:
         for _, _, place, many in parts:
             valid[place:place + many] = True
         first, many, keys = windows.pieces(data, valid)
-        text = b"".join([hashlib.blake2b(view[a:a + m + length - 1], digest_size=16).digest() for a, m in zip(first.tolist(), many.tolist())])
-        names = np.frombuffer(text, np.dtype([("h1", "<i8"), ("h2", "<i8")]))
+        text = [hashlib.blake2b(view[a:a + m + length - 1], digest_size=16).digest() for a, m in zip(first.tolist(), many.tolist())]
+        names = np.frombuffer(b"".join(text), NAME)
         part = np.searchsorted(np.array([p[2] for p in parts]), first, "right") - 1
-        row = np.array([p[0] for p in parts], np.int64)[part]
+        row, copies = (np.array([p[0][i] for p in parts], np.int64)[part] for i in (0, 1))
         start = first - np.array([p[2] - p[1] for p in parts], np.int64)[part]
         order = np.lexsort((names["h2"], names["h1"]))
         new = np.ones(len(order), bool)
         new[1:] = (names["h1"][order][1:] != names["h1"][order][:-1]) | (names["h2"][order][1:] != names["h2"][order][:-1])
         lead = np.flatnonzero(new)
-        copies = np.diff(lead, append=len(order))
-        one = order[lead]
+        total, one = np.add.reduceat(copies[order], lead), order[lead]
         yield _record(NAMES, [
-            keys[one].view(np.int64), names["h1"][one], names["h2"][one], copies, row[one], start[one], many[one]])
-        known = np.sort(order[np.repeat(copies > 1, copies)])
+            keys[one].view(np.int64), names["h1"][one], names["h2"][one], total, row[one], start[one], many[one]])
+        known = np.sort(order[np.repeat(total > 1, np.diff(lead, append=len(order)))])
         if len(known):
             r, s, m = row[known], start[known], many[known]
             head = np.ones(len(known), bool)
@@ -241,40 +252,40 @@ def _pieces(docs: DataFrame, length: int) -> DataFrame:
             nothing = np.zeros(len(at), np.int64)
             yield _record(NAMES, [nothing, nothing, nothing, nothing, r[at], s[at], np.add.reduceat(m, at)])
 
-    return docs.mapInArrow(find, PIECES)
+    return texts.select("row", "copies", "text").mapInArrow(find, PIECES)
 
 
-CUT = "key long, h1 long, h2 long, copies long, large boolean, text binary"
+CUT = "key long, h1 long, h2 long, copies long, large boolean, n long, text binary"
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+def _cut(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of the wanted pieces."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("copies", pa.int64()), ("large", pa.bool_()), ("text", pa.binary())])
+        fields = [(c, pa.int64()) for c in ("key", "h1", "h2", "copies")]
+        schema = pa.schema([*fields, ("large", pa.bool_()), ("n", pa.int64()), ("text", pa.binary())])
         for batch in batches:
             for text, wants in zip(batch.column(0), batch.column(1)):
                 data = text.as_buffer().to_pybytes()
-                out = [
-                    {**w, "text": data[w["start"]:w["start"] + w["n"] + length - 1]} for w in wants.as_py()]
+                out = [{**w, "text": data[w["start"]:w["start"] + w["n"] + length - 1]} for w in wants.as_py()]
                 for at in range(0, len(out), 1024):
                     yield pa.RecordBatch.from_pylist(out[at:at + 1024], schema)
 
     lists = wanted.groupBy("row").agg(F.collect_list(F.struct("key", "h1", "h2", "copies", "large", "start", "n")).alias("wants"))
-    return docs.join(lists, "row").select("text", "wants").mapInArrow(cut, CUT)
+    return texts.join(lists, "row").select("text", "wants").mapInArrow(cut, CUT)
 
 
-RANGES = "h1 long, h2 long, start long, n long"
+RANGES = "h1 long, h2 long, ranges array<struct<start:long,n:long>>"
 
 
-def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _runs(flags: np.ndarray) -> list[dict[str, int]]:
     """Starts and lengths of the runs of true values."""
     edge = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))
     start = np.flatnonzero(edge == 1)
-    return start, np.flatnonzero(edge == -1) - start
+    return [{"start": a, "n": b - a} for a, b in zip(start.tolist(), np.flatnonzero(edge == -1).tolist())]
 
 
 def _by_suffixes(pieces: DataFrame, length: int) -> DataFrame:
-    """Ranges of repeated windows of the pieces of groups that fit in one suffix array each."""
+    """Ranges of repeated windows of the pieces, a suffix array for each group; pieces with copies are whole ranges."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
         for batch in batches:
@@ -290,52 +301,48 @@ def _by_suffixes(pieces: DataFrame, length: int) -> DataFrame:
     def ranges(group: list[dict]) -> pa.RecordBatch:
         rows = []
         for piece, flags in zip(group, repeated_windows([p["text"] for p in group], length)):
-            if piece["copies"] > 1:
-                flags = np.ones(len(flags), bool)
-            rows += [(piece["h1"], piece["h2"], int(a), int(n)) for a, n in zip(*_runs(flags))]
-        return _record(["h1", "h2", "start", "n"], list(zip(*rows)) or [[]] * 4)
+            found = [{"start": 0, "n": piece["n"]}] if piece["copies"] > 1 else _runs(flags)
+            rows.append({"h1": piece["h1"], "h2": piece["h2"], "ranges": found})
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64())]))
+        schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("ranges", kind)])
+        return pa.RecordBatch.from_pylist([r for r in rows if r["ranges"]], schema)
 
-    dealt = pieces.repartition("key").sortWithinPartitions("key")
+    dealt = pieces.select("key", "h1", "h2", "copies", "n", "text").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(compare, RANGES)
 
 
-def _by_windows(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for larger groups: every window is dealt on its own, so that no group is too large for a task."""
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                many, view = len(r["text"]) - length + 1, memoryview(r["text"])
-                text = b"".join([hashlib.blake2b(view[a:a + length], digest_size=16).digest() for a in range(many)])
-                names = np.frombuffer(text, np.dtype([("w1", "<i8"), ("w2", "<i8")]))
-                fill = lambda x: np.full(many, x, np.int64)
-                yield _record(["w1", "w2", "copies", "h1", "h2", "start"], [
-                    names["w1"], names["w2"], fill(r["copies"]), fill(r["h1"]), fill(r["h2"]), np.arange(many)])
-
-    each = stage(pieces.mapInArrow(explode, "w1 long, w2 long, copies long, h1 long, h2 long, start long"), "windows")
-    often = each.groupBy("w1", "w2").agg(F.sum("copies").alias("m")).where("m > 1").select("w1", "w2")
-    return each.join(often, ["w1", "w2"]).select("h1", "h2", "start", F.lit(1).cast("long").alias("n"))
-
-
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """Ranges (row, start, n): the ``length`` bytes at each of the ``n`` places from ``start`` on also start elsewhere.
+def repeated_ranges(texts: DataFrame, length: int = LENGTH, group: int = GROUP, level: int = 0) -> DataFrame:
+    """Ranges of repeated windows: (row, start, ranges), the places of ``ranges`` counted from ``start`` on.
 
-    ``docs`` is a stored table of (row, text); ranges of a text may overlap and come in any order.
+    ``texts`` is a stored table of (row, copies, text), in which ``copies`` tells how often a text occurs; the
+    ``length`` bytes at each place in a range also start elsewhere. Ranges may overlap and come in any order.
+    Groups of more than ``group`` different pieces are dealt again by longer grams, the last of which are whole
+    windows, so that no task holds a larger group.
     """
-    pieces = stage(_pieces(docs, length), "pieces")
-    known, pieces = pieces.where("copies = 0").select("row", "start", "n"), pieces.where("copies > 0")
+    width = widths(length)[level:]
+    pieces = stage(_pieces(texts, length, width[0]), "pieces")
+    known, pieces = pieces.where("copies = 0"), pieces.where("copies > 0")
     ends = [f(c) for c in ("h1", "h2") for f in (F.min, F.max)]
     alive = pieces.groupBy("key").agg(F.sum("copies").alias("m"), *[e.alias(f"e{i}") for i, e in enumerate(ends)])
     alive = alive.where("m > 1").select("key", F.expr("e0 = e1 and e2 = e3").alias("alike"))
     met = stage(pieces.join(alive, "key"), "met")
-    whole, apart = met.where("alike").select("row", "start", "n"), met.where("not alike")
-    texts = apart.groupBy("key", "h1", "h2").agg(F.sum("copies").alias("copies"), F.min(F.struct("row", "start", "n")).alias("one"))
-    sizes = texts.groupBy("key").agg((F.count("*") > group).alias("large"))
-    wanted = texts.join(sizes, "key").select("key", "h1", "h2", "copies", "large", "one.*")
-    cut = stage(_texts(docs, wanted, length), "cut")
-    ranges = _by_suffixes(cut.where("not large"), length).unionByName(_by_windows(cut.where("large"), length))
-    ranges = ranges.select("h1", "h2", F.col("start").alias("off"), F.col("n").alias("many"))
-    found = apart.join(ranges, ["h1", "h2"]).select("row", (F.col("start") + F.col("off")).alias("start"), F.col("many").alias("n"))
-    return known.unionByName(whole).unionByName(found)
+    whole, apart = met.where("alike"), met.where("not alike")
+    found = F.array(F.struct(F.lit(0).cast("long").alias("start"), "n")).alias("ranges")
+    out = known.unionByName(whole.select(*NAMES)).select("row", "start", found)
+    different = apart.groupBy("key", "h1", "h2").agg(F.sum("copies").alias("copies"), F.min(F.struct("row", "start", "n")).alias("one"))
+    last = len(width) == 1
+    sizes = different.groupBy("key").agg((F.lit(not last) & (F.count("*") > group)).alias("large"))
+    wanted = different.join(sizes, "key").select("key", "h1", "h2", "copies", "large", "one.*")
+    cut = stage(_cut(texts, wanted, length), "cut")
+    ranges = _by_suffixes(cut.where("not large"), length)
+    if not last and not cut.where("large").isEmpty():
+        large = stage(cut.where("large").withColumn("row", F.monotonically_increasing_id()), "large")
+        again = repeated_ranges(large.select("row", "copies", "text"), length, group, level + 1)
+        moved = F.transform("ranges", lambda r: F.struct((r["start"] + F.col("start")).alias("start"), r["n"].alias("n")))
+        again = again.groupBy("row").agg(F.flatten(F.collect_list(moved)).alias("ranges"))
+        ranges = ranges.unionByName(large.join(again, "row").select("h1", "h2", "ranges"))
+    # Pieces that have a copy in their own batch are known already.
+    return out.unionByName(apart.where("copies = 1").join(ranges, ["h1", "h2"]).select("row", "start", "ranges"))
 
 
 KEPT = "key long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
@@ -355,19 +362,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
     rows = stage(docs.select(
         ref(key).cast("long").alias("key"), F.coalesce(ref(text).cast("string"), F.lit("")).alias("text"),
         F.monotonically_increasing_id().alias("row")), "texts")
-    ranges = repeated_ranges(rows.where(F.octet_length("text") >= length).select("row", "text"), length, group)
+    long = rows.where(F.octet_length("text") >= length).select("row", F.lit(1).cast("long").alias("copies"), "text")
     # At most as many ranges as the text has bytes.
-    marked = ranges.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+    marked = repeated_ranges(long, length, group).groupBy("row").agg(F.collect_list(F.struct("start", "ranges")).alias("marks"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             sizes, spans, kept = [], [], []
-            for text, ranges in zip(batch.column(1), batch.column(2)):
+            for text, marks in zip(batch.column(1), batch.column(2)):
                 data = text.as_buffer().to_pybytes()
                 size, found, rest, at = len(data), [], [], 0
-                for r in sorted(ranges.as_py() or [], key=lambda r: r["start"]):
-                    a, b = r["start"], r["start"] + r["n"] + length - 1
+                marks = marks.as_py() or []
+                for a, n in sorted((m["start"] + r["start"], r["n"]) for m in marks for r in m["ranges"]):
+                    b = a + n + length - 1
                     if found and a <= found[-1]["end"]:
                         found[-1]["end"] = max(b, found[-1]["end"])
                     else:
@@ -382,5 +390,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())],
                 ["key", "n_bytes", "spans", "kept"])
 
-    joined = rows.join(marked, "row", "left").select("key", "text", "ranges")
+    joined = rows.join(marked, "row", "left").select("key", "text", "marks")
     return joined.mapInArrow(remove, KEPT).withColumnRenamed("key", key)
