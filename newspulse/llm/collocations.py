@@ -24,7 +24,7 @@ from newspulse.operators.dedup import top_per_group
 from newspulse.session import stage
 
 MOST_WORDS = 3
-BATCH = 8 << 20  # bytes of text hashed at a time; a longer text is hashed alone
+BATCH = 2 << 20  # bytes of text hashed at a time; a longer text is hashed alone
 TABLE_BITS = 27  # bits of a table of frequent fingerprints, as a power of two
 PROBES = 3
 # Odd multipliers of the two polynomials, and of the mixing steps.
