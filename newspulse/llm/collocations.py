@@ -4,7 +4,7 @@ Prefix polynomials over the words of a batch of texts give the fingerprint of ev
 without building its string. The shuffle aggregates fingerprints and counts. A run can only be frequent if the
 two runs it is made of are, so each length is counted only where bit tables of fixed size, made of the frequent
 fingerprints of the length before, let it pass; a bit set by chance costs work, never a result. Frequent runs
-are then aggregated once more with a second polynomial and a pointer to an occurrence; the pointers lead to the
+are then aggregated once more with a second polynomial and a pointer to one occurrence; the pointers lead to the
 texts, which tell colliding fingerprints apart, and only these phrases are ever strings.
 """
 
@@ -147,14 +147,11 @@ def _batches(batches: Iterator[pa.RecordBatch], powers: tuple[Powers, Powers]) -
 
 
 def _allowed(words: Words, n: int, tables: list[np.ndarray], bits: int, table_bits: int) -> np.ndarray:
-    """Runs of ``n`` words that may be frequent, by the tables of the shorter runs (and of their own, if there is one)."""
-    at = words.runs(n)
-    for m in range(1, min(n, len(tables)) + 1):
-        if m < n - 1:
-            continue
-        for shift in range(n - m + 1):
-            here = at + shift
-            at = at[passes(tables[m - 1], keyed(words.prints(here, m), words.lang[here], m, bits), table_bits)]
+    """Runs of ``n`` words that may be frequent, by the table of their own length or else of the runs one word shorter."""
+    at, m = words.runs(n), min(n, len(tables))
+    for shift in range(n - m + 1) if m else ():
+        here = at + shift
+        at = at[passes(tables[m - 1], keyed(words.prints(here, m), words.lang[here], m, bits), table_bits)]
     return at
 
 
@@ -163,7 +160,7 @@ def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     Equal first keys with other second keys may give a group more than once, which the shuffle adds up again.
     """
-    order = np.argsort(keys[0], kind="stable")
+    order = np.argsort(keys[0])
     new = np.ones(len(order), bool)
     new[1:] = False
     for k in keys:
@@ -180,9 +177,10 @@ def _counts(docs: DataFrame, n: int, tables: list[Broadcast], bits: int, table_b
         for words, _, _ in _batches(batches, powers):
             at = _allowed(words, n, known, bits, table_bits)
             keys = keyed(words.prints(at, n), words.lang[at], n, bits)
-            order, first, sizes = _grouped(keys)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[order[first]].view(np.int64)), pa.array(sizes.astype(np.int64))], ["print", "n"])
+            keys.sort()
+            first = np.flatnonzero(np.concatenate((keys[:1] == keys[:1], keys[1:] != keys[:-1])))
+            sizes = np.diff(first, append=len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(sizes.astype(np.int64))], ["print", "n"])
 
     return docs.mapInArrow(count, "print long, n long").groupBy("print").agg(F.sum("n").alias("n"))
 
