@@ -3,9 +3,10 @@
 Prefix polynomials over the words of a batch of texts give the fingerprint of every run of one to three words
 without building its string. The shuffle aggregates fingerprints and counts. A run can only be frequent if the
 two runs it is made of are, so each length is counted only where bit tables of fixed size, made of the frequent
-fingerprints of the length before, let it pass; a bit set by chance costs work, never a result. Frequent runs
-are then aggregated once more with a second polynomial and a pointer to one occurrence; the pointers lead to the
-texts, which tell colliding fingerprints apart, and only these phrases are ever strings.
+fingerprints of the length before, let it pass; a bit set by chance costs work, never a result. Then the runs
+whose fingerprint is frequent are grouped again in each batch, every group with a pointer to an occurrence; all
+others are compared with the text there, and one that differs stands for itself. Only these groups become
+strings, and the last counts are those of the strings.
 """
 
 from __future__ import annotations
@@ -27,12 +28,10 @@ MOST_WORDS = 3
 BATCH = 2 << 20  # bytes of text hashed at a time; a longer text is hashed alone
 TABLE_BITS = 27  # bits of a table of frequent fingerprints, as a power of two
 PROBES = 3
-# Odd multipliers of the two polynomials, and of the mixing steps.
-FIRST, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+# Odd multipliers of the polynomial and of the mixing steps.
+BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
-ANY_WORD = r"[^\\x20\\x09.,;:!?\\x0A-\\x0D]+"  # as a SQL string
-
 # What a byte is: 0 part of a word, 1 space between words, 2 end of a piece. A-Z become small letters.
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
@@ -50,8 +49,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Powers:
     """Powers of a multiplier and of its inverse modulo 2^64, as many as were asked for so far."""
 
-    def __init__(self, base: np.uint64):
-        self.base, self.inverse = base, np.uint64(pow(int(base), -1, 1 << 64))
+    def __init__(self):
+        self.base, self.inverse = BASE, np.uint64(pow(int(BASE), -1, 1 << 64))
         self.up = self.down = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +64,7 @@ class Powers:
 class Words:
     """The words of a batch of texts, lower-cased and joined by single spaces, and fingerprints of runs of them."""
 
-    def __init__(self, texts: list[bytes], langs: np.ndarray, powers: tuple[Powers, Powers]):
+    def __init__(self, texts: list[bytes], langs: np.ndarray, powers: Powers):
         raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)  # each text ends a piece
         kind = KIND[raw]
         word = kind == 0
@@ -74,7 +73,6 @@ class Words:
         first, past = np.flatnonzero(word & ~after), np.flatnonzero(~word & after)
         keep = word | after  # the words, and one byte after each
         self.bytes = np.where(word, LOWER[raw], np.uint8(32))[keep]
-        self.raw_start, self.raw_end = first, past
         size = past - first
         self.end = np.cumsum(size + 1) - 1
         self.start = self.end - size
@@ -82,11 +80,14 @@ class Words:
         breaks = np.concatenate(([0], np.cumsum(kind == 2)))
         self.piece = breaks[first]
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
-        self.text = np.searchsorted(np.cumsum(sizes), first, "right")
-        self.offset = (np.cumsum(sizes) - sizes)[self.text]
-        self.lang = langs[self.text]
-        self.powers = powers
-        self.sums: list[np.ndarray | None] = [None, None]
+        self.lang = langs[np.searchsorted(np.cumsum(sizes), first, "right")]
+        weighted = (self.bytes.astype(np.uint64) + np.uint64(1)) * powers.upto(len(self.bytes) + 1)[0][:-1]
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(weighted)))
+        self.down = powers.upto(len(self.bytes) + 1)[1]
+
+    def code(self, names: list[str]) -> None:
+        """Codes of the languages that are the same in every task."""
+        self.code_of = np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in names], np.uint64)
 
     def runs(self, n: int) -> np.ndarray:
         """Numbers of the words that begin a run of ``n`` words of one piece."""
@@ -95,16 +96,28 @@ class Words:
             return np.empty(0, np.int64)
         return np.flatnonzero(self.piece[:last] == self.piece[n - 1:])
 
-    def prints(self, at: np.ndarray, n: int, which: int = 0) -> np.ndarray:
-        """Fingerprints of the runs of ``n`` words that begin at the words ``at``, by one of the polynomials."""
-        up, down = self.powers[which].upto(len(self.bytes) + 1)
-        if self.sums[which] is None:
-            weighted = (self.bytes.astype(np.uint64) + np.uint64(1)) * up[:-1]
-            self.sums[which] = np.concatenate((np.zeros(1, np.uint64), np.cumsum(weighted)))
-        sums, a, b = self.sums[which], self.start[at], self.end[at + (n - 1)]
-        value = (sums[b] - sums[a]) * down[a]
+    def prints(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Fingerprints of the runs of ``n`` words that begin at the words ``at``."""
+        a, b = self.start[at], self.end[at + (n - 1)]
+        value = (self.sums[b] - self.sums[a]) * self.down[a]
         return mixed(value + (b - a).astype(np.uint64) * MIX_A)
 
+    def taken(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the runs, one after the other, and where each begins in them (and the last ends)."""
+        size = self.end[at + (n - 1)] - self.start[at]
+        edges = np.concatenate(([0], np.cumsum(size)))
+        return self.bytes[np.repeat(self.start[at] - edges[:-1], size) + np.arange(edges[-1])], edges
+
+    def alike(self, at: np.ndarray, lead: np.ndarray, n: int) -> np.ndarray:
+        """Whether each run has the same language and text as the run that leads it."""
+        last = n - 1
+        same = (self.lang[at] == self.lang[lead]) & (self.end[at + last] - self.start[at] == self.end[lead + last] - self.start[lead])
+        for part in np.array_split(np.flatnonzero(same), len(same) // (1 << 16) + 1):
+            (mine, edges), (theirs, _) = self.taken(at[part], n), self.taken(lead[part], n)
+            if len(mine):
+                same[part] = np.logical_and.reduceat(mine == theirs, edges[:-1])
+        return same
+
 
 def keyed(prints: np.ndarray, langs: np.ndarray, n: int, bits: int) -> np.ndarray:
     """Fingerprints made to differ between languages and lengths, cut to ``bits`` bits."""
@@ -125,25 +138,25 @@ def passes(table: np.ndarray, keys: np.ndarray, table_bits: int) -> np.ndarray:
     return out
 
 
-def _batches(batches: Iterator[pa.RecordBatch], powers: tuple[Powers, Powers]) -> Iterator[tuple[Words, list, list]]:
-    """Words of some texts at a time, with the row numbers and the languages of the texts."""
-    def words(rows: list[int], langs: list[str], texts: list[bytes]) -> tuple[Words, list, list]:
-        codes = {x: zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in set(langs)}
-        return Words(texts, np.array([codes[x] for x in langs], np.uint64), powers), rows, langs
+def _batches(batches: Iterator[pa.RecordBatch], powers: Powers) -> Iterator[tuple[Words, list[str]]]:
+    """Words of some texts at a time, and the languages by the numbers that the words have."""
+    names: dict[str, int] = {}
+
+    def words() -> tuple[Words, list[str]]:
+        return Words(texts, np.array(langs, np.int64), powers), list(names)
 
-    rows, langs, texts, size = [], [], [], 0
+    langs, texts, size = [], [], 0
     for batch in batches:
-        for row, lang, text in zip(*(batch.column(i) for i in range(3))):
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             data = text.as_buffer()
             if texts and size + data.size > BATCH:
-                yield words(rows, langs, texts)
-                rows, langs, texts, size = [], [], [], 0
-            rows.append(row.as_py())
-            langs.append(lang.as_py())
+                yield words()
+                langs, texts, size = [], [], 0
+            langs.append(names.setdefault(lang, len(names)))
             texts.append(data.to_pybytes())
             size += data.size
     if texts:
-        yield words(rows, langs, texts)
+        yield words()
 
 
 def _allowed(words: Words, n: int, tables: list[np.ndarray], bits: int, table_bits: int) -> np.ndarray:
@@ -151,32 +164,18 @@ def _allowed(words: Words, n: int, tables: list[np.ndarray], bits: int, table_bi
     at, m = words.runs(n), min(n, len(tables))
     for shift in range(n - m + 1) if m else ():
         here = at + shift
-        at = at[passes(tables[m - 1], keyed(words.prints(here, m), words.lang[here], m, bits), table_bits)]
+        at = at[passes(tables[m - 1], keyed(words.prints(here, m), words.code_of[words.lang[here]], m, bits), table_bits)]
     return at
 
 
-def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order that brings equal keys together, the first place of each group in it and the sizes of the groups.
-
-    Equal first keys with other second keys may give a group more than once, which the shuffle adds up again.
-    """
-    order = np.argsort(keys[0])
-    new = np.ones(len(order), bool)
-    new[1:] = False
-    for k in keys:
-        sorted_k = k[order]
-        new[1:] |= sorted_k[1:] != sorted_k[:-1]
-    first = np.flatnonzero(new)
-    return order, first, np.diff(first, append=len(order))
-
-
 def _counts(docs: DataFrame, n: int, tables: list[Broadcast], bits: int, table_bits: int) -> DataFrame:
     """Counts of the fingerprints of the runs of ``n`` words whose parts may be frequent: (print, n)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, known = (Powers(FIRST), Powers(SECOND)), [np.frombuffer(t.value, np.uint8) for t in tables]
-        for words, _, _ in _batches(batches, powers):
+        powers, known = Powers(), [np.frombuffer(t.value, np.uint8) for t in tables]
+        for words, langs in _batches(batches, powers):
+            words.code(langs)
             at = _allowed(words, n, known, bits, table_bits)
-            keys = keyed(words.prints(at, n), words.lang[at], n, bits)
+            keys = keyed(words.prints(at, n), words.code_of[words.lang[at]], n, bits)
             keys.sort()
             first = np.flatnonzero(np.concatenate((keys[:1] == keys[:1], keys[1:] != keys[:-1])))
             sizes = np.diff(first, append=len(keys))
@@ -200,54 +199,39 @@ def _table(frequent: DataFrame, table_bits: int) -> bytes:
     return bytes(out)
 
 
-FOUND = "lang string, words int, print long, check long, n long, row long, at long, size long"
+FOUND = "lang string, words int, phrase string, n long"
 
 
 def _found(docs: DataFrame, tables: list[Broadcast], bits: int, table_bits: int) -> DataFrame:
-    """Runs that pass the tables of their own length, with a second fingerprint and the first occurrence in the batch."""
+    """Counts (lang, words, phrase, n) of the runs that pass the table of their own length; 0 words: all words."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, known = (Powers(FIRST), Powers(SECOND)), [np.frombuffer(t.value, np.uint8) for t in tables]
-        for words, rows, langs in _batches(batches, powers):
-            rows, langs = np.array(rows, np.int64), pa.array(langs, pa.string())
+        powers, known = Powers(), [np.frombuffer(t.value, np.uint8) for t in tables]
+        for words, langs in _batches(batches, powers):
+            names = pa.array(langs, pa.string())
+            words.code(langs)
+            total = np.bincount(words.lang, minlength=len(langs))
+            yield record(names, 0, pa.array([""] * len(langs), pa.string()), total)
             for n in range(1, len(known) + 1):
                 at = _allowed(words, n, known, bits, table_bits)
-                keys, check = keyed(words.prints(at, n), words.lang[at], n, bits), words.prints(at, n, 1)
-                order, first, sizes = _grouped(keys, check)
-                lead = at[order[first]]
-                text = words.text[lead]
-                begin = words.raw_start[lead]
-                yield pa.RecordBatch.from_arrays([
-                    langs.take(pa.array(text)), pa.array(np.full(len(lead), n, np.int32)), pa.array(keys[order[first]].view(np.int64)),
-                    pa.array(check[order[first]].view(np.int64)), pa.array(sizes.astype(np.int64)), pa.array(rows[text]),
-                    pa.array(begin - words.offset[lead]), pa.array(words.raw_end[lead + (n - 1)] - begin),
-                ], ["lang", "words", "print", "check", "n", "row", "at", "size"])
-
-    every = docs.mapInArrow(find, FOUND)
-    pointer = F.struct("row", "at", "size")
-    return every.groupBy("lang", "words", "print", "check").agg(F.sum("n").alias("n"), F.min(pointer).alias("p"))
-
-
-def _materialised(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The phrases the pointers lead to: (lang, words, phrase, n). Runs whose texts are equal are one phrase."""
-    wanted = found.select(F.col("p.row").alias("row"), F.struct("words", "n", "p.at", "p.size").alias("want"))
-    wanted = wanted.groupBy("row").agg(F.collect_list("want").alias("wants"))  # at most the words of one text
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lower = bytes(LOWER)
-        for batch in batches:
-            out = [], [], [], []
-            for lang, text, wants in zip(*(batch.column(i) for i in range(3))):
-                data, lang = text.as_py().encode("utf-8", "surrogatepass").translate(lower), lang.as_py()
-                for w in wants.as_py():
-                    run = data[w["at"]:w["at"] + w["size"]].replace(b"\t", b" ")
-                    phrase = b" ".join(x for x in run.split(b" ") if x)
-                    for column, value in zip(out, (lang, w["words"], phrase.decode("utf-8", "surrogatepass"), w["n"])):
-                        column.append(value)
-            kinds = pa.string(), pa.int32(), pa.string(), pa.int64()
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["lang", "words", "phrase", "n"])
-
-    rows = docs.join(wanted, "row").select("lang", "text", "wants")
-    return rows.mapInArrow(read, "lang string, words int, phrase string, n long").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+                if not len(at):
+                    continue
+                keys = keyed(words.prints(at, n), words.code_of[words.lang[at]], n, bits)
+                order = np.argsort(keys)
+                keys, at = keys[order], at[order]
+                first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+                lead = np.repeat(at[first], np.diff(first, append=len(at)))  # the occurrence that a group points to
+                same = words.alike(at, lead, n)
+                lead = np.concatenate((at[first], at[~same]))  # another text with the fingerprint of a group
+                sizes = np.concatenate((np.add.reduceat(same.astype(np.int64), first), np.ones((~same).sum(), np.int64)))
+                data, edges = words.taken(lead, n)
+                phrase = pa.StringArray.from_buffers(len(lead), pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data))
+                yield record(names.take(pa.array(words.lang[lead])), n, phrase, sizes)
+
+    def record(lang: pa.Array, n: int, phrase: pa.Array, sizes: np.ndarray) -> pa.RecordBatch:
+        columns = [lang, pa.array(np.full(len(lang), n, np.int32)), phrase, pa.array(sizes, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "words", "phrase", "n"])
+
+    return docs.mapInArrow(find, FOUND).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
 
 
 def phrases(
@@ -256,21 +240,17 @@ def phrases(
 ) -> tuple[DataFrame, DataFrame]:
     """(every run of one to ``most_words`` words found ``least`` times or more, words per language).
 
-    The first table is (lang, words, phrase, n), the second (lang, n). ``bits`` shortens the first fingerprint
-    and ``table_bits`` the bit tables (at least 15); both change the work only. See ``collocations`` for words,
+    The first table is (lang, words, phrase, n), the second (lang, n). ``bits`` shortens the fingerprints and ``table_bits`` the bit tables (at least 15); both change the work only. See ``collocations`` for words,
     pieces and odd rows.
     """
     small_batches()
-    rows = stage(docs.select(
-        F.coalesce(ref(lang).cast("string"), F.lit("und")).alias("lang"), ref(text).cast("string").alias("text"),
-        F.monotonically_increasing_id().alias("row")).where("text <> ''"), "texts")
-    feed, tables, context = rows.select("row", "lang", "text"), [], docs.sparkSession.sparkContext
+    rows = docs.select(F.coalesce(ref(lang).cast("string"), F.lit("und")).alias("lang"), ref(text).cast("string").alias("text"))
+    rows, tables, context = rows.where("text <> ''"), [], docs.sparkSession.sparkContext
     for n in range(1, most_words + 1):
-        frequent = _counts(feed, n, tables, bits, table_bits).where(F.col("n") >= least).select("print")
+        frequent = _counts(rows, n, tables, bits, table_bits).where(F.col("n") >= least).select("print")
         tables.append(context.broadcast(_table(frequent, table_bits)))
-    found = stage(_found(feed, tables, bits, table_bits).where(F.col("n") >= least), "runs")
-    totals = rows.select("lang", F.expr(f"size(regexp_extract_all(text, '{ANY_WORD}', 0))").cast("long").alias("n"))
-    return _materialised(rows, found), totals.groupBy("lang").agg(F.sum("n").alias("n"))
+    counts = stage(_found(rows, tables, bits, table_bits).where((F.col("n") >= least) | (F.col("words") == 0)), "phrases")
+    return counts.where("words > 0"), counts.where("words = 0").select("lang", "n")
 
 
 def _parts(phrases: DataFrame) -> DataFrame:
@@ -305,7 +285,6 @@ def collocations(
     with the longest single text and the bit tables (2^``table_bits`` bits each), not with the corpus.
     """
     found, totals = phrases(docs, least, most_words, text, lang, **sizes)
-    found = stage(found, "phrases")
     parts = _parts(found)
     count = lambda part, name: found.select("lang", F.col("phrase").alias(part), F.col("n").alias(name))
     cuts = parts.join(count("head", "l"), ["lang", "head"]).join(count("rest", "r"), ["lang", "rest"])
