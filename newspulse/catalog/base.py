@@ -156,17 +156,26 @@ def rdiv(a: str, b: str) -> str:
     return f"(CASE WHEN ({a}) < 0 THEN -1 ELSE 1 END * ((2 * abs({a}) + ({b})) // (2 * ({b}))))"
 
 
-def sql_entities(text: str = "content", source: str = "art") -> str:
+def sql_sum(c: str) -> str:
+    """Sum of doubles by their decimal digits, whatever the order of the rows."""
+    return f"CAST(CAST(sum(CAST(CAST({c} AS VARCHAR) AS DECIMAL(38,15))) AS VARCHAR) AS DOUBLE)"
+
+
+def sql_mean(c: str) -> str:
+    return f"({sql_sum(c)} / count({c}))"
+
+
+def sql_entities(text: str = "content", source: str = "art", longest: int = 3) -> str:
     """CTE ``ents(doc_id, kept)``: mentions in order, longest match first; needs ``gaz`` and ``source``."""
+    nexts = ", ".join(f"lead(a, {i}) OVER w AS a{i}" for i in range(1, longest))
+    runs = "".join(
+        f" UNION ALL SELECT doc_id, pos, {n}, {' || chr(32) || '.join(['a', *(f'a{i}' for i in range(1, n))])} FROM enext WHERE a{n - 1} IS NOT NULL"
+        for n in range(2, longest + 1))
     return f"""
     etok AS (SELECT doc_id, unnest(toks) AS a, unnest(range(len(toks))) AS pos FROM
         (SELECT doc_id, regexp_extract_all({text}, {lit(SQL_PHRASE_TOKEN)}) AS toks FROM {source})),
-    enext AS (SELECT doc_id, pos, a, lead(a, 1) OVER w AS b, lead(a, 2) OVER w AS c FROM etok
-        WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-    ecand AS (
-        SELECT doc_id, pos, 1 AS n, a AS t FROM enext
-        UNION ALL SELECT doc_id, pos, 2, a || ' ' || b FROM enext WHERE b IS NOT NULL
-        UNION ALL SELECT doc_id, pos, 3, a || ' ' || b || ' ' || c FROM enext WHERE c IS NOT NULL),
+    enext AS (SELECT doc_id, pos, a, {nexts} FROM etok WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    ecand AS (SELECT doc_id, pos, 1 AS n, a AS t FROM enext{runs}),
     ematch AS (SELECT doc_id, pos, n, t, label FROM ecand JOIN gaz ON lower(t) = surface),
     elist AS (SELECT doc_id, list({{'pos': pos, 'n': n, 't': t, 'label': label, 'free': 0::BIGINT,
             'kept': CAST([] AS STRUCT(pos BIGINT, t VARCHAR, label VARCHAR)[])}} ORDER BY pos, n DESC) AS ms
@@ -187,17 +196,16 @@ def sql_strip(c: str) -> str:
 
 
 def sql_mean_valence(name: str, text: str, source: str = "art", key: str = "doc_id") -> str:
-    """CTE ``name(key, hits, micro)``: mean valence in millionths; needs ``lex`` and ``source``."""
-    mean = rdiv("coalesce(sum(v), 0) * 1000", "count(v)")
+    """CTE ``name(key, hits, score)``: mean valence; needs ``lex`` and ``source``."""
     return f"""
     {name}_t AS (SELECT {key}, unnest({sql_terms(text)}) AS word FROM {source}),
     {name}_h AS (SELECT {key}, v FROM {name}_t JOIN lex USING (word) WHERE kind = 'valence'),
-    {name} AS (SELECT d.{key}, count(v) AS hits, CASE WHEN count(v) = 0 THEN 0 ELSE {mean} END AS micro
+    {name} AS (SELECT d.{key}, count(v) AS hits, CASE WHEN count(v) = 0 THEN 0.0::DOUBLE ELSE (CAST(sum(v) AS DOUBLE) / 1000) / count(v) END AS score
         FROM {source} d LEFT JOIN {name}_h USING ({key}) GROUP BY d.{key})"""
 
 
 def sql_polarity(name: str, text: str, source: str = "art", key: str = "doc_id") -> str:
-    """CTE ``name(key, pol, sub)`` in millionths; a negation one word before turns and halves a hit."""
+    """CTE ``name(key, pol, sub)``; a negation one word before turns and halves a hit."""
     return f"""
     {name}_t AS (SELECT {key}, unnest(w) AS word, unnest(range(len(w))) AS i
         FROM (SELECT {key}, {sql_terms(text)} AS w FROM {source})),
@@ -206,8 +214,8 @@ def sql_polarity(name: str, text: str, source: str = "art", key: str = "doc_id")
         FROM {name}_c c JOIN lex h ON c.word = h.word AND h.kind = 'valence'
         LEFT JOIN lex g ON c.before = g.word AND g.kind = 'negation'),
     {name} AS (SELECT d.{key},
-            CASE WHEN count(p10) = 0 THEN 0 ELSE greatest(least({rdiv('coalesce(sum(p10), 0) * 100', 'count(p10)')}, 1000000), -1000000) END AS pol,
-            CASE WHEN count(p10) = 0 THEN 0 ELSE greatest(least({rdiv('coalesce(sum(s), 0) * 1000', 'count(p10)')}, 1000000), 0) END AS sub
+            CASE WHEN count(p10) = 0 THEN 0.0::DOUBLE ELSE greatest(least((CAST(sum(p10) AS DOUBLE) / 10000) / count(p10), 1), -1) END AS pol,
+            CASE WHEN count(p10) = 0 THEN 0.0::DOUBLE ELSE greatest(least((CAST(sum(s) AS DOUBLE) / 1000) / count(p10), 1), 0) END AS sub
         FROM {source} d LEFT JOIN {name}_h USING ({key}) GROUP BY d.{key})"""
 
 

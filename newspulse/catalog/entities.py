@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newspulse.catalog.base import (
-    ART_SQL, GAZ_SQL, articles, gazetteer, lexicon, lit, query, rdiv, sql_entities, sql_strip,
+    ART_SQL, GAZ_SQL, articles, gazetteer, lexicon, lit, query, sql_entities, sql_mean, sql_strip, sql_sum, sql_values,
 )
 from newspulse.catalog.sentiment import FIELD_CTES, SCORES_SQL, cleaned_fields, scored_articles
 from newspulse.functions import regex as R
 from newspulse.operators import entities as E
 from newspulse.operators import reports
 from newspulse.operators import sentiment as N
+from newspulse.resources import words
 from newspulse.session import stage
 
 TOP_MIN_COUNT, TOP_N = 3, 20
@@ -46,6 +47,22 @@ def entity_mentions(spark, sf):
     return E.mentions(lists(spark, sf), "doc_id")
 
 
+# Names of up to six words, one inside the other, beginning alike and overlapping.
+LONG_NAMES = [
+    ("the and attion to thanedble", "ORG"), ("the and attion", "LOC"), ("attion to", "PER"), ("thanedble the", "MISC"),
+    ("therhean is the is esndha reedes", "ORG"), ("is the is", "LOC"), ("thesedst in thedones onnt", "ORG"), ("thesedst in", "PER"),
+    ("er ntre in onbleea of", "MISC"), ("onbleea of", "LOC"), ("ndnd onre enat in ingor", "ORG"), ("enat", "PER"), ("thonia . bay", "LOC"),
+]
+
+
+@query(f"""WITH {ART_SQL}, gaz AS (SELECT * FROM {sql_values(LONG_NAMES, 'surface, label')}), {sql_entities(longest=6)}
+    SELECT doc_id, pos, text, label FROM men""")
+def entity_long_names(spark, sf):
+    """Mentions of names of any number of words."""
+    found = E.mention_lists(articles(spark, sf), "doc_id", "content", words.gazetteer(spark, LONG_NAMES))
+    return E.mentions(found, "doc_id")
+
+
 @query("WITH " + ", ".join(
     f"""p{i} AS (SELECT doc_id, unnest(m) AS text, unnest(range(len(m))) AS ordinal, '{label}' AS label
         FROM (SELECT doc_id, regexp_extract_all(text, {lit(p)}) AS m FROM documents))"""
@@ -98,16 +115,15 @@ def _plain(df):
 
 
 def _stats_sql(entity_rows):
-    mean = lambda c: rdiv(f"sum({c})", "count(*)")
     return f"""once AS ({entity_rows}),
-    stats AS (SELECT medie, entity, {mean('c')} AS a, count(*) AS cnt, {mean('t')} AS b
+    stats AS (SELECT medie, entity, {sql_mean('c')} AS a, count(*) AS cnt, {sql_mean('t')} AS b
         FROM once JOIN scored USING (doc_id) GROUP BY medie, entity)"""
 
 
 STATS_SQL = f"{SCORES_SQL}, {GAZ_SQL}, {sql_entities()}, " + _stats_sql(
     f"SELECT DISTINCT doc_id, {ENTITY_KEY} AS entity FROM men"
 )
-STATS_COLUMNS = """medie, entity, a / 1e6 AS average_sentiment, cnt AS count, b / 1e6 AS average_sentiment_title,
+STATS_COLUMNS = """medie, entity, a AS average_sentiment, cnt AS count, b AS average_sentiment_title,
     cnt AS count_title"""
 
 
@@ -126,7 +142,7 @@ def entity_typed(spark, sf):
 
 
 @query(f"""WITH {STATS_SQL}, {TYPES_SQL}
-    SELECT medie, entity_type, (sum(a) / 1e6) / count(*) AS mean_average_sentiment
+    SELECT medie, entity_type, {sql_mean('a')} AS mean_average_sentiment
     FROM stats JOIN types USING (entity) WHERE entity_type IS NOT NULL GROUP BY ALL""")
 def sentiment_by_type(spark, sf):
     return reports.mean_by(typed_statistics(spark, sf), ["medie", "entity_type"], "average_sentiment")
@@ -159,11 +175,9 @@ def _entity_polarity_sql(pairs):
     from newspulse.catalog.base import LEX_SQL, sql_clean_tech
     stats = []
     for p, f in zip(POLARITIES, ("t", "d")):
-        n, s, q = "count(*)", f"sum({f})", f"sum({f} * {f})"
-        stats.append(f"""(CAST({s} AS DOUBLE) / 1e6) / {n} AS mean_{p},
-            CASE WHEN {n} > 1 THEN round((CAST({q} AS DOUBLE) / 1e12
-                - (CAST({s} AS DOUBLE) / 1e6) * (CAST({s} AS DOUBLE) / 1e6) / {n}) / ({n} - 1), 9) + 0.0 END AS var_{p},
-            {n} AS count_{p}, arg_min({f}, doc_id) / 1e6 AS {p}""")
+        n, s, q = "count(*)", sql_sum(f), sql_sum(f"({f} * {f})")
+        stats.append(f"""{s} / {n} AS mean_{p}, CASE WHEN {n} > 1 THEN greatest(({q} - {s} * {s} / {n}) / ({n} - 1), 0) END AS var_{p},
+            {n} AS count_{p}, arg_min({f}, doc_id) AS {p}""")
     return f"""WITH {ART_SQL}, {LEX_SQL}, {GAZ_SQL}, {FIELD_CTES},
     clean AS (SELECT doc_id, {sql_clean_tech('content')} AS content FROM art),
     {sql_entities(source='clean')},

@@ -9,6 +9,7 @@ from newspulse.catalog.base import (
 )
 from newspulse.functions import html as H
 from newspulse.operators import html as O
+from newspulse.sources import readers
 
 H1 = r"(?s)<h1(?:\s[^>]*)?>(.*?)</h1\s*>"
 BODY = r"(?s)<article(?:\s[^>]*)?>(.*?)</article\s*>"
@@ -28,6 +29,26 @@ def html_article(spark, sf):
     return O.page_articles(pages(spark, sf)).select("page_id", "link", "title", "content", "medie")
 
 
+def re_encoded(pages):
+    """The pages in bytes as outlets serve them: UTF-8, UTF-16 of both orders with their mark, declared Latin-1."""
+    kind, html = F.col("page_id") % 4, F.col("html")
+    latin = F.replace(html, F.lit('charset="utf-8"'), F.lit("charset='ISO-8859-1'"))
+    marked = lambda mark, order: F.concat(F.unhex(F.lit(mark)), F.encode(html, order))
+    content = (
+        F.when(kind == 1, marked("FFFE", "UTF-16LE")).when(kind == 2, marked("FEFF", "UTF-16BE"))
+        .when((kind == 3) & ~html.rlike(r"[^\x00-\x7F\x{A0}-\x{FF}]") & latin.contains("ISO-8859-1"), F.encode(latin, "ISO-8859-1"))
+        .otherwise(F.encode(html, "UTF-8"))
+    )
+    return pages.select("page_id", "url", content.alias("content"))
+
+
+@query(ARTICLE_SQL)
+def html_bytes(spark, sf):
+    """Articles of pages that come as bytes in four encodings."""
+    decoded = readers.decoded_pages(re_encoded(pages(spark, sf)))
+    return O.page_articles(decoded).select("page_id", "link", "title", "content", "medie")
+
+
 @query(f"SELECT page_id, {sql_markup_text(f'regexp_extract(html, {lit(H1)}, 1)')} AS title FROM pages")
 def html_title(spark, sf):
     return pages(spark, sf).select("page_id", H.first_text(F.col("html"), "h1").alias("title"))

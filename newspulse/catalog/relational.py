@@ -6,11 +6,12 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from newspulse import schemas as S
 from newspulse.catalog.base import articles, documents, lit, pages, query, table
 from newspulse.functions import columns as C
 from newspulse.operators import dedup, filters, geometry, reports
 from newspulse.session import stage_path
-from newspulse.sources import readers, writers
+from newspulse.sources import readers, variants, writers
 from newspulse.streaming import daily
 
 # Topic families matched to the words of the test documents. The first two reuse the shape of the
@@ -124,6 +125,48 @@ def json_props(spark, sf):
     return _event_props(spark, sf)
 
 
+@query(f"""SELECT event_id, '$["' || key || '"]' AS path,
+        CASE WHEN json_type(props, '$.' || key) IN ('UBIGINT', 'BIGINT') THEN 'BIGINT' ELSE json_type(props, '$.' || key) END AS kind,
+        json_extract_string(props, '$.' || key) AS value
+    FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)""")
+def variant_leaves(spark, sf):
+    """Every value of a JSON column of unknown shape, with its path."""
+    docs = variants.parsed(table(spark, sf, "events").select("event_id", "props"), "props")
+    return variants.leaves(docs, ["event_id"], "doc")
+
+
+# What a feed might send for each event: a list with keys that no schema declares, a message without a list, or
+# a document that was cut off.
+FEED_DOCUMENT = """CASE WHEN event_id % 11 = 3 THEN '{"feed": [{"title": "' || event_type
+    WHEN event_id % 13 = 5 THEN '{"Information": "limit of user ' || user_id || '"}'
+    ELSE '{"items": 1, "feed": [{"title": "' || event_type || '", "url": "u/' || event_id || '", "props": ' || props
+        || ', "topics": [{"topic": "t' || event_id % 5 || '", "relevance": ' || event_id % 7 || '}, {"topic": "all"}]},'
+        || ' {"title": 7, "url": "v/' || event_id || '"}]}' END"""
+
+
+@query(f"""WITH sound AS (SELECT * FROM events WHERE event_id % 11 <> 3 AND event_id % 13 <> 5)
+    SELECT event_id, 0 AS pos, event_type AS title, 'u/' || event_id AS url, {K} AS k,
+        't' || event_id % 5 || ',all' AS topics, event_id % 7 AS relevance FROM sound
+    UNION ALL SELECT event_id, 1, '7', 'v/' || event_id, NULL, NULL, NULL FROM sound""")
+def feed_variant(spark, sf):
+    """Feed items with declared columns, and keys that nobody declared at two depths."""
+    documents = variants.parsed(table(spark, sf, "events").select("event_id", F.expr(FEED_DOCUMENT).alias("raw")))
+    rows = variants.items(documents, "feed", S.FEED_ITEM)
+    topics = F.try_variant_get("rest", "$.topics", "array<struct<topic:string>>")
+    return rows.select(
+        "event_id", "pos", "title", "url", F.try_variant_get("rest", "$.props.k", "bigint").alias("k"),
+        F.array_join(F.transform(topics, lambda t: t["topic"]), ",").alias("topics"),
+        F.try_variant_get("rest", "$.topics[0].relevance", "bigint").alias("relevance"))
+
+
+@query("""SELECT event_id, event_id % 11 <> 3 AS valid, event_id % 11 <> 3 AND event_id % 13 <> 5 AS has_list,
+    CASE WHEN event_id % 11 <> 3 AND event_id % 13 = 5 THEN 'limit of user ' || user_id END AS message FROM events""")
+def feed_status(spark, sf):
+    """Which documents of a feed are broken or hold a message instead of their list."""
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("file_name"), F.expr(FEED_DOCUMENT).alias("raw"))
+    return variants.status(variants.parsed(rows), "feed", "Information", "Note").withColumnRenamed("file_name", "event_id")
+
+
 @query(f"SELECT event_id, {K} AS k FROM events WHERE {K} IS NOT NULL AND {K} <> 42")
 def attr_filter(spark, sf):
     return filters.has_attribute(_event_props(spark, sf), F.col("k"), 42).select("event_id", "k")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newspulse.catalog.base import (
-    ART_SQL, LEX_SQL, SQL_CHUNK, articles, lexicon, lit, pages, polarity_label_sql, query, rdiv, sql_clean_news,
-    sql_clean_tech, sql_mean_valence, sql_polarity,
+    ART_SQL, LEX_SQL, SQL_CHUNK, articles, lexicon, lit, pages, polarity_label_sql, query, sql_clean_news,
+    sql_clean_tech, sql_mean, sql_mean_valence, sql_polarity,
 )
 from newspulse.catalog.html import ARTICLE_SQL
 from newspulse.functions import columns as C
@@ -26,19 +26,19 @@ def scored_articles(spark, sf):
 SCORES_SQL = f"""{ART_SQL}, {LEX_SQL},
     {sql_mean_valence('sc', sql_clean_news('content'))},
     {sql_mean_valence('st', 'title')},
-    scored AS (SELECT doc_id, medie, sc.micro AS c, st.micro AS t
+    scored AS (SELECT doc_id, medie, sc.score AS c, st.score AS t
         FROM art JOIN sc USING (doc_id) JOIN st USING (doc_id))"""
 
 
-@query(f"WITH {SCORES_SQL} SELECT doc_id, medie, c / 1e6 AS sentiment_content, t / 1e6 AS sentiment_title FROM scored")
+@query(f"WITH {SCORES_SQL} SELECT doc_id, medie, c AS sentiment_content, t AS sentiment_title FROM scored")
 def sentiment_mean(spark, sf):
     return scored_articles(spark, sf).select(
         "doc_id", "medie", F.col("sentiment_content").cast("double"), F.col("sentiment_title").cast("double")
     )
 
 
-@query(f"""WITH {SCORES_SQL} SELECT medie, (sum(c) / 1e6) / count(*) AS mean_sentiment_content,
-    (sum(t) / 1e6) / count(*) AS mean_sentiment_title FROM scored GROUP BY medie""")
+@query(f"""WITH {SCORES_SQL} SELECT medie, {sql_mean('c')} AS mean_sentiment_content,
+    {sql_mean('t')} AS mean_sentiment_title FROM scored GROUP BY medie""")
 def sentiment_by_media(spark, sf):
     return reports.mean_by(scored_articles(spark, sf), ["medie"], "sentiment_content", "sentiment_title")
 
@@ -46,7 +46,7 @@ def sentiment_by_media(spark, sf):
 @query(f"""WITH art AS ({ARTICLE_SQL}), {LEX_SQL},
     {sql_mean_valence('sc', sql_clean_news('content'), key='page_id')},
     cat AS (SELECT page_id, list_filter(string_split(link, '/')[4:-2], lambda s: s <> '')[1] AS category_1 FROM art)
-    SELECT category_1, (sum(micro) / 1e6) / count(*) AS mean_sentiment_content
+    SELECT category_1, {sql_mean('score')} AS mean_sentiment_content
     FROM cat JOIN sc USING (page_id) WHERE category_1 IS NOT NULL GROUP BY category_1""")
 def sentiment_by_category(spark, sf):
     rows = (
@@ -59,7 +59,7 @@ def sentiment_by_category(spark, sf):
 
 
 @query(f"""WITH {ART_SQL}, {LEX_SQL}, {sql_polarity('p', sql_clean_tech('content'))}
-    SELECT doc_id, pol / 1e6 AS polarity, sub / 1e6 AS subjectivity, {polarity_label_sql('pol')} AS polarity_label
+    SELECT doc_id, pol AS polarity, sub AS subjectivity, {polarity_label_sql('pol')} AS polarity_label
     FROM p""")
 def sentiment_polarity(spark, sf):
     rows = articles(spark, sf).withColumn("content_clean", X.clean_tech("content"))
@@ -89,7 +89,7 @@ FIELD_CTES = ", ".join(sql_polarity(f, sql_clean_tech(e)) for f, e in FIELDS.ite
 
 
 @query(f"""WITH {ART_SQL}, {LEX_SQL}, {FIELD_CTES}
-    SELECT doc_id, {', '.join(f'''{f}.pol / 1e6 AS {f}_polarity, {f}.sub / 1e6 AS {f}_subjectivity,
+    SELECT doc_id, {', '.join(f'''{f}.pol AS {f}_polarity, {f}.sub AS {f}_subjectivity,
         {polarity_label_sql(f + '.pol')} AS {f}_polarity_label''' for f in FIELDS)}
     FROM title_clean JOIN content_clean USING (doc_id) JOIN description_clean USING (doc_id)""")
 def multi_column_sentiment(spark, sf):

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MEAN_TYPE = "decimal(18,6)"
+# Doubles enter sums as decimals of this type; nothing is rounded to fewer digits afterwards.
+EXACT = "decimal(28,15)"
 
 
-def mean6(total: Column, n: Column) -> Column:
-    """``total / n`` rounded half up to six digits; null when ``n`` is 0."""
-    return F.round(F.try_divide(total, n.cast("decimal(12,0)")), 6).cast(MEAN_TYPE)
+def exact(c: Column | str) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast(EXACT)
 
 
-def mean(column: str) -> Column:
-    """Mean of a DECIMAL column as a double, taken from the exact sum."""
-    return F.sum(column).cast("double") / F.count(column)
+def ratio(total: Column, n: Column) -> Column:
+    """``total / n`` as a double, taken from the exact sum; null when ``n`` is 0."""
+    return F.try_divide(total.cast("double"), n.cast("double"))
+
+
+def mean(column: Column | str) -> Column:
+    """Mean of a column of scores as a double, from the exact sum."""
+    return ratio(F.sum(exact(column)), F.count(column))

@@ -63,10 +63,10 @@ def mean_valences(df: DataFrame, keys: list[str], columns: dict[str, str], lexic
         v = F.when(F.col("_field") == c, F.col("valence"))
         sums += [F.sum(v).alias(f"_{out}"), F.count(v).alias(f"hits_{out}")]
     scored = tokens.join(_kind(lexicon, "valence", "word", valence="valence"), "word", "left").groupBy(*keys).agg(*sums)
-    mean = lambda out: fixed.mean6(F.col(f"_{out}"), F.col(f"hits_{out}"))
+    mean = lambda out: fixed.ratio(F.col(f"_{out}"), F.col(f"hits_{out}"))
     return scored.select(
         *keys, *[f"hits_{out}" for out in columns],
-        *[F.coalesce(mean(out), F.lit(0)).cast(fixed.MEAN_TYPE).alias(out) for out in columns],
+        *[F.coalesce(mean(out), F.lit(0.0)).alias(out) for out in columns],
     )
 
 
@@ -108,15 +108,14 @@ def polarities(df: DataFrame, keys: list[str], columns: list[str], lexicon: Data
         .groupBy(*keys)
         .agg(*sums)
     )
-    one, zero = F.lit(1).cast(fixed.MEAN_TYPE), F.lit(0).cast(fixed.MEAN_TYPE)
+    one, zero = F.lit(1.0), F.lit(0.0)
     out = []
     for c in columns:
-        mean = lambda part, n=F.col(f"_n_{c}"), c=c: F.coalesce(fixed.mean6(F.col(f"_{part}_{c}"), n), zero)
+        mean = lambda part, n=F.col(f"_n_{c}"), c=c: F.coalesce(fixed.ratio(F.col(f"_{part}_{c}"), n), zero)
         out += [
-            F.greatest(F.least(mean("p"), one), -one).cast(fixed.MEAN_TYPE).alias(f"{c}_polarity"),
-            F.greatest(F.least(mean("s"), one), zero).cast(fixed.MEAN_TYPE).alias(f"{c}_subjectivity"),
+            F.greatest(F.least(mean("p"), one), -one).alias(f"{c}_polarity"),
+            F.greatest(F.least(mean("s"), one), zero).alias(f"{c}_subjectivity"),
         ]
-    # The sign of the exact sum: a mean too small for its six digits is still not neutral.
     labels = [C.polarity_label(F.coalesce(F.col(f"_p_{c}"), F.lit(0))).alias(f"{c}_polarity_label") for c in columns]
     return scored.select(*keys, *out, *labels)
 

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newspulse import schemas as S
+from newspulse.functions.encoding import decoded, encoding_of, lenient
 from newspulse.operators.dedup import top_per_group
 from newspulse.operators.filters import in_window
+from newspulse.sources import variants
 
 # A file whose header has other names or another order than the schema is an error, never read by position.
 CSV_OPTIONS = {"header": True, "enforceSchema": False, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
@@ -58,29 +60,37 @@ def json_articles(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     return unnest(envelopes, "articles")
 
 
-def json_sources(spark: SparkSession, path: str) -> DataFrame:
-    envelopes = spark.read.schema(S.SOURCES_ENVELOPE).option("multiLine", True).json(path)
+def json_sources(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Source documents; ``multi_line=False`` for files with one document per line, which can be split."""
+    envelopes = spark.read.schema(S.SOURCES_ENVELOPE).option("multiLine", multi_line).json(path)
     return unnest(envelopes, "sources")
 
 
-def json_feed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(items, status): the feed's rows, and per document whether its list was there.
+def json_feed(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(items, status): the feed's rows, and per document whether it is JSON and its list was there.
 
-    A document without the list gives no rows instead of an error; ``status`` says so.
+    Items have the declared columns and ``rest``, the whole item as VARIANT, with every key it came with. A
+    document that is no JSON or lacks the list gives no rows instead of an error; ``status`` says so.
     """
-    envelopes = spark.read.schema(S.FEED_ENVELOPE).option("multiLine", True).json(path)
-    status = envelopes.select(
-        F.col("_metadata.file_name").alias("file_name"), F.col("feed").isNotNull().alias("has_feed"),
-        F.coalesce("Information", "Note").alias("message"),
-    )
-    return envelopes.select(F.inline("feed")), status
+    documents = variants.json_documents(spark, path, multi_line)
+    status = variants.status(documents, "feed", "Information", "Note").withColumnRenamed("has_list", "has_feed")
+    return variants.items(documents, "feed", S.FEED_ITEM).drop("file_name", "pos"), status
 
 
 def html_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Landed HTML files as (url, html); the file path stands for the address."""
-    return spark.read.text(folder, wholetext=True).select(
-        F.col("_metadata.file_path").alias("url"), F.col("value").alias("html")
-    )
+    """Landed HTML files as (url, encoding, html); the file path stands for the address.
+
+    Files are read as bytes and decoded by their byte-order mark or the encoding they declare.
+    """
+    files = spark.read.format("binaryFile").load(folder).select(F.col("_metadata.file_path").alias("url"), "content")
+    return decoded_pages(files)
+
+
+def decoded_pages(pages: DataFrame, content: str = "content") -> DataFrame:
+    """``encoding`` and ``html`` in place of a page's bytes; see ``functions.encoding`` for the rules."""
+    with lenient(pages.sparkSession):
+        named = pages.withColumn("encoding", encoding_of(F.col(content)))
+        return named.withColumn("html", decoded(F.col(content), F.col("encoding"))).drop(content)
 
 
 def text_documents(spark: SparkSession, path: str) -> DataFrame:
