@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from newspulse import schemas as S
 from newspulse.catalog.base import articles, documents, lit, pages, query, table
 from newspulse.functions import columns as C
-from newspulse.operators import dedup, filters, geometry, reports
+from newspulse.operators import dedup, filters, geometry, numbering, reports
 from newspulse.session import stage_path
 from newspulse.sources import readers, variants, writers
 from newspulse.streaming import daily
@@ -355,3 +355,25 @@ def topic_series(spark, sf):
 @query("SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 20")
 def head20(spark, sf):
     return reports.head(table(spark, sf, "documents"), ["doc_id", "lang", "n_chars"], ["doc_id"])
+
+
+POSITIONAL_SQL = """WITH c AS (SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS position, c_custkey FROM customer),
+    s AS (SELECT row_number() OVER (ORDER BY s_name) - 1 AS position, s_suppkey, s_name FROM supplier)
+    SELECT position, c_custkey, s_suppkey, s_name FROM c {} JOIN s USING (position)"""
+
+
+def _side_by_side(spark, sf, how):
+    customers = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    suppliers = table(spark, sf, "supplier").select("s_suppkey", "s_name")
+    order = [F.desc("c_acctbal"), F.asc("c_custkey")]
+    return numbering.positional_join(customers, suppliers, order, [F.asc("s_name")], how).drop("c_acctbal")
+
+
+@query(POSITIONAL_SQL.format(""))
+def positional_inner(spark, sf):
+    return _side_by_side(spark, sf, "inner")
+
+
+@query(POSITIONAL_SQL.format("FULL"))
+def positional_outer(spark, sf):
+    return _side_by_side(spark, sf, "outer")

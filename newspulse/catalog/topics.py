@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newspulse.catalog.base import articles, query, sql_values, table
-from newspulse.catalog.cleaning import TOKENS_SQL, topic_token_rows
+from newspulse.catalog.cleaning import DF_SQL, TOKENS_SQL, topic_token_rows
 from newspulse.functions.rows import exploded, small_table
 from newspulse.operators import coherence as K
+from newspulse.operators import dictionary as D
 from newspulse.operators import topics as M
-from newspulse.session import stage
+from newspulse.operators import variational as V
+from newspulse.session import stage, stage_path
 
 TOPICS, PASSES, SHARE, WINDOW = 5, 2, 0.25, 110
 SMOOTH = 0.5
@@ -182,3 +184,97 @@ def model_pick(spark, sf):
     """The best of a grid of scores; here mean event values stand for mean coherence."""
     scored = table(spark, sf, "events").select((F.col("event_id") % 7 + 2).alias("k"), F.floor("value").alias("v"))
     return M.pick_model(scored.groupBy("k").agg(F.avg("v").alias("score")))
+
+
+# ---- dictionary without a driver-side vocabulary ------------------------------------------------
+
+IDS_SQL = f"""ids AS (SELECT row_number() OVER (ORDER BY term) - 1 AS term_id, term, df
+    FROM ({DF_SQL}) WHERE df >= 3 AND df <= 0.5 * (SELECT count(*) FROM documents))"""
+
+
+def _dictionary(spark, sf):
+    docs = stage(topic_token_rows(spark, sf).select("doc_id", "tokens"), "tokens")
+    return docs, D.dictionary(docs, no_below=3, no_above=0.5)
+
+
+@query(f"WITH {IDS_SQL} SELECT * FROM ids")
+def dictionary_ids(spark, sf):
+    """Consecutive ids of the terms that the bounds keep."""
+    return _dictionary(spark, sf)[1]
+
+
+@query(f"""WITH {IDS_SQL}, tok AS (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents)
+    SELECT doc_id, term_id, count(*) AS n FROM tok JOIN ids USING (term) GROUP BY doc_id, term_id""")
+def dictionary_bow(spark, sf):
+    """Bag of words by term id."""
+    docs, terms = _dictionary(spark, sf)
+    return D.term_counts(docs, "doc_id", terms)
+
+
+# ---- topics that are known beforehand -----------------------------------------------------------
+
+PLANTED, PLANTED_WORDS, PLANTED_PASSES, GRID = 5, 20, 3, (3, 5, 8)
+# Customers are documents and buy the words of one topic, and now and then what customers of all topics buy.
+PLANTED_SQL = f"""planted AS (SELECT o_custkey AS doc_id, o_custkey % {PLANTED} AS topic,
+        CASE WHEN l_linenumber % 4 = 0 THEN 'all' || l_partkey % 50
+            ELSE 't' || o_custkey % {PLANTED} || 'w' || l_partkey % {PLANTED_WORDS} END AS word
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+def _planted(spark, sf):
+    """(training documents, all documents) with their tokens; every fourth customer is held out."""
+    sold = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    own = F.concat(F.lit("t"), F.col("o_custkey") % PLANTED, F.lit("w"), F.col("l_partkey") % PLANTED_WORDS)
+    word = F.when(F.col("l_linenumber") % 4 == 0, F.concat(F.lit("all"), F.col("l_partkey") % 50)).otherwise(own)
+    docs = sold.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.collect_list(word).alias("tokens"))
+    docs = stage(docs, "planted")
+    return docs.where("doc_id % 4 <> 2"), docs
+
+
+def _planted_batches(spark, sf):
+    train, docs = _planted(spark, sf)
+    terms = D.dictionary(train, no_below=1, no_above=1.0)
+    return V.deal(train, "doc_id", terms, 4), docs, terms
+
+
+def _planted_fit(spark, sf):
+    """(model, its topics with the planted topic that most of their training documents have, documents, terms)"""
+    batches, docs, terms = _planted_batches(spark, sf)
+    model = V.fit(batches, PLANTED, PLANTED_PASSES)
+    fitted = _strongest(model.document_topics(batches.vectors, "doc_id"))
+    votes = fitted.groupBy("found", (F.col("doc_id") % PLANTED).alias("topic")).count()
+    names = votes.groupBy("found").agg(F.max_by("topic", F.struct("count", "topic")).alias("topic"))
+    return model, names, docs, terms
+
+
+def _strongest(shares):
+    best = F.array_position("topic_share", F.array_max("topic_share")) - 1
+    return shares.select("doc_id", best.cast("int").alias("found"))
+
+
+@query(f"""WITH {PLANTED_SQL} SELECT doc_id, any_value(topic) AS topic FROM planted WHERE doc_id % 4 = 2
+    GROUP BY doc_id HAVING count(*) >= 10""")
+def lda_planted(spark, sf):
+    """Held-out documents find the topic they were made of, by a fit that never saw them."""
+    model, names, docs, terms = _planted_fit(spark, sf)
+    held = docs.where("doc_id % 4 = 2 AND size(tokens) >= 10")
+    vectors = D.sparse_vectors(D.term_counts(held, "doc_id", terms), "doc_id")
+    return _strongest(model.document_topics(vectors, "doc_id")).join(names, "found").select("doc_id", "topic")
+
+
+@query(f"WITH {PLANTED_SQL} SELECT DISTINCT topic, word AS term FROM planted WHERE doc_id % 4 <> 2 AND word LIKE 't%'")
+def lda_planted_words(spark, sf):
+    """The heaviest words of each fitted topic are those it was made of."""
+    model, names, _, terms = _planted_fit(spark, sf)
+    words = model.topic_words(terms, PLANTED_WORDS).withColumnRenamed("topic", "found")
+    return words.join(names, "found").select("topic", "term")
+
+
+@query(f"""WITH {PLANTED_SQL}, seen AS (SELECT count(DISTINCT doc_id) AS docs, count(*) AS words FROM planted WHERE doc_id % 4 <> 2)
+    SELECT k, pass, docs, words FROM seen, (VALUES {', '.join(f'({k})' for k in GRID)}) AS t(k), (SELECT unnest(range({PLANTED_PASSES})) AS pass)""")
+def lda_grid(spark, sf):
+    """Fits of several sizes side by side: the documents and words that each pass has seen, all of them once."""
+    batches, _, _ = _planted_batches(spark, sf)
+    models = V.fit_grid(batches, GRID, stage_path(spark, "grid"), passes=PLANTED_PASSES)
+    rows = [(k, h["pass"], h["docs"], int(h["words"])) for k, m in models.items() for h in m.history]
+    return spark.createDataFrame(rows, "k int, pass int, docs long, words long")
