@@ -171,7 +171,7 @@ def _entity_polarity(spark, sf, pairing):
     return out.select(*[F.col(c).cast("double").alias(c) if c in POLARITIES else c for c in out.columns])
 
 
-def _entity_polarity_sql(pairs):
+def entity_polarity_sql(pairs, entities="content"):
     from newspulse.catalog.base import LEX_SQL, sql_clean_tech
     stats = []
     for p, f in zip(POLARITIES, ("t", "d")):
@@ -179,7 +179,7 @@ def _entity_polarity_sql(pairs):
         stats.append(f"""{s} / {n} AS mean_{p}, CASE WHEN {n} > 1 THEN greatest(({q} - {s} * {s} / {n}) / ({n} - 1), 0) END AS var_{p},
             {n} AS count_{p}, arg_min({f}, doc_id) AS {p}""")
     return f"""WITH {ART_SQL}, {LEX_SQL}, {GAZ_SQL}, {FIELD_CTES},
-    clean AS (SELECT doc_id, {sql_clean_tech('content')} AS content FROM art),
+    clean AS (SELECT doc_id, {sql_clean_tech(entities)} AS content FROM art),
     {sql_entities(source='clean')},
     pol AS (SELECT doc_id, title_clean.pol AS t, description_clean.pol AS d
         FROM title_clean JOIN description_clean USING (doc_id)),
@@ -188,12 +188,12 @@ def _entity_polarity_sql(pairs):
     FROM pairs JOIN pol USING (doc_id) GROUP BY "Entity", "Entity_Type\""""
 
 
-@query(_entity_polarity_sql("""SELECT a.doc_id, a.text AS "Entity", b.label AS "Entity_Type"
+@query(entity_polarity_sql("""SELECT a.doc_id, a.text AS "Entity", b.label AS "Entity_Type"
     FROM men a JOIN men b ON a.doc_id = b.doc_id"""))
 def entity_polarity_cross(spark, sf):
     return _entity_polarity(spark, sf, "cross")
 
 
-@query(_entity_polarity_sql('SELECT doc_id, text AS "Entity", label AS "Entity_Type" FROM men'))
+@query(entity_polarity_sql('SELECT doc_id, text AS "Entity", label AS "Entity_Type" FROM men'))
 def entity_polarity_zip(spark, sf):
     return _entity_polarity(spark, sf, "zip")

@@ -9,6 +9,7 @@ from newspulse.catalog.base import (
 )
 from newspulse.functions import html as H
 from newspulse.operators import html as O
+from newspulse.resources.sites import Site
 from newspulse.sources import readers
 
 H1 = r"(?s)<h1(?:\s[^>]*)?>(.*?)</h1\s*>"
@@ -99,3 +100,25 @@ def zip_lists(spark, sf):
         ("title", H.all_texts(html, "a")),
         ("content", H.all_texts(html, "p")),
     )
+
+
+# Pages whose body nests in itself: the article as a box with boxes in it, and one more after it.
+NESTED_SQL = """replace(replace(html, '<article>', '<div class="wide page__body"><DIV><div id="x"></div>'),
+    '</article>', '</DIV><div class="more"> tail </div></div><div>after</div>')"""
+
+
+@query(f"""WITH w AS (SELECT page_id, {NESTED_SQL} AS html FROM pages),
+    p AS (SELECT page_id, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM (SELECT page_id, regexp_extract_all(html,
+        '(?s)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>|<[^>]*>|[^<]+') AS parts FROM w)),
+    f AS (SELECT page_id, min(i) AS first FROM p WHERE part = '<div class="wide page__body">' GROUP BY page_id),
+    d AS (SELECT page_id, i, part, sum(CASE WHEN regexp_matches(lower(part), '^<div[ >]') THEN 1 WHEN lower(part) = '</div>' THEN -1 ELSE 0 END)
+        OVER (PARTITION BY page_id ORDER BY i) AS depth FROM p JOIN f USING (page_id) WHERE i >= first),
+    e AS (SELECT page_id, min(i) AS last FROM d WHERE depth = 0 GROUP BY page_id)
+    SELECT page_id, {sql_squeeze(sql_markup_text(f"regexp_extract(any_value(pages.html), {lit(H1)}, 1)"))} AS title,
+        {sql_squeeze(sql_decode("string_agg(part, '' ORDER BY i) FILTER (part NOT LIKE '<%')"))} AS content
+    FROM d JOIN e USING (page_id) JOIN pages USING (page_id) WHERE i < last GROUP BY page_id""")
+def html_nested(spark, sf):
+    """Headline and body of pages whose body region holds more elements of its own kind."""
+    site = Site("all", "div", "page__body", "h1", None, "li", None, "href", "")
+    rows = pages(spark, sf).select("page_id", F.lit("all").alias("medie"), F.expr(NESTED_SQL).alias("html"))
+    return O.nested_regions(rows, (site,)).select("page_id", "title", "content")

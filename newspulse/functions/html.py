@@ -1,6 +1,6 @@
-"""HTML extraction as column expressions, for regions that do not nest in themselves.
+"""HTML extraction as column expressions, most of them for regions that do not nest in themselves.
 
-Nested regions (a ``div`` inside the body ``div``) go through ``operators.html.nested_regions``.
+Regions that do (a ``div`` inside the body ``div``) are found by ``nested_element``.
 """
 
 from __future__ import annotations
@@ -106,3 +106,60 @@ def attribute(fragment: Column, tag: str, attr: str | Column) -> Column:
     pattern = F.concat(F.lit(r"\s(?i:"), name, F.lit(r""")\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""))
     found = [F.get(F.regexp_extract_all(opening, pattern, F.lit(i)), F.lit(0)) for i in (1, 2, 3)]
     return decode_entities(F.concat(*found))
+
+
+VOID_TAGS = "area base br col embed hr img input link meta param source track wbr".split()
+# A page as pieces that make up all of it: comments, scripts, styles, tags and the text between them.
+PIECES = rf"(?si)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|{TAG}|[^<]++|<"
+NAME = r"([a-zA-Z][^\s/>]*)"
+OPEN_TAGS = "struct<stack:array<string>,first:int,depth:int,last:int>"
+
+
+def _tags(pieces: Column, opening: str) -> Column:
+    """The tags among the pieces: place, name opened, name closed, whether closed at once, whether it is the one looked for."""
+    def described(p: Column, i: Column) -> Column:
+        name = F.lower(F.regexp_extract(p, f"^<{NAME}", 1))
+        counts = ~name.isin("script", "style", *VOID_TAGS)
+        return F.when(p.startswith("<"), F.struct(
+            i.alias("at"), F.when(counts, name).otherwise("").alias("opens"), F.lower(F.regexp_extract(p, f"^</{NAME}", 1)).alias("closes"),
+            p.endswith("/>").alias("empty"), (counts & p.rlike(opening)).alias("wanted")))
+
+    return F.filter(F.transform(pieces, described), lambda t: (t["opens"] != "") | (t["closes"] != ""))
+
+
+def nested_element(html: Column, tag: str, cls: str | None = None) -> Column:
+    """Markup of the first such element up to the tag that ends it, whatever nests inside; null without one.
+
+    Open tags are kept on a stack, as parsers do: an end tag closes all that was opened since its start tag, an
+    end tag without one is ignored, and an element that nothing closes runs to the end of the page.
+    """
+    opening = f"(?s)^(?:{element_pattern(tag, cls)})$"
+    start = F.struct(
+        F.array().cast("array<string>").alias("stack"), F.lit(-1).alias("first"), F.lit(0).alias("depth"), F.lit(-1).alias("last"))
+
+    def state(stack: Column, first: Column, depth: Column, last: Column) -> Column:
+        return F.struct(stack.alias("stack"), first.alias("first"), depth.alias("depth"), last.alias("last")).cast(OPEN_TAGS)
+
+    def step(a: Column, t: Column) -> Column:
+        begins = t["wanted"] & (a["first"] < 0)
+        pushed = F.when(t["empty"], a["stack"]).otherwise(F.concat(a["stack"], F.array(t["opens"])))
+        opened = state(
+            pushed, F.when(begins, t["at"]).otherwise(a["first"]), F.when(begins, F.size(pushed)).otherwise(a["depth"]),
+            F.when(begins & t["empty"], t["at"]).otherwise(a["last"]))
+        left = F.size(a["stack"]) - F.array_position(F.reverse(a["stack"]), t["closes"]).cast("int")
+        ends = (a["first"] >= 0) & (a["last"] < 0) & (left < a["depth"])
+        closed = state(F.slice(a["stack"], F.lit(1), left), a["first"], a["depth"], F.when(ends, t["at"]).otherwise(a["last"]))
+        return F.when(t["opens"] != "", opened).when(F.array_contains(a["stack"], t["closes"]), closed).otherwise(a)
+
+    def cut(pieces: Column) -> Column:
+        def found(a: Column) -> Column:
+            end = F.when(a["last"] < 0, F.size(pieces)).otherwise(a["last"] + 1)
+            return F.when(a["first"] >= 0, F.array_join(F.slice(pieces, a["first"] + 1, end - a["first"]), ""))
+
+        return F.aggregate(_tags(pieces, opening), start.cast(OPEN_TAGS), step, found)
+
+    return let(F.regexp_extract_all(html, F.lit(PIECES), F.lit(0)), cut)
+
+
+def nested_text(html: Column, tag: str, cls: str | None = None) -> Column:
+    return markup_text(nested_element(html, tag, cls))

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,72 +95,17 @@ def listed_articles(pages: DataFrame, site: Site) -> DataFrame:
     return zipped.drop("pos")
 
 
-VOID_TAGS = frozenset(
-    "area base br col embed hr img input link meta param source track wbr".split()
-)
-
-
-class _RegionReader(HTMLParser):
-    """Collects the text of the first element matching each ``(tag, class)`` selector."""
-
-    def __init__(self, selectors: list[tuple[str, str | None]]):
-        super().__init__(convert_charrefs=True)
-        self.selectors = selectors
-        self.found: list[list[str] | None] = [None] * len(selectors)
-        self.depth: list[int | None] = [None] * len(selectors)
-        self.stack: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in VOID_TAGS:
-            return
-        self.stack.append(tag)
-        cls = dict(attrs).get("class") or ""
-        for i, (want_tag, want_cls) in enumerate(self.selectors):
-            hit = tag == want_tag and (want_cls is None or want_cls == cls or want_cls in cls.split())
-            if hit and self.found[i] is None:
-                self.found[i], self.depth[i] = [], len(self.stack)
-
-    def handle_endtag(self, tag):
-        if tag not in self.stack:
-            return
-        while self.stack.pop() != tag:
-            pass
-        for i, depth in enumerate(self.depth):
-            if depth is not None and len(self.stack) < depth:
-                self.depth[i] = None
-
-    def handle_data(self, data):
-        if self.stack and self.stack[-1] in ("script", "style"):
-            return
-        for i, depth in enumerate(self.depth):
-            if depth is not None:
-                self.found[i].append(data)
-
-
-def _read_regions(html: str | None, selectors: list[tuple[str, str | None]]) -> list[str | None]:
-    reader = _RegionReader(selectors)
-    reader.feed(html or "")
-    reader.close()
-    return [None if pieces is None else "".join(pieces) for pieces in reader.found]
-
-
 def nested_regions(pages: DataFrame, sites: tuple[Site, ...] = SITES) -> DataFrame:
     """``title`` and ``content`` of article pages whose body region contains nested elements.
 
-    Only the outlet label and the markup travel to Python, in Arrow batches; the other columns stay
-    in the JVM. Pages of an unknown outlet, and pages lacking body or headline, drop out.
+    Pages of an unknown outlet, and pages lacking body or headline, drop out.
     """
-    wanted = {s.medie: [(s.title_tag, s.title_class), (s.body_tag, s.body_class)] for s in sites}
-
-    @F.pandas_udf("struct<title string, content string>")
-    def regions(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for medie, html in batches:
-            rows = [_read_regions(h, wanted[m]) if m in wanted else [None, None] for m, h in zip(medie, html)]
-            yield pd.DataFrame(rows, columns=["title", "content"])
-
     keep = [c for c in pages.columns if c != "html"]
-    return (
-        pages.select(*keep, regions("medie", "html").alias("_r"))
-        .select(*keep, X.squeeze("_r.title").alias("title"), X.squeeze("_r.content").alias("content"))
-        .where(F.col("title").isNotNull() & F.col("content").isNotNull())
-    )
+    title = content = F.lit(None).cast("string")
+    for s in sites:
+        here = F.col("medie") == s.medie
+        title = F.when(here, H.nested_text(F.col("html"), s.title_tag, s.title_class)).otherwise(title)
+        content = F.when(here, H.nested_text(F.col("html"), s.body_tag, s.body_class)).otherwise(content)
+    rows = pages.select(*keep, title.alias("_title"), content.alias("_content"))
+    rows = rows.where(F.col("_title").isNotNull() & F.col("_content").isNotNull())
+    return rows.select(*keep, X.squeeze("_title").alias("title"), X.squeeze("_content").alias("content"))

@@ -57,14 +57,18 @@ def log_share(weights: np.ndarray) -> np.ndarray:
 
 
 def better_prior(prior: np.ndarray, mean_log: np.ndarray, n: float, step: float) -> np.ndarray:
-    """A Newton step of a Dirichlet prior towards ``n`` observed mean logarithms; unchanged where it would leave
-    the positive numbers."""
+    """A Newton step of a Dirichlet prior towards ``n`` observed mean logarithms, halved until it stays positive."""
     gradient = n * (digamma(prior.sum()) - digamma(prior) + mean_log)
     diagonal = -n * trigamma(prior)
     shared = n * trigamma(prior.sum())
     b = (gradient / diagonal).sum() / (1 / shared + (1 / diagonal).sum())
-    moved = prior - step * (gradient - b) / diagonal
-    return moved if np.isfinite(moved).all() and (moved > 1e-6).all() else prior
+    towards = (gradient - b) / diagonal
+    for _ in range(20):
+        moved = prior - step * towards
+        if np.isfinite(moved).all() and (moved > 1e-6).all():
+            return moved
+        step /= 2
+    return prior
 
 
 @dataclass
@@ -229,7 +233,7 @@ def fit(
     After every batch the topics move towards its sums, scaled to the corpus, by (``offset`` + steps)^-``decay``;
     with one batch and ``decay`` 0 this is plain batch inference. ``alpha`` (1 / k by default) is learned as an
     asymmetric prior, ``eta`` as a symmetric one if asked for. ``history`` has one entry per pass: the variational
-    bound, words, perplexity, documents and how many of them converged within ``iterations``.
+    bound (of the topics that the pass began with, and of its documents as they were read), words, perplexity, documents and how many of them converged within ``iterations``.
     """
     if not batches.n_docs:
         raise ValueError("no document holds a term")
@@ -237,6 +241,9 @@ def fit(
     spark, step = batches.vectors.sparkSession, 0
     for number in range(passes):
         seen = {"bound": 0.0, "words": 0.0, "docs": 0, "converged": 0}
+        log = log_share(model.weights)
+        topics = float(((model.eta - model.weights) * log).sum() + log_gamma(model.weights).sum() - log_gamma(model.weights.sum(1)).sum())
+        topics += k * (math.lgamma(model.eta * batches.n_terms) - batches.n_terms * math.lgamma(model.eta))
         for batch in range(batches.n_batches):
             part = batches.vectors.where(F.col("batch") == batch).select(batches.key, "ids", "counts")
             shared = _shared(spark, model)
@@ -264,9 +271,6 @@ def fit(
             for name in seen:
                 seen[name] += total[name]
             step += 1
-        log = log_share(model.weights)
-        topics = float(((model.eta - model.weights) * log).sum() + log_gamma(model.weights).sum() - log_gamma(model.weights.sum(1)).sum())
-        topics += k * (math.lgamma(model.eta * batches.n_terms) - batches.n_terms * math.lgamma(model.eta))
         bound = seen["bound"] + topics
         model.history.append({**seen, "pass": number, "bound": bound, "perplexity": math.exp(-seen["bound"] / max(seen["words"], 1))})
     return model
