@@ -126,12 +126,16 @@ def likeness(a: np.ndarray, b: np.ndarray, least: int = LEAST) -> float:
     return float(np.isin(both, np.intersect1d(a, b)).mean()) if len(both) else 1.0
 
 
+def to_bytes(names: np.ndarray) -> bytes:
+    return names.astype(">u4").tobytes()
+
+
 def to_text(names: np.ndarray) -> str:
-    return names.astype(">u4").tobytes().hex()
+    return to_bytes(names).hex()
 
 
-def from_text(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(fingerprint), ">u4").astype(np.uint32)
+def from_bytes(fingerprint: bytes) -> np.ndarray:
+    return np.frombuffer(fingerprint, ">u4").astype(np.uint32)
 
 
 def fingerprints(texts: list[str]) -> list[np.ndarray]:
@@ -154,11 +158,11 @@ def edited(text: str, following: str) -> str:
 
 
 ROWS = (
-    "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    "key long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
     "near_edited double, near_next double, part int, head string, tail string"
 )
 NAMES = [c.split()[0] for c in ROWS.split(", ")]
-KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
+KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
 
 
 def _record(rows: list[tuple]) -> pa.RecordBatch:
@@ -170,7 +174,7 @@ def _compared(keys: list, texts: list[str], following: list[str], own: list, aft
     changed = [edited(t, f) for t, f in zip(texts, following)]
     prints = fingerprints(changed)
     return [
-        (k, len(t), hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest(), to_text(o), to_text(p),
+        (k, len(t), hashlib.sha256(c.encode("utf-8", "surrogatepass")).digest(), to_bytes(o), to_bytes(p),
          likeness(o, p), likeness(o, a), part, None, None)
         for k, t, c, o, p, a in zip(keys, texts, changed, own, prints, after)
     ]
@@ -189,20 +193,20 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys, texts, own = [waiting[0], *keys], [waiting[1], *texts], [waiting[2], *own]
             rows = _compared(keys[:-1], texts[:-1], texts[1:], own[:-1], own[1:], part)
             if fresh:
-                yield _record([(None, None, None, to_text(own[0]), None, None, None, part, texts[0], None)])
+                yield _record([(None, None, None, to_bytes(own[0]), None, None, None, part, texts[0], None)])
                 fresh = False
             if rows:
                 yield _record(rows)
             waiting = (keys[-1], texts[-1], own[-1])
     if waiting is not None:
-        yield _record([(waiting[0], None, None, to_text(waiting[2]), None, None, None, part, None, waiting[1])])
+        yield _record([(waiting[0], None, None, to_bytes(waiting[2]), None, None, None, part, None, waiting[1])])
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             key, part, fingerprint, tail, head, other = (c[i].as_py() for c in batch.columns)
-            yield _record(_compared([key], [tail], [head], [from_text(fingerprint)], [from_text(other)], part))
+            yield _record(_compared([key], [tail], [head], [from_bytes(fingerprint)], [from_bytes(other)], part))
 
 
 def fingerprint_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -230,5 +234,7 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", key: str = "doc_i
     parts = parts.select("part", F.coalesce("next", first).alias("next"))
     pairs = tails.join(parts, "part").join(heads.withColumnRenamed("part", "next"), "next")
     joined = pairs.select("key", "part", "fingerprint", "tail", "head", "other").mapInArrow(_finish, ROWS)
+    # Stored as bytes, half the size of the text.
+    written = lambda c: F.lower(F.hex(c)).alias(c)
     return swept.where("head is null and tail is null").unionByName(joined).select(
-        F.col("key").alias(key), *NAMES[1:7])
+        F.col("key").alias(key), "n_chars", *map(written, NAMES[2:5]), *NAMES[5:7])
