@@ -315,5 +315,6 @@ def main_text(pages: DataFrame, markup: str = "html", url: str = "url", key: str
         return pd.DataFrame({"key": batch["key"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     kind = dict(rows.dtypes)["key"]
-    out = dealt.groupBy("host", "part").applyInPandas(extract, f"key {kind}, url string, text string, n_chars long")
-    return out.select(F.col("key").alias(key), F.col("url").alias(url), "text", "n_chars")
+    dealt = dealt.withColumn("key", F.col("key").cast("string"))  # numbers with nulls among them would become doubles
+    out = dealt.groupBy("host", "part").applyInPandas(extract, "key string, url string, text string, n_chars long")
+    return out.select(F.col("key").cast(kind).alias(key), F.col("url").alias(url), "text", "n_chars")
