@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from newspulse.llm.common import SLICE, ref, small_batches
-from newspulse.llm.token_ids import Encoder
+from newspulse.llm.token_ids import encoder_of
 from newspulse.session import stage
 
 SIZE = 2048
@@ -52,7 +52,7 @@ def pieces(
 
     @F.arrow_udf(PIECES)
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder, end = Encoder(tokenizer), end_id.to_bytes(4, "little")
+        encoder, end = encoder_of(tokenizer), end_id.to_bytes(4, "little")
         for batch in batches:
             for at in range(0, max(len(batch), 1), SLICE):
                 texts = [t.as_py() or "" for t in batch.slice(at, SLICE)]

@@ -31,7 +31,7 @@ SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PLAI
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes; strings of special tokens are ordinary text.
+    """Ids of texts as little-endian unsigned 32-bit bytes; strings of special tokens get their ids, as in the library.
 
     Up to ``most`` pieces are remembered, and as many older ones that are taken over when they occur again.
     """
@@ -39,7 +39,6 @@ class Encoder:
     def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs side by side
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
         # Words alone count: case is folded, and the pattern that makes words keeps no white space.
         self.folds = "Lowercase" in json.dumps(spec["normalizer"]) and "Removed" in json.dumps(spec["pre_tokenizer"])
@@ -87,3 +86,13 @@ class Encoder:
                 self.known[piece] = array("I", [t.id for t in ask(signs)]).tobytes()
         for piece, e in zip(wanted, self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False)):
             self.known[piece] = array("I", e.ids).tobytes()
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this Python worker: the file is read and pieces are learned once for all its tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]

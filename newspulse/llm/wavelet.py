@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newspulse.llm.common import SLICE, ref, small_batches
-from newspulse.llm.token_ids import Encoder
+from newspulse.llm.token_ids import encoder_of
 
 MAGIC = b"WVM1"
 HEAD = struct.Struct("<4sQIIB")
@@ -48,9 +48,9 @@ class WaveletMatrix:
             ones[:len(packed)] = np.bitwise_count(packed)
             ones = ones.reshape(-1, SUPER // 8).sum(1, dtype=np.int64)
             ranks.append(np.concatenate(([0], np.cumsum(ones))).astype(np.uint32))
-            low = now[~bit]
+            low = np.compress(~bit, now)
             zeros.append(len(low))
-            now = np.concatenate((low, now[bit]))
+            now = np.concatenate((low, np.compress(bit, now)))
         return cls(len(codes), planes, zeros, ranks)
 
     def decode(self) -> np.ndarray:
@@ -60,8 +60,8 @@ class WaveletMatrix:
         for p, (plane, z) in enumerate(zip(reversed(self.planes), reversed(self.zeros))):
             bit = np.unpackbits(plane, count=self.n).view(bool)
             above = np.empty_like(now)
-            above[~bit] = now[:z]
-            above[bit] = now[z:] | kind(1 << p)
+            above[np.flatnonzero(~bit)] = now[:z]
+            above[np.flatnonzero(bit)] = now[z:] | kind(1 << p)
             now = above
         return now
 
@@ -202,7 +202,7 @@ def write_shards(
     that every executor can read. No documents give no file with rows.
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, seq = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         end = end_id.to_bytes(4, "little")
         keys, lengths, parts, n = [], [], [], 0
 

@@ -340,7 +340,6 @@ def test_mix_through_several_levels_of_the_tree(spark):
 @functools.cache
 def tokenizer(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return t
 
 
@@ -589,3 +588,18 @@ def test_staged_tables_go_with_their_block(spark, documents):
         path = stage(documents.select("doc_id"), "gone").inputFiles()[0]
     with pytest.raises(Exception):
         spark.read.parquet(path).count()
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_special_tokens_get_the_ids_of_the_library(path):
+    plain, encoder = Tokenizer.from_file(path), token_ids.encoder_of(path)
+    assert token_ids.encoder_of(path) is encoder
+    for text in ("hello <|endoftext|> world", "<|endoftext|>", "a<|startoftext|>b, <|endoftext|><|endoftext|>.", "no |> such <| token"):
+        got = np.frombuffer(encoder.encode(text), "<u4").tolist()
+        assert got == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_page_ids_survive_nulls_and_size(spark):
+    rows = [(9007199254740993, "http://a/1", "<article><p>one</p></article>"), (None, "http://a/2", "<article><p>two</p></article>"), (3, None, None)]
+    got = main_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((str(r.page_id), r.url, r.text) for r in got) == [("3", None, ""), ("9007199254740993", "http://a/1", "one"), ("None", "http://a/2", "two")]
