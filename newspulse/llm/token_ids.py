@@ -29,6 +29,8 @@ RARE_FOLDED = re.compile("[_\0\x1c-\x1f\u0130\u0250-\U0010ffff]")
 PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PLAIN)}
 
+SPACE = chr(SIGNS[32])
+
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes; strings of special tokens get their ids, as in the library.
@@ -36,7 +38,7 @@ class Encoder:
     Up to ``most`` pieces are remembered, and as many older ones that are taken over when they occur again.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs side by side
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
@@ -82,7 +84,8 @@ class Encoder:
             elif not word.isalpha() or self.folds and (word != word.lower() or RARE_FOLDED.search(word)):
                 wanted.append(piece)
             else:
-                signs = (word if self.folds else piece).encode().decode("latin-1").translate(SIGNS)
+                signs = word if self.folds else piece
+                signs = signs.replace(" ", SPACE) if signs.isascii() else signs.encode().decode("latin-1").translate(SIGNS)
                 self.known[piece] = array("I", [t.id for t in ask(signs)]).tobytes()
         for piece, e in zip(wanted, self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False)):
             self.known[piece] = array("I", e.ids).tobytes()
