@@ -1,27 +1,38 @@
 """Main text of HTML pages: markup says what a block is for, and a suffix array of the host what is boilerplate.
 
 Each page becomes blocks of text, those of menus, headers, footers, forms and the like left out, those inside the
-article marked. The word streams of all pages of a host are concatenated and sorted by their suffixes, to the
-depth of the shortest passage that counts as long. Passages that many pages with different articles share are
-boilerplate: a block that they cover from end to end is removed, all other blocks are kept whole.
+article marked. The word streams of different pages of a host are concatenated and sorted by their suffixes, to the
+depth of the shortest passage that counts as long. The sorting is done in groups of pages, the pages of a passage
+are summed over the groups, so one verdict holds on all pages of the host. Passages that many pages share are
+boilerplate: the words that they cover are removed wherever they stand, all others are kept.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from newspulse.llm.common import ref, small_batches
+from newspulse.llm.common import ref, small_batches, text_udf
+from newspulse.session import numbered_rows, stage
 
 DEPTH = 8  # words of a passage that counts as long
 GROUP = 256  # pages of one host sorted together
-SMALL_HOSTS = 50_000
+NAME = 32  # hexadecimal digits of the name of a passage
+
+READ = T.StructType([
+    T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("main", T.BooleanType()), T.StructField("page", T.StringType()),
+])
+TEXT = T.StructType([T.StructField("text", T.StringType())])
+PASSAGES = "host string, passage string, pages long"
 
 # Elements whose content is no text of the page, and elements that are not its main text.
 RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "textarea", "title", "xmp")
@@ -206,115 +217,157 @@ def read_page(markup: str | None) -> Page:
     return page
 
 
-def shared_passages(streams: list[list[np.ndarray]], depth: int = DEPTH) -> list[list[np.ndarray]]:
-    """For each word of each block of each page, on how many pages the most widespread passage over it stands.
+def shared_passages(streams: list[list[np.ndarray]], depth: int = DEPTH, least: int = 2) -> list[tuple[int, int, int, int, int]]:
+    """Passages of ``depth`` words that stand on at least ``least`` pages: page, block, first word and number of words
+    of one occurrence, and the number of pages.
 
     A suffix array of the concatenated streams, sorted by doubling to ``depth`` words: suffixes that agree so far
-    are neighbours. A block shorter than that counts as a passage of its own, between its ends. Word names start
-    at 1; 0 stands between blocks.
+    are neighbours. A block shorter than that is a passage of its own, between its ends. Word names start at 1; 0
+    stands between blocks.
     """
-    sizes = [[len(b) for b in blocks] for blocks in streams]
-    flat, page, pad = [], [], np.zeros(1, np.int64)
+    flat, page, block, pad = [], [], [], np.zeros(1, np.int64)
     for i, blocks in enumerate(streams):
-        for b in blocks:
+        for j, b in enumerate(blocks):
             flat += [pad, b]
             page.append(np.full(len(b) + 1, i, np.int64))
+            block.append(j)
     if not flat:
-        return [[np.zeros(n, np.int64) for n in s] for s in sizes]
+        return []
     words = np.concatenate([*flat, np.zeros(depth, np.int64)])
     owner = np.concatenate([*page, np.full(depth, -1, np.int64)])
     # A block end stops a passage: names behind it would tie short blocks to what follows them.
     ends = np.flatnonzero(words == 0)
-    until = ends[np.searchsorted(ends, np.arange(len(words)), "right").clip(max=len(ends) - 1)]
+    places = np.arange(len(words))
+    until = ends[np.searchsorted(ends, places, "right").clip(max=len(ends) - 1)]
     rank, span = words, 1
     while span < depth:
-        ahead = np.minimum(np.arange(len(words)) + span, len(words) - 1)
-        follow = np.where(np.arange(len(words)) + span <= until, rank[ahead], 0)
+        ahead = np.minimum(places + span, len(words) - 1)
+        follow = np.where(places + span <= until, rank[ahead], 0)
         pair = rank * (int(rank.max()) + 2 + len(words)) + follow
         rank = np.unique(pair, return_inverse=True)[1].astype(np.int64) + 1
         rank[words == 0] = 0
         span *= 2
     starts_block = np.zeros(len(words), bool)
     starts_block[np.minimum(ends + 1, len(words) - 1)] = True
-    whole = ((np.arange(len(words)) + depth <= until) | starts_block) & (words > 0)
+    whole = np.flatnonzero(((places + depth <= until) | starts_block) & (words > 0))
     # Pages of each passage, counted once.
     seen = np.unique(np.stack([rank[whole], owner[whole]]), axis=1)
     pages = np.bincount(seen[0], minlength=int(rank.max()) + 1)
-    count = np.where(whole, pages[rank], 0)
-    reach = count.copy()
-    for j in range(1, depth):
-        moved = np.zeros_like(count)
-        moved[j:] = count[:-j]
-        same = np.zeros(len(words), bool)
-        same[j:] = until[j:] == until[:-j]
-        reach = np.maximum(reach, np.where(same, moved, 0))
-    out, at = [], 0
-    for s in sizes:
-        mine = []
-        for n in s:
-            mine.append(reach[at + 1:at + 1 + n])
-            at += n + 1
-        out.append(mine)
-    return out
-
-
-def clean_group(pages: list[Page]) -> list[str]:
-    """Main texts of pages of one host.
-
-    With an article or main element, only what is inside counts, and a block of ``DEPTH`` words or more there goes
-    if at least four and more than half of the pages share all of it; else a block of any length goes if at least
-    three and a fifth of the pages do. Pages
-    with the same blocks are one page here, so an article that stands under several addresses is not boilerplate.
-    """
-    kept = [[b.text for b in p.blocks if b.main or not p.has_main] for p in pages]
-    distinct: dict[tuple, int] = {}
-    for blocks in kept:
-        distinct.setdefault(tuple(blocks), len(distinct))
+    which, first = np.unique(rank[whole], return_index=True)
+    at = whole[first[pages[which] >= least]]
+    number = np.searchsorted(ends, at) - 1
+    return [
+        (int(owner[x]), block[b], int(x - ends[b] - 1), int(min(depth, until[x] - x)), int(pages[rank[x]]))
+        for x, b in zip(at, number)
+    ]
+
+
+def passage_name(text: str) -> str:
+    return xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def read_blocks(markup: str | None) -> tuple[list[str], bool, str]:
+    """Texts of the blocks that count, all inside the article if there is one; whether there is; a name of the texts."""
+    page = read_page(markup)
+    blocks = [b.text for b in page.blocks if b.main or not page.has_main]
+    return blocks, page.has_main, passage_name("\n".join(blocks))
+
+
+def passages_of(pages: list[list[str]], depth: int = DEPTH) -> list[tuple[str, int]]:
+    """Names of the passages that several of the pages share, with the number of these pages."""
     names: dict[str, int] = {}
-    first: dict[int, int] = {}
-    streams = []
-    for i, blocks in enumerate(kept):
-        which = distinct[tuple(blocks)]
-        if which not in first:
-            first[which] = i
-            streams.append([np.array([names.setdefault(w, len(names) + 1) for w in b.split()], np.int64) for b in blocks])
-    n = len(streams)
-    shared = shared_passages(streams)
-    gone = [set() for _ in pages]
-    limits: dict[str, int] = {}
-    short: set[str] = set()
-    for row, i in enumerate(first.values()):
-        for text, counts in zip(kept[i], shared[row]):
-            limits[text] = int(counts.min()) if len(counts) else 0
-            if len(counts) < DEPTH:
-                short.add(text)
-    for i, p in enumerate(pages):
-        least = max(4, n // 2 + 1) if p.has_main else max(3, -(-n // 5))
-        gone[i] = {t for t in kept[i] if limits.get(t, 0) >= least and not (p.has_main and t in short)}
-    return ["\n".join(t for t in blocks if t not in g) for blocks, g in zip(kept, gone)]
+    words = [[b.split(" ") for b in blocks] for blocks in pages]
+    streams = [[np.array([names.setdefault(w, len(names) + 1) for w in b], np.int64) for b in blocks] for blocks in words]
+    return [
+        (passage_name(" ".join(words[p][b][at:at + n])), pages_of)
+        for p, b, at, n, pages_of in shared_passages(streams, depth)
+    ]
+
+
+@functools.lru_cache(maxsize=8)
+def known_names(joined: str) -> frozenset[str]:
+    return frozenset(joined[at:at + NAME] for at in range(0, len(joined), NAME))
+
+
+def strip_passages(blocks: list[str], main: bool, known: frozenset[str], depth: int = DEPTH) -> list[str]:
+    """The blocks without the words that known passages cover; blocks without any other words go.
+
+    Of an article, blocks shorter than a passage stay: a heading or a short line may well be the same on many pages.
+    An article of whose words more than half are covered is a copy of others and not their surroundings: it stays whole.
+    """
+    out, all_words, all_gone = [], 0, 0
+    for block in blocks:
+        words = block.split(" ")
+        gone = np.zeros(len(words), bool)
+        for at in range(0 if main and len(words) < depth else max(len(words) - depth, 0) + 1):
+            if passage_name(" ".join(words[at:at + depth])) in known:
+                gone[at:at + depth] = True
+        all_words, all_gone = all_words + len(words), all_gone + int(gone.sum())
+        if not gone.any():
+            out.append(block)
+        elif not gone.all():
+            out.append(" ".join(w for w, g in zip(words, gone) if not g))
+    return blocks if main and 2 * all_gone > all_words else out
+
+
+def host_passages(read: DataFrame, group: int = GROUP) -> DataFrame:
+    """Per host with boilerplate: ``most``, the joined names of the passages that go from articles, and ``some``, of
+    those that go from pages without an article.
+
+    ``read`` has host, row and b (``READ``). Counted are the different pages of a host, by their blocks: in articles
+    a passage goes if at least four and more than half of them share it, elsewhere if at least three and a fifth
+    do; so a host has at most ten times as many such passages as an average page has words. Different pages are
+    dealt into groups at random by their names; a passage that only one page of a group holds is not reported by
+    that group, so all that can be missed is a handful of pages of a passage near its limit.
+    """
+    texts = read.where(F.size("b.blocks") > 0).withColumn("page", F.col("b.page"))
+    same = stage(texts.groupBy("host", "page").agg(F.count("*").alias("copies"), F.min("row").alias("first")), "pages")
+    sizes = stage(same.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= 3), "hosts")
+    again = stage(same.where(F.col("copies") > 1).select("host", "page", "first"), "copies")
+    once = texts.join(again, ["host", "page"], "left").where(F.col("first").isNull() | (F.col("first") == F.col("row")))
+    dealt = once.join(sizes, "host").select(
+        "host", F.pmod(F.xxhash64("page"), F.ceil(F.col("n") / group)).alias("part"), F.col("b.blocks").alias("blocks"))
+
+    def count(pages: pa.Table) -> pa.Table:
+        found = passages_of(pages.column("blocks").to_pylist())
+        return pa.table({
+            "host": pa.array([pages.column("host")[0].as_py()] * len(found), pa.string()),
+            "passage": pa.array([name for name, _ in found], pa.string()), "pages": pa.array([n for _, n in found], pa.int64()),
+        })
+
+    found = dealt.groupBy("host", "part").applyInArrow(count, PASSAGES)
+    totals = found.groupBy("host", "passage").agg(F.sum("pages").alias("pages")).join(sizes, "host")
+    in_articles = F.col("pages") >= F.greatest(F.lit(4), F.floor(F.col("n") / 2) + 1)
+    elsewhere = F.col("pages") >= F.greatest(F.lit(3), F.ceil(F.col("n") / 5))
+    return stage(totals.where(elsewhere).groupBy("host").agg(
+        F.array_join(F.collect_list(F.when(in_articles, F.col("passage"))), "").alias("most"),
+        F.array_join(F.collect_list("passage"), "").alias("some")), "passages")
 
 
 def main_text(pages: DataFrame, markup: str = "html", url: str = "url", key: str = "page_id", group: int = GROUP) -> DataFrame:
     """Key, url, main text and its number of characters of each row of ``pages``.
 
-    References are decoded, white space inside a block is one space, blocks are joined by a line end; nothing is
-    cut. Null markup gives an empty text. Hosts come from the url (none: all such pages are one host) and are cut
-    by a hash of the row into groups of about ``group`` pages, so no host is gathered whole. Repeated rows stay
-    repeated; other columns are not read; an empty table gives an empty result.
+    References are decoded, white space inside a block is one space, blocks are joined by a line end; beside
+    boilerplate (``host_passages``) nothing is cut. Null markup gives an empty text. Hosts come from the url (none:
+    all such pages are one host). Keys never leave Spark, so any type and null will do. Repeated rows stay repeated
+    and count as one page of their host; other columns are not read; an empty table gives an empty result. Pages
+    are read once and their blocks staged; no host is gathered whole, and a page's verdict does not depend on the
+    group it falls in.
     """
     small_batches()
     host = F.lower(F.coalesce(F.regexp_extract(ref(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(ref(key).alias("key"), ref(url).cast("string").alias("url"), ref(markup).cast("string").alias("html"), host.alias("host"))
-    many = rows.groupBy("host").agg(F.ceil(F.count("*") / group).alias("n"))
-    if many.count() <= SMALL_HOSTS:
-        many = F.broadcast(many)
-    dealt = rows.join(many, "host").withColumn("part", F.pmod(F.xxhash64("key", "url"), F.col("n")))
-
-    def extract(batch: pd.DataFrame) -> pd.DataFrame:
-        texts = clean_group([read_page(m) for m in batch["html"]])
-        return pd.DataFrame({"key": batch["key"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
-
-    kind = dict(rows.dtypes)["key"]
-    dealt = dealt.withColumn("key", F.col("key").cast("string"))  # numbers with nulls among them would become doubles
-    out = dealt.groupBy("host", "part").applyInPandas(extract, "key string, url string, text string, n_chars long")
-    return out.select(F.col("key").cast(kind).alias(key), F.col("url").alias(url), "text", "n_chars")
+    read = numbered_rows(rows.select("key", "url", "host", text_udf(lambda: read_blocks, READ)(F.col("html")).alias("b")), "row")
+
+    def strip(page: dict | None) -> tuple[str | None]:
+        if not page or not page["known"]:
+            return (None,)
+        return ("\n".join(strip_passages(page["blocks"], page["main"], known_names(page["known"]))),)
+
+    joined = read.join(host_passages(read, group), "host", "left")
+    known = F.when(F.col("b.main"), F.col("most")).otherwise(F.col("some"))
+    page = F.when(known != "", F.struct(F.col("b.blocks").alias("blocks"), F.col("b.main").alias("main"), known.alias("known")))
+    out = joined.select("key", "url", "b", text_udf(lambda: strip, TEXT)(page).alias("stripped"))
+    text = F.coalesce(F.col("stripped.text"), F.array_join("b.blocks", "\n"))
+    out = out.select(F.col("key").alias(key), F.col("url").alias(url), text.alias("text"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))

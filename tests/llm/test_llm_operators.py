@@ -513,15 +513,48 @@ def test_shared_passages_count_pages_as_brute_force():
         for b in blocks:
             for i in range(len(b)):
                 if i + depth <= len(b) or i == 0:
-                    windows[tuple(b[i:i + depth].tolist()), len(b) - i < depth].add(page)
-    for blocks, got in zip(streams, main_text.shared_passages(streams, depth)):
-        for b, counts in zip(blocks, got):
-            want = np.zeros(len(b), int)
-            for i in range(len(b)):
-                if i + depth <= len(b) or i == 0:
-                    n = len(windows[tuple(b[i:i + depth].tolist()), len(b) - i < depth])
-                    want[i:i + depth] = np.maximum(want[i:i + depth], n)
-            assert counts.tolist() == want.tolist()
+                    windows[tuple(b[i:i + depth].tolist())].add(page)
+    for least in (1, 2, 3):
+        got = main_text.shared_passages(streams, depth, least)
+        named = {tuple(streams[page][block][at:at + n].tolist()): pages for page, block, at, n, pages in got}
+        assert len(named) == len(got)
+        assert named == {w: len(pages) for w, pages in windows.items() if len(pages) >= least}
+    assert main_text.shared_passages([], depth) == main_text.shared_passages([[], []], depth) == []
+
+
+def test_notices_go_from_all_pages_of_a_host_and_no_other_word(spark):
+    notice = "Sign up now for our letter and get every story of the week by mail"
+    rare = "Prices are those of the day on which this story was first printed here"
+    rows, want = [], {}
+    for i in range(1000):
+        own = [" ".join(f"w{i}x{j}y{k}" for k in range(12)) for j in range(3)]
+        parts, text = [*own], [*own]
+        if i % 5 < 3:  # of 60 percent of the pages, inside a block with words of its own
+            parts[1] += " " + notice
+        if i % 20 == 0:  # of 5 percent: what few pages share is text
+            parts.append(rare)
+            text.append(rare)
+        parts.append("Read more")  # too short to be judged inside an article
+        text.append("Read more")
+        rows.append((2**53 + 1 + i if i else None, f"https://Big.example/{i}", "<nav>Home</nav><article><p>" + "</p><p>".join(parts) + "</p></article>", "clash"))
+        want[rows[-1][0]] = "\n".join(text)
+    rows += [rows[7]] * 700  # copies are one page of their host
+    copied = " ".join(f"c{k}" for k in range(60))
+    for i in range(6):  # articles that are copies of each other are no notices
+        rows.append((i, f"https://copies.example/{i}", f"<article><p>{copied} e{i}</p></article>", "clash"))
+        want[i] = f"{copied} e{i}"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    with staged_tables(spark):
+        got = main_text.main_text(pages, group=64).collect()
+    assert len(got) == len(rows)
+    assert {(r["page_id"], r["text"], r["n_chars"]) for r in got} == {(k, t, len(t)) for k, t in want.items()}
+
+
+def test_a_very_long_page_is_read_whole(spark):
+    words = " ".join(f"w{i}" for i in range(400_000))
+    rows = [(1, "http://long/1", f"<article><p>{words}</p></article>")]
+    got = main_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert got[0]["text"] == words
 
 
 def test_quality_network_on_held_out_rows(spark):
