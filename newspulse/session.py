@@ -75,17 +75,18 @@ def staged_tables(spark: SparkSession) -> Iterator[None]:
             fs.delete(where, True)
 
 
-def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, partition_by: str | None = None, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared stage folder and read it back.
 
     Used where one expensive table feeds many jobs (a grid of model fits): the lineage is cut, a lost
     executor costs a re-read rather than a recomputation, and the table is computed exactly once. The
     enclosing ``staged_tables`` block deletes it; outside any block it goes when the application ends. With
-    ``partition_by``, the last column, a filter on it reads only its own files.
+    ``partition_by``, the last column, a filter on it reads only its own files. ``compression`` is a codec of
+    Parquet instead of the session's.
     """
     spark = df.sparkSession
     path = stage_path(spark, name)
-    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path, compression=compression)
     if _scopes:
         _scopes[-1].append(path)
     else:
