@@ -17,12 +17,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newspulse.llm.common import ref, small_batches, text_udf
-from newspulse.session import numbered_rows, stage
+from newspulse.session import stage
 
 DEPTH = 8  # words of a passage that counts as long
 GROUP = 256  # pages of one host sorted together
@@ -31,6 +32,7 @@ NAME = 32  # hexadecimal digits of the name of a passage
 READ = T.StructType([
     T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("main", T.BooleanType()), T.StructField("page", T.StringType()),
 ])
+PACKED = T.StructType([T.StructField("blocks", T.BinaryType())])
 TEXT = T.StructType([T.StructField("text", T.StringType())])
 PASSAGES = "host string, passage string, pages long"
 
@@ -273,6 +275,15 @@ def read_blocks(markup: str | None) -> tuple[list[str], bool, str]:
     return blocks, page.has_main, passage_name("\n".join(blocks))
 
 
+def pack_blocks(blocks: list[str] | None) -> tuple[bytes]:
+    """Blocks as they travel to their group: pages compressed one by one take a third less than in a shuffle of Spark."""
+    return (zstandard.compress("\n".join(blocks or ()).encode("utf-8", "surrogatepass")),)
+
+
+def unpack_blocks(packed: bytes) -> list[str]:
+    return zstandard.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
+
+
 def passages_of(pages: list[list[str]], depth: int = DEPTH) -> list[tuple[str, int]]:
     """Names of the passages that several of the pages share, with the number of these pages."""
     names: dict[str, int] = {}
@@ -326,10 +337,11 @@ def host_passages(read: DataFrame, group: int = GROUP) -> DataFrame:
     again = stage(same.where(F.col("copies") > 1).select("host", "page", "first"), "copies")
     once = texts.join(again, ["host", "page"], "left").where(F.col("first").isNull() | (F.col("first") == F.col("row")))
     dealt = once.join(sizes, "host").select(
-        "host", F.pmod(F.xxhash64("page"), F.ceil(F.col("n") / group)).alias("part"), F.col("b.blocks").alias("blocks"))
+        "host", F.pmod(F.xxhash64("page"), F.ceil(F.col("n") / group)).alias("part"),
+        text_udf(lambda: pack_blocks, PACKED)(F.col("b.blocks"))["blocks"].alias("blocks"))
 
     def count(pages: pa.Table) -> pa.Table:
-        found = passages_of(pages.column("blocks").to_pylist())
+        found = passages_of([unpack_blocks(b.as_py()) for b in pages.column("blocks")])
         return pa.table({
             "host": pa.array([pages.column("host")[0].as_py()] * len(found), pa.string()),
             "passage": pa.array([name for name, _ in found], pa.string()), "pages": pa.array([n for _, n in found], pa.int64()),
@@ -357,7 +369,8 @@ def main_text(pages: DataFrame, markup: str = "html", url: str = "url", key: str
     small_batches()
     host = F.lower(F.coalesce(F.regexp_extract(ref(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(ref(key).alias("key"), ref(url).cast("string").alias("url"), ref(markup).cast("string").alias("html"), host.alias("host"))
-    read = numbered_rows(rows.select("key", "url", "host", text_udf(lambda: read_blocks, READ)(F.col("html")).alias("b")), "row")
+    read = rows.select("key", "url", "host", text_udf(lambda: read_blocks, READ)(F.col("html")).alias("b"))
+    read = stage(read.withColumn("row", F.monotonically_increasing_id()), "blocks", compression="zstd")
 
     def strip(page: dict | None) -> tuple[str | None]:
         if not page or not page["known"]:
