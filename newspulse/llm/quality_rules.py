@@ -2,13 +2,16 @@
 
 Each rule looks at one number of a text and votes ``good``, ``bad`` or abstains. How far a vote is to be
 believed is not set by hand: expectation-maximisation over the counts of vote patterns of the whole corpus
-estimates for every rule how often it votes ``good`` on good and on bad texts. Copies of a text are one text there.
-The patterns (three votes to
-the power of the number of rules) bound what reaches the driver, whatever the size of the corpus.
+estimates for every rule how often it casts each vote on good texts and on each kind of bad ones. Bad texts come in
+kinds that hardly overlap (tables of marks, shouting, repetition), so there is a kind for every rule, of texts on
+which this rule votes ``bad``; what the other rules do there is learned. A ``bad`` vote without the company that
+it has in its kind is outvoted. Copies of a text are one text in the counts. The patterns (three votes to the power
+of the number of rules) bound what reaches the driver, whatever the size of the corpus.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newspulse.functions.rows import let
 from newspulse.llm.common import SPACES, free_name, ref, text_udf
 from newspulse.session import stage
 
@@ -27,8 +31,9 @@ VOCABULARY = 1000
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 GOOD, ABSTAIN, BAD = 1, 0, -1
-# Where the fit starts: most rules find nothing wrong with most bad texts, and hardly err on good ones.
-START_GOOD, START_BAD = 0.995, 0.8
+# Where the fit starts: four of five texts are good, rules err on few of them and find what they are made for.
+START_PRIOR, START_ERROR, START_ABSTAIN, START_HIT = 0.8, 0.02, 0.03, 0.8
+STRENGTH = 20.0  # texts that the start counts for, in each class; a fixed number, so the corpus decides
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 STATS = T.StructType([
@@ -147,53 +152,57 @@ def unpack(codes: np.ndarray, n_rules: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Share of good texts, and for each rule the share of ``good`` among its votes on good and on bad texts."""
+    """Classes of texts, the good ones first, then the kind of each rule: ``prior`` has the share of each class,
+    ``votes`` for each class and rule the shares of the votes bad, abstain and good."""
 
-    prior: float
-    on_good: tuple[float, ...]
-    on_bad: tuple[float, ...]
+    prior: tuple[float, ...]
+    votes: tuple[tuple[tuple[float, float, float], ...], ...]
 
-    def weights(self) -> tuple[float, list[float], list[float]]:
-        """Log odds: before any vote, of a ``good`` vote and of a ``bad`` vote of each rule."""
-        g, b = np.array(self.on_good), np.array(self.on_bad)
-        return (
-            float(np.log(self.prior / (1 - self.prior))),
-            np.log(g / b).tolist(), np.log((1 - g) / (1 - b)).tolist(),
-        )
+    def classes(self, cast: np.ndarray) -> np.ndarray:
+        """Probabilities of the classes for each row of votes."""
+        one = np.stack([cast == BAD, cast == ABSTAIN, cast == GOOD], 2).astype(float)
+        log = np.log(self.prior) + np.einsum("nrv,krv->nk", one, np.log(np.array(self.votes)))
+        log[:, 1:][cast != BAD] = -np.inf  # a kind holds only what its own rule finds
+        p = np.exp(log - log.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
 
     def posterior(self, cast: np.ndarray) -> np.ndarray:
-        start, up, down = self.weights()
-        odds = start + (cast == GOOD) @ np.array(up) + (cast == BAD) @ np.array(down)
-        return 1 / (1 + np.exp(-odds))
+        return self.classes(cast)[:, 0]
 
 
-def fit(cast: np.ndarray, counts: np.ndarray, rounds: int = 100, belief: float = 1.0) -> LabelModel:
+def fit(cast: np.ndarray, counts: np.ndarray, rounds: int = 200, strength: float = STRENGTH) -> LabelModel:
     """Expectation-maximisation over vote patterns (rows of ``cast``) that occur ``counts`` times.
 
-    The starting values count as ``belief`` times as many texts as the corpus has (and 20 more). Kinds of bad
-    texts hardly overlap, so the corpus alone cannot tell a rule that finds one kind from a rule that errs now
-    and then; with no belief the fit ends at "bad is what several rules agree on". A rule never counts against
-    its own vote, and good texts are held to be the larger half, so a text without a ``bad`` vote is always kept.
+    The starting values count as ``strength`` texts in each class, however large the corpus; other rules than its
+    own are held to vote on a kind as on good texts until the kind shows otherwise. A rule whose bad votes come alone
+    says by itself nothing on whether it errs or finds a kind of its own. A rule that errs does so on bad texts too,
+    so it starts with the least rate at which it votes ``bad`` where another rule does: lone votes of a rule that no
+    kind is free of are held for errors, those of a rule that some kind never meets are believed. A text without a
+    ``bad`` vote is always good.
     """
-    n_rules = cast.shape[1]
-    strength = 20.0 + belief * float(counts.sum())
-    model = LabelModel(0.8, (START_GOOD,) * n_rules, (START_BAD,) * n_rules)
-    good, bad = cast == GOOD, cast == BAD
+    n_rules, own = cast.shape[1], np.arange(cast.shape[1])
+    one = np.stack([cast == BAD, cast == ABSTAIN, cast == GOOD], 2).astype(float)
+    both = one[:, :, 0].T @ (one[:, :, 0] * counts[:, None])
+    given = (both + STRENGTH * START_ERROR) / (both[own, own] + STRENGTH)  # rule by row, where the rule of the column votes bad
+    given[own, own] = START_ERROR if n_rules == 1 else 1.0
+    errors = given.min(1).clip(0.001, 0.5)
+    start = np.tile(np.stack([errors, np.full(n_rules, START_ABSTAIN), 1 - errors - START_ABSTAIN], 1), (n_rules + 1, 1, 1))
+    start[own + 1, own] = START_HIT, (1 - START_HIT) / 2, (1 - START_HIT) / 2
+    prior = np.array([START_PRIOR] + [(1 - START_PRIOR) / n_rules] * n_rules)
+
+    def model(shares: np.ndarray, votes: np.ndarray) -> LabelModel:
+        return LabelModel(tuple(shares.tolist()), tuple(tuple(map(tuple, kind)) for kind in votes.tolist()))
+
+    now = model(prior, start)
     for _ in range(rounds):
-        p = model.posterior(cast)
-        on_good, on_bad = [], []
-        for r in range(n_rules):
-            def share(weight: np.ndarray, start: float) -> float:
-                up, down = weight @ good[:, r], weight @ bad[:, r]
-                return float((up + strength * start) / (up + down + strength))
-
-            high = min(max(share(p * counts, START_GOOD), 0.6), 0.999)
-            on_good.append(high)
-            on_bad.append(min(max(share((1 - p) * counts, START_BAD), 0.02), 0.9, high))
-        total = counts.sum()
-        prior = min(max(float((p @ counts + 4 * strength) / (total + 5 * strength)), 0.5), 0.98)
-        model = LabelModel(prior, tuple(on_good), tuple(on_bad))
-    return model
+        p = now.classes(cast) * counts[:, None]
+        shares = p.sum(0) + strength * prior * len(prior)
+        usual = np.tile(np.array(now.votes[0]), (n_rules + 1, 1, 1))
+        usual[0] = start[0]
+        usual[own + 1, own] = start[own + 1, own]
+        votes = np.einsum("nk,nrv->krv", p, one) + strength * usual
+        now = model(shares / shares.sum(), votes / votes.sum(2, keepdims=True))
+    return now
 
 
 def learn(stats: DataFrame, name: str, rules: tuple[Rule, ...] = RULES) -> LabelModel:
@@ -211,13 +220,19 @@ def failed(stats: Column) -> Column:
 
 
 def posterior(stats: Column, model: LabelModel, rules: tuple[Rule, ...] = RULES) -> Column:
-    """Probability that a text is good, given the votes on its numbers."""
-    start, up, down = model.weights()
-    odds = F.lit(start)
-    for i, rule in enumerate(rules):
-        vote = rule.vote(stats)
-        odds = odds + F.when(vote == GOOD, F.lit(up[i])).when(vote == BAD, F.lit(down[i])).otherwise(F.lit(0.0))
-    return 1 / (1 + F.exp(-odds))
+    """Probability that a text is good, given the votes on its numbers; ``LabelModel.posterior`` as an expression."""
+    def seen(cast: list[Column], k: int) -> Column:
+        p = F.lit(model.prior[k])
+        for vote, (bad, none, good) in zip(cast, model.votes[k]):
+            p = p * F.when(vote == BAD, F.lit(bad)).when(vote == GOOD, F.lit(good)).otherwise(F.lit(none))
+        return p if k == 0 else F.when(cast[k - 1] == BAD, p).otherwise(F.lit(0.0))
+
+    def share(voted: Column) -> Column:
+        cast = [voted[i] for i in range(len(rules))]
+        good, *kinds = [seen(cast, k) for k in range(len(rules) + 1)]
+        return let(F.struct(good.alias("good"), functools.reduce(Column.__add__, kinds).alias("bad")), lambda p: p["good"] / (p["good"] + p["bad"]))
+
+    return let(F.array(*[rule.vote(stats) for rule in rules]), share)
 
 
 def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = 0.5) -> DataFrame:

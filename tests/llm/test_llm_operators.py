@@ -166,6 +166,38 @@ def test_label_model_finds_kinds_of_bad_texts_that_do_not_overlap():
     assert quality_rules.fit(rows[:0], counts[:0].astype(float)).posterior(np.ones((1, 5)))[0] > 0.5
 
 
+def test_accuracies_of_rules_are_recovered_and_decide():
+    draw = np.random.default_rng(3)
+    n, prior = 40_000, np.array([0.86, 0.08, 0.06])
+    errors = [0.01, 0.01, 0.12, 0.01, 0.01]
+    bad = np.array([errors, [0.95, 0.7, 0.6, 0.01, 0.01], [0.01, 0.01, 0.12, 0.9, 0.8]])
+    kind = draw.choice(3, n, p=prior)
+    cast = np.where(draw.random((n, 5)) < bad[kind], -1, 1)
+    cast[draw.random((n, 5)) < 0.02] = 0
+    rows, counts = np.unique(cast, axis=0, return_counts=True)
+    model = quality_rules.fit(rows, counts.astype(float))
+    good = np.array(model.votes[0])
+    assert np.abs(good[:, 0] / (1 - good[:, 1]) - errors).max() < 0.05
+    # The best verdicts there are: those of the planted shares.
+    seen = np.stack([p * np.where(cast == -1, b, np.where(cast == 1, 1 - b, 1)).prod(1) for p, b in zip(prior, bad)])
+    best, kept, passed = seen[0] >= seen[1] + seen[2], model.posterior(cast) >= 0.5, (cast != -1).all(1)
+    assert (kept == (kind == 0)).mean() > (best == (kind == 0)).mean() - 0.02
+    assert (kept == (kind == 0)).mean() > (passed == (kind == 0)).mean() + 0.05
+    assert (~kept[kind > 0]).mean() > 0.95
+    # Ten times as large a corpus is judged alike but for rare patterns: the start counts for a fixed number of texts.
+    large = quality_rules.fit(rows, counts * 10.0)
+    assert ((large.posterior(rows) >= 0.5) == (model.posterior(rows) >= 0.5)) @ counts > 0.99 * n
+    assert np.abs(np.array(large.votes[0])[:, 0] - good[:, 0]).max() < 0.02
+
+
+def test_posterior_in_spark_is_that_of_the_model(documents):
+    stats = quality_rules.with_stats(documents, "s")
+    model = quality_rules.learn(stats, "s")
+    got = stats.select(quality_rules.votes(F.col("s")).alias("code"), quality_rules.posterior(F.col("s"), model).alias("p")).distinct().collect()
+    cast = quality_rules.unpack(np.array([r["code"] for r in got]), len(quality_rules.RULES))
+    assert np.allclose(model.posterior(cast), [r["p"] for r in got])
+
+
 def test_quality_rules_agree_with_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
