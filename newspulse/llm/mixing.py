@@ -5,6 +5,8 @@ is given to all; the fraction is rounded so that the words of a source stay what
 words move from one to the other, in a random direction that keeps both expectations, until one of the two is
 decided, and the other goes on to meet the next. Groups of about ``fan`` documents each leave one undecided
 document, those meet in the groups of the next level, and so on: a reduction tree of a source's documents.
+Documents with a large share of their source come first, each against all that are still undecided, so the many
+small ones take up what a large one leaves.
 """
 
 from __future__ import annotations
@@ -125,6 +127,36 @@ def _round(units: DataFrame, fan: int) -> DataFrame:
     return whole
 
 
+def _heavy(units: DataFrame, fan: int) -> DataFrame:
+    """Decide the units with more than one in ``fan`` of the words of their source, fewer than ``fan`` a source.
+
+    ``units`` has source, source_size, id, size, hash, many and p, the same for all of a source. One after the other,
+    largest first, a unit moves words to or from all that are undecided until it is, up with probability p; where the
+    others cannot take or give so much in one direction it is the other one, where in neither, the nearer one.
+    Returns source, done (structs with take) and p, what is left for each of the others.
+    """
+    words = (F.col("size") * F.col("many")).cast("double")
+    item = F.struct((-words).alias("order"), F.xxhash64(F.lit(SEED), "id", "size", "hash").alias("draw"), "id", "size", "hash", "many")
+    large = units.where((F.col("p") > 0) & (words * fan > F.col("source_size")))
+    large = large.groupBy("source", "source_size", "p").agg(F.array_sort(F.collect_list(item)).alias("xs"))
+
+    def decide(acc: Column, x: Column) -> Column:
+        size, rest = -x["order"], acc["words"] + x["order"]
+        u = F.pmod(F.xxhash64(F.lit(SEED), F.lit(-2), x["draw"]), F.lit(2**52)) / F.lit(float(2**52))
+        over, under = size - acc["mass"], acc["mass"] - rest  # missed by if taken, by if not
+        take = F.when((over <= 0) & (under <= 0), u * acc["words"] < acc["mass"]).otherwise(F.greatest(over, F.lit(0.0)) < F.greatest(under, F.lit(0.0)))
+        return let(take, lambda t: F.struct(
+            F.concat(acc["done"], F.array(F.struct(
+                x["id"].alias("id"), x["size"].alias("size"), x["hash"].alias("hash"), x["many"].alias("many"), t.cast("int").alias("take")))).alias("done"),
+            rest.alias("words"), F.least(F.greatest(acc["mass"] - F.when(t, size).otherwise(0.0), F.lit(0.0)), rest).alias("mass")))
+
+    none = F.transform(F.slice("xs", 1, 0), lambda x: F.struct(x["id"].alias("id"), x["size"].alias("size"), x["hash"].alias("hash"), x["many"].alias("many"), F.lit(0).alias("take")))
+    total = F.col("source_size").cast("double")
+    folded = F.aggregate("xs", F.struct(none.alias("done"), total.alias("words"), (total * F.col("p")).alias("mass")), decide)
+    left = F.when(F.col("f.words") > 0, F.col("f.mass") / F.col("f.words")).otherwise(0.0)
+    return large.select("source", folded.alias("f")).select("source", "f.done", left.alias("p"))
+
+
 def decisions(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, fan: int = FAN,
     text: str = "text", key: str = "doc_id", source: str = "source",
@@ -132,7 +164,9 @@ def decisions(
     """Copies of each distinct (key, source, text): source, id, size, hash, many (such rows), source_size, target, copies.
 
     Rows alike in all three share one decision and count together. Null texts have size 0 and, like any text
-    without words, get the whole part of their source's copies; null keys and sources are values like others.
+    without words, get the whole part of their source's copies; null keys and sources are values like others. A
+    source comes within one small unit of its target, one of at most its words over ``fan``, unless a single unit is
+    too large for the others to make up for.
     """
     rows = docs.select(
         ref(source).alias("source"), ref(key).alias("id"), n_words(ref(text)).alias("size"), F.xxhash64(ref(text)).alias("hash"))
@@ -141,9 +175,16 @@ def decisions(
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
     whole = F.floor(ratio + 1e-9)
     named = units.join(targets, units["source"].eqNullSafe(targets["source"])).select(
-        units["source"], "id", "size", "hash", "many", "n", F.greatest(ratio - whole, F.lit(0.0)).alias("p"))
+        units["source"], "id", "size", "hash", "many", "n", "source_size", F.greatest(ratio - whole, F.lit(0.0)).alias("p"))
     named = named.withColumn("p", F.when(F.col("p") < 1e-9, 0.0).otherwise(F.col("p")))
-    taken = _round(named, fan)
+    heavy = stage(_heavy(named, fan), "heavy")
+    after = heavy.select(F.col("source").alias("of"), F.col("p").alias("left"))
+    light = named.join(after, F.col("source").eqNullSafe(F.col("of")), "left").where(
+        (F.col("p") <= 0) | (F.col("size") * F.col("many") * fan <= F.col("source_size")))
+    left = F.coalesce("left", "p")
+    light = light.withColumn("p", F.when(left < 1e-9, 0.0).otherwise(F.least(left, F.lit(1.0)))).drop("of", "left")
+    decided = heavy.select("source", F.explode("done").alias("x")).select("source", "x.*")
+    taken = _round(light, fan).unionByName(decided)
     out = taken.join(targets, taken["source"].eqNullSafe(targets["source"]))
     return out.select(
         taken["source"], "id", "size", "hash", "many", "source_size", "target",

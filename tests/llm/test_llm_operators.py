@@ -360,6 +360,23 @@ def test_mix_meets_its_targets(request, table):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_heavy_units_come_first_and_the_others_make_up_for_them(spark):
+    def text(n):
+        return " ".join(["w"] * n)
+
+    rows = [(1, text(90), "a")] * 400 + [(100 + i, text(40 + i % 20), "a") for i in range(600)]  # copies of one row
+    rows += [(5000, text(9000), "b")] + [(5001 + i, text(30), "b") for i in range(300)]  # half of a source
+    rows += [(9000 + i, text(50 + i % 7), None) for i in range(900)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    ids = F.when(F.col("doc_id") < 5000, "a").when(F.col("doc_id") < 9000, "b").otherwise("none")
+    sums = {r["s"]: r for r in got.groupBy(ids.alias("s")).agg(
+        F.count("*").alias("n"), F.sum("taken").alias("taken"), F.first("target").alias("target"),
+        F.max(F.col("taken") - 3 * F.col("size")).alias("beyond")).collect()}
+    assert {s: r["n"] for s, r in sums.items()} == {"a": 1000, "b": 301, "none": 900}
+    for s, small in ("a", 60), ("b", 30), ("none", 56):
+        assert abs(sums[s]["taken"] - sums[s]["target"]) <= small and sums[s]["beyond"] <= 0
+
+
 def test_mix_through_several_levels_of_the_tree(spark):
     docs = spark.createDataFrame([(i, "w " * (i % 40 + 1), f"s{i % 2}", i) for i in range(3000)], "doc_id long, text string, source string, mix_copies int")
     got = mixing.mix(docs, fan=8).groupBy("target").agg(F.sum("taken").alias("n")).collect()
