@@ -207,7 +207,7 @@ def fit(cast: np.ndarray, counts: np.ndarray, rounds: int = 200, strength: float
 
 def learn(stats: DataFrame, name: str, rules: tuple[Rule, ...] = RULES) -> LabelModel:
     """Fit the label model to the vote patterns of all different texts; at most 3 to the power of the rules are collected."""
-    texts = stats.select(votes(F.col(name), rules).alias("code"), F.col(name)["text_hash"].alias("text")).distinct()
+    texts = stats.select(votes(ref(name), rules).alias("code"), ref(name)["text_hash"].alias("text")).distinct()
     rows = texts.groupBy("code").count().collect()
     rows.sort(key=lambda r: r["code"])
     codes = np.array([r["code"] for r in rows], np.int64)
@@ -256,10 +256,10 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float
 def keep_good(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns and no others; see ``judge`` for the verdict.
 
-    The texts are counted twice: once for the vote patterns of the corpus, once on the way out.
+    The rows are staged once with their numbers, for the fit and the way out.
     """
     name = free_name(docs, "stats")
-    scored = with_stats(docs, name, text)
-    model = learn(with_stats(docs.select(ref(text).alias("text__")), "stats", "text__"), "stats")
+    scored = stage(with_stats(docs, name, text), "scored", compression="zstd")
+    model = learn(scored, name)
     s = ref(name)
     return scored.where(~failed(s) & (posterior(s, model) >= least)).drop(name)
