@@ -259,7 +259,7 @@ def keep_good(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFr
     The rows are staged once with their numbers, for the fit and the way out.
     """
     name = free_name(docs, "stats")
-    scored = stage(with_stats(docs, name, text), "scored", compression="zstd")
+    scored = stage(with_stats(docs, name, text), "scored")
     model = learn(scored, name)
     s = ref(name)
     return scored.where(~failed(s) & (posterior(s, model) >= least)).drop(name)
