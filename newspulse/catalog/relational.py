@@ -12,7 +12,8 @@ from newspulse.functions import columns as C
 from newspulse.operators import dedup, filters, geometry, numbering, reports
 from newspulse.session import stage_path
 from newspulse.sources import readers, variants, writers
-from newspulse.streaming import daily
+from newspulse.sources import stored as keyed_tables
+from newspulse.streaming import daily, state
 
 # Topic families matched to the words of the test documents. The first two reuse the shape of the
 # real ones: an exclusion with an exception.
@@ -270,6 +271,34 @@ def stream_dedup(spark, sf):
     return spark.read.parquet(stored)
 
 
+@query(DEDUP_SQL)
+def stream_state(spark, sf):
+    """The same rows again, from a stream that remembers its keys in a state store and never reads the table."""
+    kind = table(spark, sf, "pages").schema
+    stream = spark.readStream.schema(kind).parquet(f"{sf.rstrip('/')}/pages.parque[t]")
+    stored, mark = stage_path(spark, "state-table"), stage_path(spark, "state-offsets")
+    state.run_available(_keyed_pages(stream), stored, mark, "link", ("page_id",)).awaitTermination()
+    return spark.read.schema(_keyed_pages(table(spark, sf, "pages")).schema).parquet(stored)
+
+
+@query("""WITH o AS (SELECT o_custkey AS k, min(o_orderkey) AS first_id FROM orders GROUP BY ALL),
+    e AS (SELECT user_id AS k, min(event_id) AS first_id FROM events GROUP BY ALL)
+    SELECT k, first_id, 'order' AS kind FROM o
+    UNION ALL SELECT k, first_id, 'event' FROM e WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.k IS NOT DISTINCT FROM e.k)""")
+def store_append(spark, sf):
+    """Two batches appended to a table stored by key: only files that may hold a key of the second are read."""
+    orders = table(spark, sf, "orders").select(
+        F.col("o_custkey").cast("long").alias("k"), F.col("o_orderkey").cast("long").alias("first_id"), F.lit("order").alias("kind"))
+    events = table(spark, sf, "events").select(
+        F.col("user_id").cast("long").alias("k"), F.col("event_id").cast("long").alias("first_id"), F.lit("event").alias("kind"))
+    path = stage_path(spark, "store")
+    name = "store_" + path[-32:]
+    keyed_tables.create_store(spark, name, orders.schema, "k", path)
+    for batch in (orders, events):
+        keyed_tables.append_unseen(batch, name, ["first_id"])
+    return spark.table(name).drop(keyed_tables.SLICE)
+
+
 @query("""SELECT 'doc/' || doc_id AS link, split_part(text, chr(10), 1) AS title, text AS content, source AS medie
     FROM documents""")
 def scan_daily_csv(spark, sf):
