@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from newspulse.operators import dictionary as D
 from newspulse.session import path_exists, stage
 
 SAMPLE = 512  # documents that the first topics are chosen from
+BLOCK = 1 << 14  # terms of the documents that a task fits side by side
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
@@ -111,28 +113,61 @@ class Model:
         return cls(np.array([r["weights"] for r in rows]), np.array([r["alpha"] for r in rows]), meta["eta"], meta["history"])
 
 
-def fit_shares(
-    ids: np.ndarray, counts: np.ndarray, words: np.ndarray, alpha: np.ndarray, iterations: int, tolerance: float,
-) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(weights of the topics in one document, share of the terms' counts by topic, whether it converged).
+def _each(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of the columns of ``values`` document by document; ``lengths`` says how many columns each has."""
+    some = lengths > 0
+    out = np.zeros((len(values), len(lengths)))
+    if some.any():
+        out[:, some] = np.add.reduceat(values, (np.cumsum(lengths) - lengths)[some], axis=1)
+    return out
+
 
-    ``words`` is exp of the expected log shares of words, topics x terms. Stops when the weights move by less
-    than ``tolerance`` on average.
+def fit_shares(
+    ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray, words: np.ndarray, alpha: np.ndarray, iterations: int,
+    tolerance: float,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights of the topics in each document, share of the terms' counts by topic, which documents converged).
+
+    The documents of a block are fitted side by side: ``ids`` and ``counts`` hold the terms of one after the other,
+    ``lengths`` how many each has; in the results topics are rows. ``words`` is exp of the expected log shares of
+    words, topics x terms. Each document stops by itself when its weights move by less than ``tolerance`` on
+    average; those that go on are packed together from time to time.
     """
     beta = words[:, ids]
-    gamma = np.full(len(alpha), counts.sum() / len(alpha)) + alpha
-    theta = np.exp(log_share(gamma))
-    norm = theta @ beta + 1e-100
-    converged = False
+    gammas = _each(counts[None], lengths) / len(alpha) + alpha[:, None]
+    converged = np.zeros(len(lengths), bool)
+    at, size, part, n, gamma = np.arange(len(lengths)), lengths, beta, counts, gammas.copy()
+    going = np.ones(len(at), bool)
+    theta = np.exp(log_share(gamma.T)).T
     for _ in range(iterations):
-        last = gamma
-        gamma = alpha + theta * (beta @ (counts / norm))
-        theta = np.exp(log_share(gamma))
-        norm = theta @ beta + 1e-100
-        if np.abs(gamma - last).mean() < tolerance:
-            converged = True
+        if not going.any():
             break
-    return gamma, theta[:, None] * beta * (counts / norm), converged
+        if going.sum() < 0.7 * len(going):
+            terms = np.repeat(going, size)
+            at, size, part, n = at[going], size[going], part[:, terms], n[terms]
+            gamma, theta, going = gamma[:, going], theta[:, going], np.ones(int(going.sum()), bool)
+        norm = (np.repeat(theta, size, axis=1) * part).sum(0) + 1e-100
+        last, gamma = gamma, alpha[:, None] + theta * _each(part * (n / norm), size)
+        theta = np.exp(log_share(gamma.T)).T
+        gammas[:, at[going]] = gamma[:, going]
+        done = going & (np.abs(gamma - last).mean(0) < tolerance)
+        converged[at[done]] = True
+        going &= ~done
+    weighted = np.repeat(np.exp(log_share(gammas.T)).T, lengths, axis=1) * beta
+    return gammas, weighted * (counts / (weighted.sum(0) + 1e-100)), converged
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first document, end, ids, counts, lengths) of consecutive documents that hold about ``BLOCK`` terms, one at least."""
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))])
+    ids = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+    counts = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(float)
+    first = 0
+    while first < batch.num_rows:
+        end = max(first + 1, int(np.searchsorted(ends, ends[first] + BLOCK, "right")) - 1)
+        here = slice(ends[first], ends[end])
+        yield first, end, ids[here], counts[here], np.diff(ends[first:end + 1])
+        first = end
 
 
 STATS = "term_id long, sums array<double>, share_logs array<double>, bound double, words double, docs long, converged long"
@@ -149,28 +184,28 @@ def _fitted(vectors: DataFrame, shared: Broadcast, stats: bool, iterations: int
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, alpha = shared.value
         for batch in batches:
-            out = []
-            for key, ids, counts in zip(*(batch.column(i) for i in range(3))):
-                n = np.array(counts.as_py(), float)
-                gamma, _, _ = fit_shares(np.array(ids.as_py(), np.int64), n, words, alpha, iterations, tolerance)
-                out.append((key.as_py(), (gamma / gamma.sum()).tolist(), int(n.sum())))
-            kinds = pa.string(), pa.list_(pa.float64()), pa.int64()
-            columns = list(zip(*out)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["_key", "topic_share", "n_words"])
+            for first, end, ids, counts, lengths in _blocks(batch):
+                gamma, _, _ = fit_shares(ids, counts, lengths, words, alpha, iterations, tolerance)
+                found = np.ravel((gamma / gamma.sum(0)).T)
+                each = pa.ListArray.from_arrays(np.arange(0, len(found) + 1, len(alpha), dtype=np.int32), found)
+                n_words = _each(counts[None], lengths)[0].astype(np.int64)
+                columns = [batch.column(0).slice(first, end - first), each, pa.array(n_words)]
+                yield pa.RecordBatch.from_arrays(columns, ["_key", "topic_share", "n_words"])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, alpha = shared.value
         total, logs, bound, n_words, docs, done = np.zeros_like(words), np.zeros(len(alpha)), 0.0, 0.0, 0, 0
         for batch in batches:
-            for ids, counts in zip(batch.column(1), batch.column(2)):
-                at, n = np.array(ids.as_py(), np.int64), np.array(counts.as_py(), float)
-                gamma, parts, converged = fit_shares(at, n, words, alpha, iterations, tolerance)
-                total[:, at] += parts
-                log = log_share(gamma)
-                logs += log
-                bound += float(n @ np.log(np.exp(log) @ words[:, at] + 1e-100)) + float(((alpha - gamma) * log).sum())
-                bound += float(log_gamma(gamma).sum() - log_gamma(alpha).sum()) + math.lgamma(alpha.sum()) - math.lgamma(gamma.sum())
-                n_words, docs, done = n_words + n.sum(), docs + 1, done + converged
+            for _, _, ids, n, lengths in _blocks(batch):
+                gamma, parts, converged = fit_shares(ids, n, lengths, words, alpha, iterations, tolerance)
+                seen, places = np.unique(ids, return_inverse=True)
+                total[:, seen] += [np.bincount(places, p, len(seen)) for p in parts]
+                log = log_share(gamma.T).T
+                logs += log.sum(1)
+                bound += float(n @ np.log((np.repeat(np.exp(log), lengths, axis=1) * words[:, ids]).sum(0) + 1e-100))
+                bound += float(((alpha[:, None] - gamma) * log).sum() + log_gamma(gamma).sum() - log_gamma(gamma.sum(0)).sum())
+                bound += len(lengths) * (math.lgamma(alpha.sum()) - float(log_gamma(alpha).sum()))
+                n_words, docs, done = n_words + n.sum(), docs + len(lengths), done + int(converged.sum())
         used = np.flatnonzero(total.any(0))
         rows = [(int(i), total[:, i].tolist(), None, None, None, None, None) for i in used]
         rows.append((None, None, logs.tolist(), bound, float(n_words), docs, done))

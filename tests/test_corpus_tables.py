@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,41 @@ def test_no_terms_is_an_error(spark):
     docs = docs_of(spark, [[], []])
     with pytest.raises(ValueError):
         V.fit(V.deal(docs, "id", D.dictionary(docs, prune=False), 2), 2)
+
+
+def test_documents_side_by_side_get_what_each_gets_alone(monkeypatch):
+    calls, real = [], V.log_share
+    rng = np.random.default_rng(4)
+    words, alpha = np.exp(real(rng.random((4, 60)) ** 4 * 90 + 0.1)), np.array([0.3, 0.1, 0.2, 0.05])
+    lengths = np.array([*rng.integers(1, 30, 400), 0])
+    ids = np.concatenate([rng.choice(60, n, replace=False) for n in lengths]).astype(int)
+    counts = rng.integers(1, 5, len(ids)).astype(float)
+    monkeypatch.setattr(V, "log_share", lambda w: calls.append(1) or real(w))
+    gamma, parts, converged = V.fit_shares(ids, counts, lengths, words, alpha, 60, 0.001)
+    assert len(calls) <= 62  # as many steps as the slowest document needs, not a sum over documents
+    assert not converged.all() and converged.any()
+    ends = np.cumsum(lengths)
+    for i, (a, b) in enumerate(zip(ends - lengths, ends)):
+        own, beta = np.full(4, counts[a:b].sum() / 4) + alpha, words[:, ids[a:b]]
+        done = False
+        for _ in range(60):
+            theta, last = np.exp(real(own)), own
+            own = alpha + theta * (beta @ (counts[a:b] / (theta @ beta + 1e-100)))
+            if np.abs(own - last).mean() < 0.001:
+                done = True
+                break
+        theta = np.exp(real(own))
+        assert gamma[:, i] == pytest.approx(own, rel=1e-9) and converged[i] == done
+        assert parts[:, a:b] == pytest.approx(theta[:, None] * beta * (counts[a:b] / (theta @ beta + 1e-100)), rel=1e-9)
+
+
+def test_blocks_hold_every_document_whatever_its_size(monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 5)
+    sizes = [3, 2, 1, 9, 0, 4, 0, 5]
+    lists = [list(range(n)) for n in sizes]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array([[7, 8], *lists]), pa.array([[1, 1], *lists])], ["k", "ids", "counts"])
+    got = [(first, end, ids.tolist(), lengths.tolist()) for first, end, ids, _, lengths in V._blocks(batch.slice(1))]
+    assert [n for *_, here in got for n in here] == sizes
+    assert [i for _, _, ids, _ in got for i in ids] == sum(lists, [])
+    assert [first for first, *_ in got] == [0, *[end for _, end, *_ in got[:-1]]]
+    assert all(len(ids) <= 5 or len(lengths) == 1 for _, _, ids, lengths in got)
