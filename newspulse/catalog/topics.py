@@ -86,7 +86,11 @@ def _weights(spark, sf):
 
 
 def _shares(spark, sf):
-    """(doc_id, topic_share, n_words): smoothed shares of the lists, null without a listed word."""
+    """(doc_id, topic_share, n_words): smoothed shares of the lists, null without a listed word.
+
+    Stored: a condition on what is made of them is otherwise pushed below the tokens, which Spark then makes anew
+    from the text for every mention of a share.
+    """
     def of(words):
         return F.size(F.filter("tokens", lambda w: w.isin(words.split())))
 
@@ -94,7 +98,7 @@ def _shares(spark, sf):
     counted = topic_token_rows(spark, sf).select("doc_id", F.size("tokens").alias("n_words"), counts.alias("c"))
     total = F.aggregate("c", F.lit(0), lambda a, x: a + x)
     share = F.transform("c", lambda n: (n + SMOOTH) / (total + SMOOTH * N_LISTS))
-    return counted.select("doc_id", F.when(total > 0, share).alias("topic_share"), "n_words")
+    return stage(counted.select("doc_id", F.when(total > 0, share).alias("topic_share"), "n_words"), "shares")
 
 
 def _dominant(spark, sf):

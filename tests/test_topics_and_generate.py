@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from newspulse.catalog import QUERIES
 from newspulse.functions.rows import small_table
 from newspulse.operators import coherence, generate, topics
 from newspulse.plans import topics as flow
@@ -188,3 +189,13 @@ def test_clean_up(people):
         F.count_if(F.col("churn") != F.col("churn_date").isNotNull()).alias("bad"), F.min("age").alias("age")
     ).first()
     assert r.bad == 0 and r.age >= 18
+
+
+def test_shares_are_read_back_and_not_made_anew_for_every_mention(spark, tmp_path):
+    rows = [(i, t, "en", "web", 1) for i, t in enumerate(["thon ther queque", "einheit geheit einheit", "queque", "no word of a list", None])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    counts, joined = (QUERIES[name](spark, str(tmp_path)) for name in ("topic_counts", "topic_articles"))
+    assert [r["count"] for r in counts.collect()] == [1, 1, 1]
+    assert {r.doc_id: r.Dominant_Topic for r in joined.collect()} == {0: 0, 1: 2, 2: 1}
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 2  # for the weights of the lists only; 21 when shares were made anew
