@@ -19,6 +19,7 @@ from newspulse.llm.common import ref
 from newspulse.session import stage
 
 STEP = 8  # levels between two stored ancestors, so 256 nodes share one
+ROWS = 1 << 14  # nodes that a task builds or writes, where there are more tasks than the session runs at once
 TOP = ""  # the tree over all trees
 
 
@@ -74,7 +75,16 @@ NODE = "tree string, idx long, size long, hash binary, doc_id long, changed bina
 FIELDS = ["tree", "idx", "size", "hash", "doc_id", "changed"]
 
 
-def _built(nodes: DataFrame) -> DataFrame:
+def _few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in tasks of ``ROWS`` rows, but in no fewer than run at once.
+
+    Without it a level of a few hundred nodes takes as many Python tasks and files as the session has shuffle
+    partitions, and a climb as many files as the rows of all its steps have partitions.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS)))
+
+
+def _built(nodes: DataFrame, rows: int) -> DataFrame:
     """The rows with their ``way`` up, and a row with ``top`` for the ancestor that up to 2^STEP of them share."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = pa.struct([("left", pa.binary()), ("right", pa.binary())])
@@ -109,23 +119,24 @@ def _built(nodes: DataFrame) -> DataFrame:
 
     dealt = nodes.select(*FIELDS).withColumn("_page", F.shiftright("idx", STEP))
     dealt = dealt.repartition("tree", "_page").sortWithinPartitions("tree", "idx").drop("_page")
-    return dealt.mapInArrow(build, NODE)
+    return _few_tasks(dealt, rows).mapInArrow(build, NODE)
 
 
-def _levels(leaves: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
-    """(stored node rows, one table for every ``STEP`` levels; the root of each tree), of numbered leaves."""
-    most = leaves.agg(F.max("size")).first()[0]
-    levels, roots = [], []
+def _levels(leaves: DataFrame) -> tuple[list[DataFrame], DataFrame | None, int]:
+    """(stored node rows, one table for every ``STEP`` levels; the root of each tree; leaves), of numbered leaves."""
+    most, n_leaves = leaves.agg(F.max("size"), F.count(F.lit(1))).first()
+    levels, roots, rows = [], [], n_leaves
     while most:
-        built = stage(_built(leaves), "nodes")
+        built = stage(_built(leaves, rows), "nodes")
         levels.append(built.where("not top"))
         tops = built.where("top")
         roots.append(tops.where("size = 1").select("tree", "hash"))
         leaves, most = tops.where("size > 1"), (most + (1 << STEP) - 1) >> STEP if most > 1 << STEP else 0
+        rows >>= STEP - 1  # trees that go on have more than 2^STEP nodes, so at most that many are left
     every = roots[0] if roots else None
     for r in roots[1:]:
         every = every.unionByName(r)
-    return levels, every
+    return levels, every, n_leaves
 
 
 FOLD = """unhex(aggregate({way}, lower(hex({start})),
@@ -146,14 +157,14 @@ WITH RECURSIVE climb(tree, doc_id, hash, at_tree, at_level, at_idx, folded, proo
 SELECT tree, doc_id, hash, folded, proof FROM climb WHERE at_tree IS NULL"""
 
 
-def climbed(spark: SparkSession, leaves: DataFrame, nodes: DataFrame) -> DataFrame:
+def climbed(spark: SparkSession, leaves: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
     """(tree, doc_id, hash, folded, proof) of every leaf, stored; ``folded`` and ``proof`` as they are at the root."""
     # The query gives a row for each leaf and step; by default it stops at a million rows.
     name = "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(name)
     spark.conf.set(name, "-1")
     try:
-        return stage(spark.sql(CLIMB, leaves=leaves, nodes=nodes), "climbed")
+        return stage(_few_tasks(spark.sql(CLIMB, leaves=leaves, nodes=nodes), rows), "climbed")
     finally:
         spark.conf.set(name, before)
 
@@ -180,7 +191,7 @@ def manifest(
     # Rows alike in all are told apart by a stored number, so that very many of them make several ranges.
     hashed = stage(hashed.withColumn("tie", F.monotonically_increasing_id()), "hashes")
     leaves = _numbered(hashed, ["doc_id", "hash", "tie"]).drop("tie")
-    levels, roots = _levels(leaves)
+    levels, roots, n_leaves = _levels(leaves)
     if roots is None:
         text = F.lit(None).cast("string")
         names = ("leaf", "subroot", "root", "proof_sha256", "folded_root")
@@ -189,7 +200,7 @@ def manifest(
     roots = roots.withColumnRenamed("tree", "name")
     trees = stage(_numbered(roots.withColumn("tree", F.lit(TOP)), ["name"]), "trees")
     empty = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("changed")]
-    top_levels, top_root = _levels(trees.select("tree", "idx", "size", "hash", *empty))
+    top_levels, top_root, _ = _levels(trees.select("tree", "idx", "size", "hash", *empty))
     root = top_root.first()["hash"].hex()
 
     places = trees.select(F.col("name").alias("tree"), F.col("idx").alias("place"))
@@ -210,7 +221,7 @@ def manifest(
     stored = nodes[0]
     for n in nodes[1:]:
         stored = stored.unionByName(n)
-    found = climbed(spark, linked(0, levels[0], False), stage(stored, "links"))
+    found = climbed(spark, linked(0, levels[0], False), stage(stored, "links"), n_leaves)
     subroots = trees.select(F.col("name").alias("tree"), F.col("hash").alias("subroot"))
     out = found.join(subroots, "tree")
     return out.select(

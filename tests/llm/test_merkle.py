@@ -119,3 +119,29 @@ def test_more_steps_than_the_default_limit_of_rows(spark):
         assert spark.conf.get("spark.sql.cteRecursionRowLimit") == "100"
     finally:
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
+def test_levels_and_climbs_take_tasks_by_their_rows(spark, monkeypatch):
+    """Not one Python task and file for each of very many shuffle partitions."""
+    files, real = {}, merkle.stage
+
+    def staged(df, name, *rest):
+        out = real(df, name, *rest)
+        files.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(merkle, "stage", staged)
+    most = spark.sparkContext.defaultParallelism
+    few = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k"}
+    before = {k: spark.conf.get(k) for k in few}
+    try:
+        for k, v in few.items():
+            spark.conf.set(k, v)
+        check(spark.createDataFrame([(i, "s", "abc"[i % 3], i, f"text {i}") for i in range(2000)], SCHEMA))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files["nodes"]) == 3 and max(files["nodes"]) <= most and files["climbed"] == [files["climbed"][0]]
+    assert files["climbed"][0] <= most
+    monkeypatch.setattr(merkle, "ROWS", 100)
+    assert merkle._few_tasks(spark.range(0, 10, 1, 50), 1000).rdd.getNumPartitions() == 10
